@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import DECONTAMINATE_SQL, decontaminate
+from .embeddings import near_duplicate_vectors
 from .language import held_out, identify_languages
 from .mixing import MIX_SQL, mix_sources
 from .near_dup import near_duplicates
 from .pii import personal_data_digest
+from .warc import read_archives, write_archives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +39,23 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = read_archives(write_archives(table(spark, sf_dir, "pages")), payloads=False)
+    return read.where("gap is null").select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
 QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_language_id": op5_language_id,
     "op6_mix_sources": op6_mix_sources,
     "op7_decontaminate": op7_decontaminate,
     "op8_personal_data": op8_personal_data,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
