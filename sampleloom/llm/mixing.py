@@ -23,7 +23,7 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), per
     Sources by code point, null last, take the weights in turn. The sum to share is percent of all sizes; a target
     stops at `most` times its source's size and the excess is shared again by weight. That is one water level: with
     sources by ascending stop per weight, the level after the first i have stopped is what is left over the weight that
-    is left, and the smallest i whose level is at most the next stop per weight holds.
+    is left; the smallest i whose level is at most the next stop per weight holds, and it has the largest such level.
     """
     if percent > 100 * most:
         raise ValueError("the sources' stops sum to less than the share asked for")
@@ -39,7 +39,7 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), per
         "w_all": F.sum("w").over(every),
     })
     s = s.withColumn("level", (F.col("total") - F.coalesce("before", F.lit(0))) / (F.col("w_all") - F.coalesce("w_before", F.lit(0))))
-    s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("stop") / F.col("w"), F.col("level"))).over(every))
+    s = s.withColumn("level", F.max(F.when(F.col("level") <= F.col("stop") / F.col("w"), F.col("level"))).over(every))
     return s.withColumn("target", F.coalesce(F.least(F.col("level") * F.col("w"), F.col("stop").cast("double")), F.col("stop").cast("double"))).drop("w", "stop", "total", "before", "w_before", "w_all", "level")
 
 
@@ -99,7 +99,7 @@ per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP
 weighted AS (SELECT *, list_extract([5, 2, 1], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)) AS w, 2 * source_size AS stop FROM per),
 levels AS (SELECT *, ((SELECT sum(source_size) FROM per) * 150 / 100.0 - coalesce(sum(stop) OVER before, 0)) / CAST((SELECT sum(w) FROM weighted) - coalesce(sum(w) OVER before, 0) AS DOUBLE) AS level
   FROM weighted WINDOW before AS (ORDER BY stop / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-targets AS (SELECT source, source_size, least((SELECT min(level) FROM levels WHERE level <= stop / w) * w, CAST(stop AS DOUBLE)) AS target FROM levels),
+targets AS (SELECT source, source_size, least((SELECT max(level) FROM levels WHERE level <= stop / w) * w, CAST(stop AS DOUBLE)) AS target FROM levels),
 placed AS (SELECT base.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY base.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM base JOIN targets ON base.source IS NOT DISTINCT FROM targets.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source, source_size, CAST(target AS DOUBLE) AS target,

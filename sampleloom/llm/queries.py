@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import CHAT_SQL, conversations, preference_examples, stale_reply_pairs
+from .common import new_path
 from .decontaminate import DECONTAMINATE_SQL, decontaminate
 from .embeddings import near_duplicate_vectors
 from .language import held_out, identify_languages
 from .mixing import MIX_SQL, mix_sources
 from .near_dup import near_duplicates
 from .pii import personal_data_digest
+from .token_counts import TokenRollup, inserts, token_rows, vocabulary
+from .toxicity import fit_severity, labelled_sample, predict_severity, severity_grades
 from .warc import read_archives, write_archives
 
 
@@ -18,6 +22,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits every document as an insert, twice under one id, and returns the rollup."""
+    rows = token_rows(table(spark, sf_dir, "documents"), {"byte_bpe_50k": vocabulary("byte_bpe_50k.tiktoken")})
+    rollup = TokenRollup(spark, new_path(spark, "rollup"))
+    for _ in range(2):
+        rollup.commit("load", inserts(rows))
+    return rollup.totals()
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_severity(severity_grades(labelled_sample(docs, table(spark, sf_dir, "labels"))))
+    return predict_severity(docs, model)
+
+
+def op3_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = preference_examples(stale_reply_pairs(conversations(table(spark, sf_dir, "conversations"))))
+    for c in ("chosen_mask", "rejected_mask"):
+        found = found.withColumn(c, F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"], x["end"])), ","))
+    return found
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
@@ -49,6 +75,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_toxicity": op2_toxicity,
+    "op3_chat_preferences": op3_chat_preferences,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_language_id": op5_language_id,
     "op6_mix_sources": op6_mix_sources,
@@ -59,6 +88,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_chat_preferences": CHAT_SQL,
     "op6_mix_sources": MIX_SQL.format(docs="documents"),
     "op7_decontaminate": DECONTAMINATE_SQL.format(docs="documents"),
 }
