@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: A turn as text; "<|" inside roles and texts is broken up, so that nobody can write a marker.
 TURN = "<|{role}|>\n{text}<|end|>\n"
 TRAINED = "assistant"
@@ -65,7 +67,7 @@ def preference_examples(pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]], names=names)
 
     turns = "array<struct<role:string,text:string>>"
-    return pairs.select(F.col("pair_id").cast("long").alias("pair_id"), F.col("chosen").cast(turns).alias("chosen"), F.col("rejected").cast(turns).alias("rejected")).mapInArrow(run, EXAMPLE)
+    return bounded_batches(pairs).select(F.col("pair_id").cast("long").alias("pair_id"), F.col("chosen").cast(turns).alias("chosen"), F.col("rejected").cast(turns).alias("rejected")).mapInArrow(run, EXAMPLE)
 
 
 def conversations(turns: DataFrame) -> DataFrame:

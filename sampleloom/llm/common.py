@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch, about; a row is never cut.
+BATCH_BYTES = 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the session names none (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,6 +41,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches set to a few MB: long texts then can't fill a Python worker's memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that no column of df has, whatever the case."""
     taken = {c.lower() for c in df.columns}

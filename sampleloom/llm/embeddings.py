@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import bounded_batches, components, written
 from .near_dup import groups
 
 #: Reference points, how many of the nearest describe a vector, and how many two vectors must share.
@@ -145,7 +145,7 @@ def near_duplicate_vectors(vectors: DataFrame, *, least: float = 0.95, pivots: i
     vec_id are one vector in links and components. Null vec_id: no links, null component, kept.
     """
     spark = vectors.sparkSession
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"))
+    base = bounded_batches(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"))
     single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
     base, kind = (base, "<f4") if single else (base.withColumn("embedding", F.col("embedding").cast("array<double>")), "<f8")
     points = choose_pivots(base, pivots, sample_rows)

@@ -13,13 +13,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Labelled rows that a model is fitted on, about; a hash of doc_id picks them.
 FIT_ROWS = 20_000
 #: The longest character n-gram, and words that a text's score speaks for at most.
 LONGEST, EVIDENCE = 5, 12
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE = 300_000
+#: Words whose scores a worker remembers, and distinct words that it counts before it hands on their n-grams' counts.
+_CACHE, _HELD = 100_000, 20_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,8 +59,8 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             seen.setdefault(lang, Counter()).update(_letters(text.as_py()))
-        if sum(map(len, seen.values())) > _CACHE:
-            yield from flush()
+            if sum(map(len, seen.values())) > _HELD:
+                yield from flush()
     yield from flush()
 
 
@@ -76,7 +79,7 @@ class LanguageModel:
         Words and n-grams seen fewer than `least` times are left out. Counting runs in the tasks; the driver gets the
         summed counts of that bounded sample.
         """
-        known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+        known = bounded_batches(docs).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         total = known.count()
         if total > fit_rows:
             known = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")), F.lit(1 << 30)) < int((1 << 30) * fit_rows / total))
@@ -156,6 +159,7 @@ def identify_languages(docs: DataFrame, *, fit_rows: int = FIT_ROWS, model: Lang
     lang_pred is a learned language, or `und` with score 0 where the text is null or has no letter, or nothing was
     learned. Only the text decides. Ties go to the language that sorts first.
     """
+    docs = bounded_batches(docs)
     model = model or LanguageModel.fit(docs, fit_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit_rows
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import bounded_batches, components, written
 from .shingles import U, mix, shingle_sets, sketches
 
 #: 42 bands of 6 coordinates: a pair at similarity 0.8 misses every band with probability 3e-6.
@@ -22,12 +22,12 @@ _CHUNK = 2 << 20
 
 
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = _CHUNK) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about `limit` bytes of text at most, so that numpy's working memory stays bounded."""
+    """Slices of a batch of about `limit` bytes of text and 1000 rows at most, so that numpy's working memory stays bounded."""
     texts = batch.column(batch.schema.get_field_index(column))
     sizes = np.cumsum(np.nan_to_num(np.asarray(pc.binary_length(texts).to_numpy(zero_copy_only=False), float)))
     a = 0
     while a < len(batch):
-        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + limit, "right")))
+        b = min(max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + limit, "right"))), a + 1000)
         yield batch.slice(a, b - a)
         a = b
 
@@ -144,7 +144,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     Rows that share a doc_id are one document: they share the component. A row without doc_id links with nothing: null
     component_id, kept. An empty table gives no rows.
     """
-    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows_in = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sk = written(rows_in.mapInArrow(_sketch(width, bands, rows), "doc_id long, n_shingles long, digest binary, keys array<long>"), "sketches")
     classes = written(
         sk.where("doc_id is not null and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")),

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Kinds of the base spans in the order of ties, then kinds that only the boosted trees add.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "ssn", "iban")
@@ -267,7 +269,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     base are the spans of the fixed patterns, which are always kept; spans has these and what the boosted trees add.
     A null or empty text has empty arrays. Spans are by start, then kind.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_find, f"doc_id long, base {SPANS}, spans {SPANS}")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_find, f"doc_id long, base {SPANS}, spans {SPANS}")
 
 
 def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,4 +312,4 @@ def redact(docs: DataFrame) -> DataFrame:
             out += [redacted(t, x[1]) for t, x in zip(part, find_spans(part), strict=True)]
         return pd.Series(out, dtype=object)
 
-    return docs.withColumn("text", run(F.col("text").cast("string")))
+    return bounded_batches(docs).withColumn("text", run(F.col("text").cast("string")))

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Where the vocabularies of public tokenizers lie; a path that the driver can read.
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pre-token pattern of the byte-level BPE vocabularies.
@@ -52,7 +54,7 @@ def token_rows(docs: DataFrame, vocabularies: dict[str, bytes]) -> DataFrame:
                 tokens = pa.array([counter(t.as_py() or "") for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([version] * len(batch)), tokens], names=["doc_id", "source", "lang", "tokenizer", "tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")])
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")])
     return rows.mapInArrow(count, "doc_id long, source string, lang string, tokenizer string, tokens long")
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 
 #: Labelled documents that a model is fitted on, about, and features that it may use at most.
 FIT_ROWS, WORDS = 12_000, 2000
@@ -99,7 +99,7 @@ class OrdinalModel:
 
     def features(self, text: str | None) -> tuple[list[int], list[float]]:
         known, cache = self.words, self.__dict__.setdefault("_cache", {})
-        if len(cache) > 300_000:
+        if len(cache) > 100_000:
             cache.clear()
         found: Counter[int] = Counter()
         for w, c in Counter(_tokens(text)).items():
@@ -144,7 +144,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
     if total > fit_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) < int((1 << 30) * fit_rows / total))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")  # about fit_rows rows
+    picked = bounded_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")  # about fit_rows rows
     return written(picked, "labelled")
 
 
@@ -180,4 +180,4 @@ def predict_severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             grade = (p >= 0.5).sum(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(axis=1)), pa.array(grade.astype(np.int32)), pa.array(p[:, 0].copy()), pa.array(grade > 0)], names=["doc_id", "severity", "grade", "p_toxic", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, severity double, grade int, p_toxic double, toxic boolean")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, severity double, grade int, p_toxic double, toxic boolean")

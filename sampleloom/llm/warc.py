@@ -15,7 +15,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import bounded_batches, new_path, written
 
 #: Bytes after which an archive file is closed and another begun.
 FILE_BYTES = 256 << 20
@@ -213,7 +213,7 @@ def write_archives(pages: DataFrame, *, least_bytes: int = 0, path: str | None =
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("sha", F.sha1("payload"))
+    base = bounded_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("sha", F.sha1("payload"))
     firsts = base.where((F.octet_length("payload") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
     firsts = written(firsts, "firsts")
     refers = F.when((F.octet_length("payload") >= least_bytes) & (F.col("page_id") < F.col("first")), F.col("first"))
