@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 #: Labelled rows that a model is fitted on, about; a hash of doc_id picks them.
-FIT_ROWS = 20_000
+FIT_ROWS = 8_000
 #: The longest character n-gram, and words that a text's score speaks for at most.
 LONGEST, EVIDENCE = 5, 12
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: Words whose scores a worker remembers, and distinct words that it counts before it hands on their n-grams' counts.
-_CACHE, _HELD = 100_000, 20_000
+#: Unseen words whose scores a worker remembers, and distinct words that it counts before it hands on their n-grams' counts.
+_CACHE, _HELD = 150_000, 20_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -123,8 +123,10 @@ class LanguageModel:
 
     def predict(self, texts: Iterable[str | None]) -> tuple[list[str], list[float]]:
         """Language and score (its share of probability over EVIDENCE words at most) of each text."""
-        cache: dict[str, np.ndarray] = self.__dict__.setdefault("_cache", {})
-        none = np.zeros(len(self.langs))
+        if "_unseen" not in self.__dict__:
+            self._unseen: dict[str, int] = {}
+            self._table = np.vstack([self.scores, np.zeros((_CACHE + 1, len(self.langs)))]).astype(np.float32)
+        known, unseen, table, base = self.tables[0], self._unseen, self._table, len(self.scores)
         langs, scores = [], []
         for text in texts:
             words = Counter(_letters(text))
@@ -132,17 +134,31 @@ class LanguageModel:
                 langs.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            if len(cache) > _CACHE:
-                cache.clear()
-            found = []
+            at, new, rows, ends = [], [], [], []
             for w in words:
-                s = cache.get(w)
-                if s is None:
-                    k = self.rows(w)
-                    s = cache[w] = self.scores[k].mean(axis=0) if k else none
-                found.append(s)
+                k = known.get(w)
+                if k is None:
+                    k = unseen.get(w)
+                    if k is None:
+                        k = -1 - len(new)
+                        new.append(w)
+                        rows += self.rows(w)
+                        ends.append(len(rows))
+                at.append(k)
+            places = np.array(at)
             n = np.fromiter(words.values(), float, len(words))
-            mean = n @ np.array(found) / n.sum()
+            found = table[np.maximum(places, 0)]
+            if new:  # the mean of each unseen word's n-grams; a word without any counts nothing
+                sums = np.vstack([np.zeros((1, len(self.langs))), np.cumsum(self.scores[rows], axis=0)])
+                last = np.array(ends)
+                first = np.concatenate([[0], last[:-1]])
+                means = (sums[last] - sums[first]) / np.maximum(last - first, 1)[:, None]
+                found[places < 0] = means[-1 - places[places < 0]]
+                room = _CACHE - len(unseen)  # words that come first are the frequent ones: a full table stays
+                for w, m in zip(new[:room], means, strict=False):
+                    table[base + len(unseen)] = m
+                    unseen[w] = base + len(unseen)
+            mean = n @ found / n.sum()
             p = np.exp((mean - mean.max()) * min(EVIDENCE, n.sum()))
             best = int(p.argmax())
             langs.append(self.langs[best])
@@ -150,7 +166,7 @@ class LanguageModel:
         return langs, scores
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_cache"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_unseen", "_table")}
 
 
 def identify_languages(docs: DataFrame, *, fit_rows: int = FIT_ROWS, model: LanguageModel | None = None) -> DataFrame:
