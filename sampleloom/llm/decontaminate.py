@@ -105,7 +105,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, shingle: int = SHINGLE,
     spans = spans.withColumn("add", F.greatest(F.lit(0), end - F.greatest("start", F.coalesce(reach, F.lit(0)))))
     counts = spans.groupBy(*who).agg(F.sum("add").alias("n_hit"))
     named = sure.select(*who, "win").distinct().join(wins.select("win", F.explode("item_ids").alias("item")), "win").groupBy(*who).agg(F.array_sort(F.collect_set("item")).alias("items"))
-    result = counts.join(named, who).select(F.col("doc_id").alias("d_"), F.col("text_hash").alias("h_"), "n_hit", "items")
+    named = named.select(F.col("doc_id").alias("d_"), F.col("text_hash").alias("h_"), "items")
+    result = counts.join(named, counts["doc_id"].eqNullSafe(named["d_"]) & (counts["text_hash"] == named["h_"])).select("d_", "h_", "n_hit", "items")
     full = full.select(*who, "n_words")
     out = full.join(written(result, "result"), full["doc_id"].eqNullSafe(F.col("d_")) & (full["text_hash"] == F.col("h_")), "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))

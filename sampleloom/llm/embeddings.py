@@ -19,6 +19,8 @@ PIVOTS, NEAREST, SHARED = 96, 6, 2
 BLOCK = 512
 #: Rows that the pivots are drawn from, about.
 SAMPLE_ROWS = 4096
+#: Pivots have smaller cosines with each other.
+APART = 0.8
 
 
 def usable_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +46,10 @@ def normalised(x: np.ndarray) -> np.ndarray:
 
 
 def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample_rows: int = SAMPLE_ROWS, seed: int = 5) -> np.ndarray:
-    """Pivots from about sample_rows rows, spread by farthest-first traversal over random candidates."""
+    """Pivots from about sample_rows rows: the first in random order that lie apart from all before them.
+
+    Pivots from one tight group would order its members by noise, so a group gives one at most.
+    """
     total = vectors.count()
     picked = vectors if total <= sample_rows else vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * sample_rows / total))
     column = picked.select("embedding").toArrow()["embedding"].combine_chunks()
@@ -53,7 +58,11 @@ def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample_rows: int = S
     _, x = usable_rows(column)
     x = np.unique(normalised(x), axis=0)
     rng = np.random.default_rng(seed)
-    return x[np.sort(rng.permutation(len(x))[:pivots])]
+    chosen = np.zeros((0, x.shape[1]))
+    for v in x[rng.permutation(len(x))]:
+        if len(chosen) < pivots and (not len(chosen) or (chosen @ v).max() < APART):
+            chosen = np.vstack([chosen, v])
+    return chosen
 
 
 def _describe(shared_pivots, nearest: int, kind: str):
