@@ -74,8 +74,11 @@ def read_header(spark: SparkSession, path: str) -> bytes | None:
     at, fs = _fs(spark, f"{path}/_header.json")
     if not fs.exists(at):
         return None
-    rows = spark.read.format("binaryFile").load(f"{path}/_header.json").select("content").collect()
-    return bytes(rows[0].content)
+    stream = fs.open(at)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
 
 
 def _check_lengths(n: int | None, **parts) -> None:
@@ -130,7 +133,7 @@ def create_dataset_from_paths(spark: SparkSession, path: str, *, sample_paths: S
                     data = np.asarray(x, float).ravel()
                 except Exception as e:  # noqa: BLE001  any failure of one item is that item's
                     error = f"{type(e).__name__}: {e}"
-                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([data], pa.list_(pa.float64())), pa.array([error])], names=[*batch.schema.names, "data", "error"])
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([data], pa.list_(pa.float64())), pa.array([error], pa.string())], names=[*batch.schema.names, "data", "error"])
 
     temporary = f"{path.rstrip('/')}_loading"
     items.mapInArrow(load, "path_idx long, path string, sample_id string, label array<double>, label_shape array<int>, sample_meta binary, data array<double>, error string").write.mode("overwrite").parquet(temporary)

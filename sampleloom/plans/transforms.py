@@ -613,7 +613,7 @@ class Compose:
         return x
 
     def column(self, data: Column, shape: Shape, key: Column, *, seed: int = 0, epoch: int = 0, dtype: str = "float64") -> tuple[Column, Shape]:
-        """The transformed column and its shape. Runs of moves become one gather, runs of kernels one UDF."""
+        """The transformed column and its shape. Runs of moves become one gather; from the first kernel on, all is one UDF."""
         k = 0
         while k < len(self.ops):
             index, fill, now = None, None, shape
@@ -634,11 +634,9 @@ class Compose:
             if (native := self.ops[k].column(data, shape)) is not None:
                 data, shape, k = native, self.ops[k].shape(shape), k + 1
                 continue
-            j = k + 1
-            while j < len(self.ops) and self.ops[j].index(self._shape_at(shape, k, j)) is None and self.ops[j].column(data, self._shape_at(shape, k, j)) is None:
-                j += 1
-            data = _fused(self.ops[k:j], k, shape, seed, epoch, dtype)(data, key)
-            shape, k = self._shape_at(shape, k, j), j
+            # Spark allows no lambda over a UDF's result, and the sample is in Python by now: the rest runs there too
+            data = _fused(self.ops[k:], k, shape, seed, epoch, dtype)(data, key)
+            shape, k = self._shape_at(shape, k, len(self.ops)), len(self.ops)
         return data, shape
 
     def _shape_at(self, shape: Shape, k: int, j: int) -> Shape:
