@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import free_name, written
 
 #: Rows of a key range on average; a range is the unit that one task sorts.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
