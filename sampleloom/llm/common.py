@@ -13,7 +13,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 #: Bytes of an Arrow batch, about; a row is never cut.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -22,7 +22,7 @@ LONGEST, EVIDENCE = 5, 12
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Unseen words whose scores a worker remembers, and distinct words that it counts before it hands on their n-grams' counts.
-_CACHE, _HELD = 150_000, 20_000
+_CACHE, _HELD = 100_000, 8_000
 
 
 def held_out(doc_id: Column) -> Column:
