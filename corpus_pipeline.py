@@ -12,14 +12,11 @@ from sampleloom.llm.mixing import mixed_documents
 from sampleloom.llm.near_dup import near_duplicates
 from sampleloom.llm.pii import redact
 
-#: The least score of a language that a document is kept with.
-LEAST_SCORE = 0.5
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told (operator 5)."""
+    """Keeps documents whose language is told (operator 5); a low score of a short clean text is no reason to drop it."""
     found = identify_languages(docs)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.where(F.col("lang_pred") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
