@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import random
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def crop_box(image: tuple[int, int], target: int | tuple[int, int], *, randomized: bool = False, origin: tuple[int, int] | None = None) -> tuple[int, int, int, int]:
-    """(left, top, right, bottom) of a crop: at origin, else random, else in the middle. Only an origin is checked."""
+def crop_box(image: tuple[int, int], target: int | tuple[int, int], *, randomized: bool = False, origin: tuple[int, int] | None = None, draw: Callable[[int, int], int] = random.randint) -> tuple[int, int, int, int]:
+    """(left, top, right, bottom) of a crop: at origin, else random, else in the middle. Only an origin is checked.
+
+    draw(a, b) gives a random number from a to b, both inclusive.
+    """
     w, h = (target, target) if isinstance(target, int) else target
     if origin is not None:
         x, y = origin
         if x < 0 or y < 0 or x + w > image[0] or y + h > image[1]:
             raise ValueError(f"a crop of {(w, h)} at {origin} leaves the image of {image}")
     elif randomized:
-        x, y = random.randint(0, image[0] - w), random.randint(0, image[1] - h)
+        x, y = draw(0, image[0] - w), draw(0, image[1] - h)
     else:
         x, y = (image[0] - w) // 2, (image[1] - h) // 2
     return x, y, x + w, y + h

@@ -107,6 +107,29 @@ def create_dataset_from_arrays(spark: SparkSession, path: str, *, data, labels=N
         _write_header(spark, path, header)
 
 
+def create_dataset(samples: DataFrame, path: str, *, order: Sequence[str], shape: Sequence[int], header: DatasetMetadata | None = None, compression: str = "zstd") -> int:
+    """Writes a DataFrame (data, and where it has them label, sample_id, sample_meta) in its order; gives the row count.
+
+    Rows get dense positions in ranges of the first order column; nothing passes through the driver but the cuts.
+    """
+    have = set(samples.columns)
+    if ("sample_id" in have) != ("sample_meta" in have):
+        raise E.SampleMetaPairingError("sample ids and metadata go together")
+    kinds = dict(part.split(" ", 1) for part in SCHEMA.split(", "))
+    rows = S.dense_index(samples, order)
+    own = {"row_idx": F.col("row_idx"), "shape": F.array(*[F.lit(int(v)) for v in shape])}
+    if "label" in have and "label_shape" not in have:
+        flat = samples.schema["label"].dataType.typeName() != "array"
+        own |= {"label": F.when(F.col("label").isNotNull(), F.array("label")) if flat else F.col("label")}
+        own |= {"label_shape": F.array().cast("array<int>") if flat else F.array(F.size("label"))}
+    out = rows.select(*[own.get(c, F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
+    out.write.mode("errorifexists").option("compression", compression).parquet(path)
+    n = samples.sparkSession.read.parquet(path).count()  # from the footers
+    if header is not None:
+        _write_header(samples.sparkSession, path, dataclasses.replace(header, num_samples=n))
+    return n
+
+
 def create_dataset_from_paths(spark: SparkSession, path: str, *, sample_paths: Sequence[str], loader: Callable[[str], np.ndarray], sample_shape: Sequence[int], labels: Sequence | None = None, sample_ids: Sequence[str] | None = None, sample_meta: Sequence | None = None, encoder: Callable = encode_json, header: DatasetMetadata | None = None, partitions: int | None = None) -> list[E.BatchProcessItemError]:
     """Loads every path in the tasks and writes those that load, in input order; the others come back as errors.
 
@@ -152,17 +175,58 @@ def create_dataset_from_paths(spark: SparkSession, path: str, *, sample_paths: S
     return [E.BatchProcessItemError(r.path, r.error) for r in failed]
 
 
+class MetaStore:
+    """Ids and decoded metadata of a view (view_idx, sample_id, sample_meta), by position, id or all; lists are copies.
+
+    decoder takes (bytes, id); what it gives is resolved against id and header if it offers that. An eager store keeps
+    its rows in the executors' memory, a lazy one reads them when asked. Of rows that repeat an id the last counts.
+    """
+
+    def __init__(self, view: DataFrame, decoder: Callable[[bytes, str], object], *, header: DatasetMetadata | None = None, eager: bool = False) -> None:
+        view = view.select("view_idx", "sample_id", "sample_meta")
+        self.view, self.decoder, self.header = view.persist() if eager else view, decoder, header
+
+    def decode(self, row):
+        if row.sample_meta is None:
+            return None
+        meta = self.decoder(bytes(row.sample_meta), row.sample_id)
+        return meta.resolve(row.sample_id, self.header) if hasattr(meta, "resolve") else meta
+
+    def __len__(self) -> int:
+        return self.view.count()
+
+    def get_by_index(self, k: int):
+        row = self.view.where(F.col("view_idx") == k).first()
+        if row is None:
+            raise IndexError(k)
+        return self.decode(row)
+
+    def get_by_id(self, sample_id: str):
+        row = self.view.where(F.col("sample_id") == sample_id).orderBy(F.desc("view_idx")).first()
+        if row is None:
+            raise KeyError(sample_id)
+        return self.decode(row)
+
+    def get_all_ids(self) -> list[str]:
+        return [r.sample_id for r in self.view.select("view_idx", "sample_id").orderBy("view_idx").toLocalIterator()]
+
+    def get_all(self) -> list[tuple]:
+        return [(r.sample_id, self.decode(r)) for r in self.view.orderBy("view_idx").toLocalIterator()]
+
+
 class Dataset:
     """A view of a written dataset: selection, transforms, labels and metadata; checks run when it is made.
 
     mode="memory" persists the selected rows, mode="disk" leaves them lazy; meta_store="auto" does likewise for metadata.
     """
 
-    def __init__(self, spark: SparkSession, path: str, *, mode: str = "disk", select_indices: Sequence[int] | None = None, select_sample_ids: Sequence[str] | None = None, static_label=None, transform: Compose | None = None, label_transform: Compose | None = None, meta_decoder: Callable[[bytes], object] | None = None, ignore_header: bool = True, columns: Sequence[str] = ("data",)) -> None:
+    def __init__(self, spark: SparkSession, path: str, *, mode: str = "disk", select_indices: Sequence[int] | None = None, select_sample_ids: Sequence[str] | None = None, static_label=None, transform: Compose | None = None, label_transform: Compose | None = None, meta_decoder: Callable[[bytes, str], object] | None = None, meta_store: str = "auto", data_row_dim: int | None = None, label_row_dim: int | None = None, ignore_header: bool = True, columns: Sequence[str] = ("data",)) -> None:
         if select_indices is not None and select_sample_ids is not None:
             raise E.ConflictingSelectorsError("select by indices or by ids, not both")
         if mode not in ("disk", "memory"):
             raise ValueError("the mode is disk or memory")
+        if meta_store not in ("auto", "eager", "lazy"):
+            raise ValueError("the metadata store is auto, eager or lazy")
         self.spark, self.static_label, self.decoder = spark, static_label, meta_decoder
         df = spark.read.parquet(path)
         for c in columns:
@@ -181,6 +245,8 @@ class Dataset:
             counts = df.agg(F.count("sample_id").alias("i"), F.count("sample_meta").alias("m")).first()
             if counts.i != counts.m:
                 raise E.SampleMetaLengthMismatchError(counts.i, counts.m)
+        if data_row_dim is not None or label_row_dim is not None:
+            df = self._along(df, data_row_dim, label_row_dim)
         if select_indices is not None:
             df = S.select_indices(df, select_indices, size=df.count())
         elif select_sample_ids is not None:
@@ -197,6 +263,10 @@ class Dataset:
         self.df = df.persist() if mode == "memory" else df
         if mode == "memory":
             self.df.count()
+        self.meta = None
+        if meta_decoder is not None:
+            eager = meta_store == "eager" or (meta_store == "auto" and mode == "memory")
+            self.meta = MetaStore(self.df, meta_decoder, header=self.metadata, eager=eager and mode != "memory")
 
     def __len__(self) -> int:
         return self.df.count()
@@ -205,30 +275,39 @@ class Dataset:
         row = self.df.where(F.col("view_idx") == k).first()
         if row is None:
             raise IndexError(k)
-        return np.array(row.data).reshape(self.shape), None if row.label is None else np.array(row.label), self._decoded(row)
-
-    def _decoded(self, row):
-        if self.decoder is None or row.sample_meta is None:
-            return None
-        meta = self.decoder(bytes(row.sample_meta))
-        return meta.resolve(row.sample_id, self.metadata) if hasattr(meta, "resolve") else meta
-
-    def _store(self) -> DataFrame:
-        if self.decoder is None:
+        return np.array(row.data).reshape(self.shape), None if row.label is None else np.array(row.label), None if self.meta is None else self.meta.decode(row)
+
+    @staticmethod
+    def _along(df: DataFrame, data_dim: int | None, label_dim: int | None) -> DataFrame:
+        """Samples along another axis of the stacked tensor: 0 is the stored one, 1 the first axis of a stored row."""
+        n = df.count()
+        parts = []
+        for column, shape, dim in (("data", "shape", data_dim), ("label", "label_shape", label_dim)):
+            size = list((df.select(shape).where(F.col(shape).isNotNull()).first() or [()])[0])
+            if not dim:
+                parts.append(df.select("row_idx", column, F.col(shape)))
+                continue
+            left = [n, *size[: dim - 1], *size[dim:]]
+            taken = S.take_along(df, size, dim - 1, column=column)
+            parts.append(taken.select(F.col("row").alias("row_idx"), F.col("data").alias(column), F.array(*map(F.lit, left)).cast("array<int>").alias(shape)))
+        data, label = parts
+        if label.where("label is not null").limit(1).count() and (d := data.count()) != (c := label.count()):
+            raise E.ShapeMismatchError(f"{d} samples, {c} labels")
+        return data.join(label, "row_idx", "left").join(df.select("row_idx", "sample_id", "sample_meta"), "row_idx", "left")
+
+    def _store(self) -> MetaStore:
+        if self.meta is None:
             raise E.SampleMetaStoreUnavailableError("a decoder is needed for ids and metadata")
-        return self.df.select("view_idx", "sample_id", "sample_meta").orderBy("view_idx")
+        return self.meta
 
     def sample_ids(self) -> list[str]:
-        return [r.sample_id for r in self._store().collect()]
+        return self._store().get_all_ids()
 
     def sample_ids_with_meta(self) -> list[tuple]:
-        return [(r.sample_id, self._decoded(r)) for r in self._store().collect()]
+        return self._store().get_all()
 
     def meta_by_id(self, sample_id: str):
-        row = self._store().where(F.col("sample_id") == sample_id).orderBy(F.desc("view_idx")).first()
-        if row is None:
-            raise KeyError(sample_id)
-        return self._decoded(row)
+        return self._store().get_by_id(sample_id)
 
     def batches(self, size: int) -> DataFrame:
         return S.collate(self.df, size, ["data", "label", "sample_meta"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import errors as E
@@ -85,29 +85,52 @@ def collate(df: DataFrame, size: int, columns: Sequence[str], *, order: str = "v
     return groups.select("batch", "n", *[F.col(f"r.{c}").alias(c) for c in columns])
 
 
-def dense_index(df: DataFrame, order: Sequence[str], *, name: str = "row_idx", buckets: int = 64) -> DataFrame:
+#: Rows that a range of dense_index holds, about, and how many ranges there are at most.
+RANGE_ROWS, RANGES, FAN = 250_000, 4096, 64
+#: Values of the order column that the cuts of other than numeric columns are drawn from, about.
+CUT_SAMPLE = 100_000
+
+
+def _cuts(df: DataFrame, first: str, ranges: int, total: int) -> list:
+    """Values that cut the first order column into about equal ranges; their number has a bound."""
+    if ranges < 2:
+        return []
+    if dict(df.dtypes)[first] in ("bigint", "int", "double", "float", "smallint", "tinyint"):
+        return sorted(set(df.approxQuantile(first, [k / ranges for k in range(1, ranges)], min(0.005, 0.25 / ranges))))
+    values = df.select(first).where(F.col(first).isNotNull()).sample(fraction=min(1.0, CUT_SAMPLE / max(1, total)), seed=1).toArrow()[first].to_pylist()
+    values.sort()
+    return sorted({values[len(values) * k // ranges] for k in range(1, ranges)}) if values else []
+
+
+def _range_of(column: Column, cuts: list) -> Column:
+    """How many cuts lie below a value, by two short searches: of every FAN-th cut, then of those between."""
+
+    def below(values: Column) -> Column:
+        return F.size(F.filter(values, lambda c: c < column))
+
+    if not cuts:
+        return F.lit(0)
+    top = cuts[FAN - 1 :: FAN]
+    parts = [F.array(*map(F.lit, cuts[k : k + FAN])) for k in range(0, len(cuts), FAN)]
+    block = below(F.array(*map(F.lit, top))) if top else F.lit(0)
+    inside = F.coalesce(below(F.get(F.array(*parts), block)), F.lit(0))
+    return F.when(column.isNull(), 0).otherwise(F.greatest(block, F.lit(0)) * FAN + F.greatest(inside, F.lit(0)))
+
+
+def dense_index(df: DataFrame, order: Sequence[str], *, name: str = "row_idx", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Adds 0, 1, 2, ... by `order`. Rows are sorted in ranges; each range's offset is the sum of the counts before it.
 
-    No task sees all rows: ranges come from approximate quantiles of the first order column, ties go on inside a range.
+    No task sees all rows: ranges of about range_rows rows (larger only beyond RANGES of them) come from approximate
+    quantiles of the first order column; ties of that column stay in one range. Nulls come first.
     """
     first = order[0]
-    kind = dict(df.dtypes)[first]
-    if kind in ("bigint", "int", "double", "float", "smallint", "tinyint"):
-        cuts = sorted(set(df.approxQuantile(first, [k / buckets for k in range(1, buckets)], 0.005)))
-        bucket = F.lit(0)
-        for c in cuts:
-            bucket = bucket + (F.col(first) > F.lit(c)).cast("int")
-    else:
-        sample = sorted(r[0] for r in df.select(first).where(F.col(first).isNotNull()).sample(fraction=min(1.0, 20000 / max(1, df.count())), seed=1).collect())
-        cuts = sorted({sample[len(sample) * k // buckets] for k in range(1, buckets)}) if sample else []
-        bucket = F.lit(0)
-        for c in cuts:
-            bucket = bucket + F.coalesce((F.col(first) > F.lit(c)).cast("int"), F.lit(0))
-    rows = df.withColumn("b_", bucket)
+    total = df.count()
+    ranges = min(RANGES, -(-total // range_rows))
+    rows = df.withColumn("b_", _range_of(F.col(first), _cuts(df, first, ranges, total)).cast("int"))
     sizes = rows.groupBy("b_").agg(F.count("*").alias("n"))
     offsets = sizes.select("b_", F.coalesce(F.sum("n").over(Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o_"))
     rank = F.row_number().over(Window.partitionBy("b_").orderBy(*order))
-    return rows.join(F.broadcast(offsets), "b_").withColumn(name, (rank - 1 + F.col("o_")).cast("long")).drop("b_", "o_")  # `buckets` rows
+    return rows.join(F.broadcast(offsets), "b_").withColumn(name, (rank - 1 + F.col("o_")).cast("long")).drop("b_", "o_")  # RANGES rows at most
 
 
 def splits(df: DataFrame, order: Sequence[str], sizes: tuple[int, int, int], names: tuple[str, ...] = ("train", "valid", "test"), *, seed: int | None = None) -> DataFrame:

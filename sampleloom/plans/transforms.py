@@ -412,6 +412,61 @@ class ColorJitter(_Random):
         return y.astype(x.dtype)
 
 
+@dataclass(frozen=True)
+class ToFloat32(Op):
+    """Single precision, native."""
+
+    def kernel(self, x, random):
+        return x.astype(np.float32)
+
+    def column(self, data, shape):
+        return F.transform(data, lambda v: v.cast("float"))
+
+
+@dataclass(frozen=True)
+class FFT(Op):
+    """Fourier transform over dims. Complex numbers lie in a last axis of 2 (real, imaginary); log magnitudes have none."""
+
+    dim: tuple[int, ...]
+    shift: bool = False
+    log: bool = False
+    eps: float = 1e-12
+
+    def kernel(self, x, random):
+        y = K.fft(x, self.dim, self.shift, self.log, self.eps)
+        return y if self.log else np.stack([y.real, y.imag], axis=-1)
+
+
+@dataclass(frozen=True)
+class InverseFFT(Op):
+    """The real part of the inverse transform of what FFT gives; dims count without the last axis."""
+
+    dim: tuple[int, ...]
+    shift: bool = False
+
+    def kernel(self, x, random):
+        y = x[..., 0] + 1j * x[..., 1]
+        y = np.fft.ifftshift(y, axes=self.dim) if self.shift else y
+        return np.fft.ifftn(y, axes=self.dim).real
+
+
+@dataclass(frozen=True)
+class FrequencyMask(Op):
+    """Low or high pass on what FFT gives: each coefficient times the mask at its radial frequency."""
+
+    dim: tuple[int, ...]
+    cutoff: float
+    width: float = 0.1
+    slope: str = "linear"
+    multiplier: float = 2.0
+    high: bool = False
+    shift: bool = False
+
+    def kernel(self, x, random):
+        radial = K.radial_frequencies(x.shape[:-1], self.dim, self.shift)
+        return x * K.pass_mask(radial, self.cutoff, self.width, self.slope, self.multiplier, self.high)[..., None]
+
+
 @dataclass(frozen=True)
 class FFTLogMagnitude(Op):
     dim: tuple[int, ...]

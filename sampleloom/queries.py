@@ -6,14 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import colour as C
 from .functions import geometry as G
 from .functions import kernels as K
 from .operators import selection as S
 from .operators import stats as W
+from .operators.dataset import Dataset, DatasetMetadata, create_dataset
 from .operators.training import early_stopping
 from .plans import transforms as T
 
@@ -242,16 +243,10 @@ _DFT = f"WITH {ELEMENTS}, f AS (SELECT vec_id, k, sum(v * cos(2 * pi() * k * pos
 
 def _transformed(shift: bool):
     def run(spark, sf):
-        @F.pandas_udf("re array<double>, im array<double>")
-        def udf(data):
-            import pandas as pd
-
-            y = K.fft(np.array(data.tolist(), float).reshape(len(data), -1), (1,), shift)
-            return pd.DataFrame({"re": list(y.real), "im": list(y.imag)})
-
-        df = tensors(spark, sf).select("row_idx", udf("data").alias("y"))
-        df = df.select(F.col("row_idx").alias("vec_id"), F.posexplode(F.arrays_zip("y.re", "y.im")).alias("pos", "z"))
-        return df.select("vec_id", "pos", *[(F.round(F.col(f"z.{c}"), 4) + 0.0).alias(c) for c in ("re", "im")])
+        df, _ = T.Compose([T.FFT((0,), shift)]).apply(tensors(spark, sf), (64,))
+        df = df.select(F.col("row_idx").alias("vec_id"), "data", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("pos"))
+        part = lambda k: F.round(F.get("data", 2 * F.col("pos") + k), 4) + 0.0
+        return df.select("vec_id", "pos", part(0).alias("re"), part(1).alias("im"))
 
     return run
 
@@ -298,6 +293,29 @@ for _slope in ("linear", "gentle", "steep"):
     _filtered(f"high_pass_{_slope}", True, _slope)
 
 
+def _filter_pipeline(name: str, high: bool) -> None:
+    """Transform, mask and back: in SQL a circular convolution with the mask's own inverse transform."""
+    ramp = "(r - 0.2 * (SELECT max(r) FROM g)) / (0.1 + 1e-8)" if high else "(0.4 * (SELECT max(r) FROM g) - r) / (0.1 + 1e-8)"
+    ORACLE_SQL[name] = f"""WITH {_RADIAL}, {ELEMENTS}, h AS (SELECT d, sum(least(greatest({ramp}, 0), 1) * cos(2 * pi() * ((o // 8) * (d // 8) + (o % 8) * (d % 8)) / 8)) / 64 AS w FROM g, range(64) AS t(d) GROUP BY 1)
+    SELECT vec_id, CAST(m AS INTEGER) AS pos, round(sum(v * w), 4) + 0.0 AS value FROM e, range(64) AS t(m), h WHERE d = ((m // 8 - pos // 8 + 8) % 8) * 8 + (m % 8 - pos % 8 + 8) % 8 GROUP BY 1, 2"""
+
+    def run(spark, sf):
+        ops = [T.FFT((0, 1), True), T.FrequencyMask((0, 1), 0.3, high=high, shift=True), T.InverseFFT((0, 1), True)]
+        return cells(T.Compose(ops).apply(tensors(spark, sf), (8, 8))[0], digits=4)
+
+    QUERIES[name] = run
+
+
+_filter_pipeline("filter_pipeline_low", False)
+_filter_pipeline("filter_pipeline_high", True)
+
+
+@query("SELECT vec_id, CAST(o AS INTEGER) AS pos, round(CAST(CAST(CAST(embedding[o + 1] AS DOUBLE) * 3 AS FLOAT) AS DOUBLE), 6) + 0.0 AS value FROM embeddings, range(64) AS r(o)")
+def to_float32(spark, sf):
+    df = tensors(spark, sf).withColumn("data", F.transform("data", lambda v: v.cast("double") * 3))
+    return cells(T.Compose([T.ToFloat32()]).apply(df, (64,))[0])
+
+
 # Colour: the first 60 elements, scaled to [0, 1] per vector, as a (3, 4, 5) image.
 _COLOUR = f"WITH {ELEMENTS}, b AS (SELECT vec_id, pos, v FROM e WHERE pos < 60), n AS (SELECT vec_id, min(v) AS lo, max(v) AS hi FROM b GROUP BY 1), c AS (SELECT b.vec_id, pos, (v - lo) / (hi - lo) AS v FROM b JOIN n USING (vec_id)), y AS (SELECT vec_id, pos % 20 AS p, sum(v * CASE pos // 20 WHEN 0 THEN 0.299 WHEN 1 THEN 0.587 ELSE 0.114 END) AS g FROM c GROUP BY 1, 2)"
 
@@ -310,41 +328,29 @@ def colours(spark, sf) -> DataFrame:
     return df.withColumn("data", F.zip_with("data", bounds, lambda v, b: (v - b["low"]) / b["width"]))
 
 
-def gray_column(data: Column) -> Column:
-    at = lambda k: F.slice(data, 20 * k + 1, 20)
-    return F.zip_with(F.zip_with(at(0), at(1), lambda r, g: r * 0.299 + g * 0.587), at(2), lambda s, b: s + b * 0.114)
-
-
-def blend_column(a: Column, b: Column, ratio: float) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.least(F.greatest(x * ratio + y * (1 - ratio), F.lit(0.0)), F.lit(1.0)))
-
-
 @query(f"{_COLOUR} SELECT vec_id, CAST(p AS INTEGER) AS pos, round(g, 6) + 0.0 AS value FROM y")
 def rgb2gray(spark, sf):
-    return cells(colours(spark, sf).withColumn("data", gray_column(F.col("data"))))
+    return cells(colours(spark, sf).withColumn("data", C.gray(F.col("data"), 20)))
 
 
 @query(f"{_COLOUR} SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(least(greatest(v * 0.7 + w * 0.3, 0), 1), 6) + 0.0 AS value FROM (SELECT c.vec_id, c.pos, c.v, d.v AS w FROM c JOIN c d ON c.vec_id = d.vec_id AND d.pos = 59 - c.pos)")
 def blend(spark, sf):
-    return cells(colours(spark, sf).withColumn("data", blend_column(F.col("data"), F.reverse("data"), 0.7)))
+    return cells(colours(spark, sf).withColumn("data", C.blend(F.col("data"), F.reverse("data"), 0.7)))
 
 
 @query(f"{_COLOUR} SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(least(greatest(v * 1.4, 0), 1), 6) + 0.0 AS value FROM c")
 def brightness(spark, sf):
-    return cells(colours(spark, sf).withColumn("data", blend_column(F.col("data"), F.array_repeat(F.lit(0.0), 60), 1.4)))
+    return cells(colours(spark, sf).withColumn("data", C.brightness(F.col("data"), 20, 1.4)))
 
 
 @query(f"{_COLOUR}, m AS (SELECT vec_id, avg(g) AS a FROM y GROUP BY 1) SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(least(greatest(v * 1.4 + a * (1 - 1.4), 0), 1), 6) + 0.0 AS value FROM c JOIN m USING (vec_id)")
 def contrast(spark, sf):
-    df = colours(spark, sf).withColumn("g", gray_column(F.col("data")))
-    mean = F.aggregate("g", F.lit(0.0), lambda a, v: a + v) / 20
-    return cells(df.withColumn("data", blend_column(F.col("data"), F.array_repeat(mean, 60), 1.4)))
+    return cells(colours(spark, sf).withColumn("data", C.contrast(F.col("data"), 20, 1.4)))
 
 
 @query(f"{_COLOUR} SELECT c.vec_id, CAST(pos AS INTEGER) AS pos, round(least(greatest(v * 1.4 + g * (1 - 1.4), 0), 1), 6) + 0.0 AS value FROM c JOIN y ON c.vec_id = y.vec_id AND c.pos % 20 = y.p")
 def saturation(spark, sf):
-    g = gray_column(F.col("data"))
-    return cells(colours(spark, sf).withColumn("data", blend_column(F.col("data"), F.concat(g, g, g), 1.4)))
+    return cells(colours(spark, sf).withColumn("data", C.saturation(F.col("data"), 20, 1.4)))
 
 
 @query("SELECT p_partkey, CAST(floor((p_size + 40 - 32) / 2.0) AS INTEGER) AS l, CAST(floor((p_size + 50 - 32) / 2.0) AS INTEGER) AS t, CAST(floor((p_size + 40 - 32) / 2.0) + 32 AS INTEGER) AS r, CAST(floor((p_size + 50 - 32) / 2.0) + 32 AS INTEGER) AS b FROM part")
@@ -421,13 +427,19 @@ def filename_slug(spark, sf):
 @query("SELECT vec_id, CAST(o AS INTEGER) AS pos, round(CAST(embedding[o + 1] AS DOUBLE), 6) + 0.0 AS value FROM embeddings, range(64) AS r(o)")
 def dataset_round_trip(spark, sf):
     path = scratch(spark, "dataset")
-    S.dense_index(table(spark, sf, "embeddings").select("vec_id", "embedding"), ["vec_id"]).write.parquet(path)
-    return cells(spark.read.parquet(path).select(F.col("vec_id").alias("row_idx"), F.col("embedding").alias("data")))
-
-
-@query("SELECT user_id, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY 1")
-def series_totals(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), (F.round(F.sum("value"), 4) + 0.0).alias("total"))
+    create_dataset(tensors(spark, sf).select(F.col("row_idx").alias("vec_id"), "data", "label"), path, order=["vec_id"], shape=(64,), header=DatasetMetadata("vectors"))
+    return cells(Dataset(spark, path, ignore_header=False).df)
+
+
+@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id)) SELECT CAST(i AS BIGINT) AS view_idx, CAST(doc_id AS VARCHAR) AS sample_id, CAST(quality AS INTEGER) AS quality, CAST(n_chars AS DOUBLE) AS size FROM r JOIN documents USING (doc_id) JOIN labels USING (doc_id)")
+def dataset_meta_view(spark, sf):
+    """Ids and metadata of a written dataset, decoded natively."""
+    path = scratch(spark, "meta")
+    rows = table(spark, sf, "documents").select("doc_id", "n_chars").join(table(spark, sf, "labels"), "doc_id")
+    rows = rows.select("doc_id", F.array(F.col("n_chars").cast("double")).alias("data"), F.col("doc_id").cast("string").alias("sample_id"), F.to_json(F.struct("quality")).cast("binary").alias("sample_meta"))
+    create_dataset(rows, path, order=["doc_id"], shape=(1,))
+    view = Dataset(spark, path).df
+    return view.select("view_idx", "sample_id", F.from_json(F.col("sample_meta").cast("string"), "quality int")["quality"].alias("quality"), F.element_at("data", 1).alias("size"))
 
 
 def _random(name: str, ops: list, shape: tuple, scale: float = 1.0) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import wave
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -17,7 +18,12 @@ from ..functions.kernels import lanczos_resize
 IMAGE = "path string, height int, width int, data array<smallint>, error string"
 
 
-def fit_image(x: np.ndarray, target: int | tuple[int, int], *, randomized_crop: bool = False, scale_to_fit: bool = False, crop_origin: tuple[int, int] | None = None) -> np.ndarray:
+def _of_file(seed: int, path: str) -> np.random.Generator:
+    """A generator of its own for each file name, whatever the folder, partitioning or retries."""
+    return np.random.default_rng([seed, zlib.crc32(path.rsplit("/", 1)[-1].encode())])
+
+
+def fit_image(x: np.ndarray, target: int | tuple[int, int], *, randomized_crop: bool = False, scale_to_fit: bool = False, crop_origin: tuple[int, int] | None = None, random: np.random.Generator | None = None) -> np.ndarray:
     """An (H, W, 3) image, scaled to cover the target if asked for, then cropped to it."""
     if crop_origin is not None and (randomized_crop or scale_to_fit):
         raise ValueError("a crop origin goes with neither scaling nor random crops")
@@ -29,13 +35,16 @@ def fit_image(x: np.ndarray, target: int | tuple[int, int], *, randomized_crop:
         x = lanczos_resize(x, (w, h))
     if w < tw or h < th:
         raise ImageTooSmallError((w, h), (tw, th))
-    left, top, right, bottom = crop_box((w, h), (tw, th), randomized=randomized_crop, origin=crop_origin)
+    left, top, right, bottom = crop_box((w, h), (tw, th), randomized=randomized_crop, origin=crop_origin, draw=lambda a, b: int((random or np.random.default_rng()).integers(a, b + 1)))
     return x[top:bottom, left:right]
 
 
-def read_images(spark: SparkSession, path: str, target: int | tuple[int, int], **options) -> DataFrame:
-    """Rows IMAGE of the images at path (RGB, rows from the top); those that fail have an error and no data."""
-    raw = spark.read.format("image").option("dropInvalid", False).load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+def read_images(spark: SparkSession, path: str, target: int | tuple[int, int], *, reader: dict | None = None, seed: int = 0, **options) -> DataFrame:
+    """Rows IMAGE of the images at path (RGB, rows from the top); those that fail have an error and no data.
+
+    Random crops depend on seed and file name only.
+    """
+    raw = spark.read.format("image").options(**reader or {}).option("dropInvalid", False).load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
 
     def load(batches):
         import pandas as pd
@@ -48,7 +57,7 @@ def read_images(spark: SparkSession, path: str, target: int | tuple[int, int], *
                         raise ValueError("not an image")
                     x = np.frombuffer(data, np.uint8).reshape(h, w, c)
                     x = np.repeat(x, 3, axis=2) if c == 1 else x[:, :, 2::-1]
-                    x = fit_image(x, target, **options)
+                    x = fit_image(x, target, random=_of_file(seed, p), **options)
                     out.append((p, x.shape[0], x.shape[1], x.astype(np.int16).ravel(), None))
                 except ValueError as e:
                     out.append((p, None, None, None, str(e)))
@@ -86,20 +95,21 @@ def decode_audio(raw: bytes, target_length: int, target_sample_rate: int = 22050
     return x[None, a : a + target_length]
 
 
-def read_audio(spark: SparkSession, path: str, target_length: int, **options) -> DataFrame:
-    """Rows (path, data, error) of the WAV files at path."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def read_audio(spark: SparkSession, path: str, target_length: int, *, reader: dict | None = None, seed: int = 0, **options) -> DataFrame:
+    """Rows (path, data, error) of the WAV files at path. Random slices depend on seed and file name only."""
+    files = spark.read.format("binaryFile").options(**reader or {}).load(path).select("path", "content")
 
     @F.pandas_udf("data array<double>, error string")
-    def load(content):
+    def load(content, paths):
         import pandas as pd
 
         out = []
-        for raw in content:
+        for raw, name in zip(content, paths, strict=True):
             try:
-                out.append((decode_audio(raw, target_length, **options).astype(float).ravel(), None))
+                random = _of_file(seed, name)
+                out.append((decode_audio(raw, target_length, random=random, **options).astype(float).ravel(), None))
             except (wave.Error, EOFError, ValueError, KeyError, NotImplementedError) as e:
                 out.append((None, str(e)))
         return pd.DataFrame(out, columns=["data", "error"])
 
-    return files.withColumn("r", load("content")).select("path", "r.data", "r.error")
+    return files.withColumn("r", load("content", "path")).select("path", "r.data", "r.error")

@@ -177,7 +177,7 @@ def test_dataset(spark, tmp_path):
         create_dataset_from_arrays(spark, path, data=x)
     import json
 
-    d = Dataset(spark, path, select_indices=[7, 0, 3], transform=T.Compose([T.Flip(0)]), meta_decoder=json.loads, ignore_header=False)
+    d = Dataset(spark, path, select_indices=[7, 0, 3], transform=T.Compose([T.Flip(0)]), meta_decoder=lambda raw, sample_id: json.loads(raw), ignore_header=False)
     data, label, m = d[0]
     assert np.allclose(data, x[7][::-1]) and label == [7.0] and m == meta[7] and len(d) == 3
     assert d.sample_ids() == ["s7", "s0", "s3"] and d.meta_by_id("s3")["id"] == 3 and d.metadata == header
