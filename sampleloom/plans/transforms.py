@@ -15,6 +15,8 @@ from ..functions import kernels as K
 
 #: The longest index map that goes into a plan as literals; longer ones run as kernels.
 LITERAL_INDEX = 4096
+#: Elements of the samples that are stacked at a time in a Python worker, about; one sample at least.
+STACK = 1 << 20
 Shape = tuple[int, ...]
 
 
@@ -25,7 +27,13 @@ def rng(seed: int, position: int, key: int, epoch: int = 0) -> np.random.Generat
 
 @dataclass(frozen=True)
 class Op:
-    """One transform. train=None is what it is without a mode: both train and eval."""
+    """One transform. train=None is what it is without a mode: both train and eval.
+
+    draws says whether the kernel takes random numbers; those that don't get no generator, which costs more than most
+    kernels. batch() does many samples at once, where numpy can.
+    """
+
+    draws = True
 
     def with_mode(self, train: bool) -> Op:
         return replace(self, train=train) if hasattr(self, "train") else self
@@ -45,12 +53,22 @@ class Op:
     def kernel(self, x: np.ndarray, random: np.random.Generator) -> np.ndarray:
         raise NotImplementedError
 
+    def batch(self, x: np.ndarray) -> np.ndarray:
+        """The kernel without random numbers on samples stacked along a new first axis."""
+        return np.stack([self.kernel(v, None) for v in x])
+
+
+def _behind(dims: Sequence[int]) -> tuple[int, ...]:
+    """The same dims of a sample where samples are stacked along a new first axis."""
+    return tuple(d if d < 0 else d + 1 for d in dims)
+
 
 @dataclass(frozen=True)
 class Move(Op):
     """An op that only moves elements: its kernel applied to positions is its index map."""
 
     fill = 0.0
+    draws = False
 
     def move(self, x: np.ndarray, fill: float) -> np.ndarray:
         raise NotImplementedError
@@ -288,6 +306,8 @@ class RandomRotate90(_Random):
 
 @dataclass(frozen=True)
 class RotateAnyDegree(Op):
+    draws = False
+
     dim: tuple[int, int]
     angle: float
     fill_value: float = 0.0
@@ -361,6 +381,8 @@ class GaussianBlur(Op):
 
 @dataclass(frozen=True)
 class ResizeRoundTrip(Op):
+    draws = False
+
     dim: int | tuple[int, ...]
     scale: float
 
@@ -416,9 +438,14 @@ class ColorJitter(_Random):
 class ToFloat32(Op):
     """Single precision, native."""
 
+    draws = False
+
     def kernel(self, x, random):
         return x.astype(np.float32)
 
+    def batch(self, x):
+        return x.astype(np.float32)
+
     def column(self, data, shape):
         return F.transform(data, lambda v: v.cast("float"))
 
@@ -427,13 +454,21 @@ class ToFloat32(Op):
 class FFT(Op):
     """Fourier transform over dims. Complex numbers lie in a last axis of 2 (real, imaginary); log magnitudes have none."""
 
+    draws = False
+
     dim: tuple[int, ...]
     shift: bool = False
     log: bool = False
     eps: float = 1e-12
 
     def kernel(self, x, random):
-        y = K.fft(x, self.dim, self.shift, self.log, self.eps)
+        return self._over(x, self.dim)
+
+    def batch(self, x):
+        return self._over(x, _behind(self.dim))
+
+    def _over(self, x, dims):
+        y = K.fft(x, dims, self.shift, self.log, self.eps)
         return y if self.log else np.stack([y.real, y.imag], axis=-1)
 
 
@@ -441,19 +476,29 @@ class FFT(Op):
 class InverseFFT(Op):
     """The real part of the inverse transform of what FFT gives; dims count without the last axis."""
 
+    draws = False
+
     dim: tuple[int, ...]
     shift: bool = False
 
     def kernel(self, x, random):
+        return self._over(x, self.dim)
+
+    def batch(self, x):
+        return self._over(x, _behind(self.dim))
+
+    def _over(self, x, dims):
         y = x[..., 0] + 1j * x[..., 1]
-        y = np.fft.ifftshift(y, axes=self.dim) if self.shift else y
-        return np.fft.ifftn(y, axes=self.dim).real
+        y = np.fft.ifftshift(y, axes=dims) if self.shift else y
+        return np.fft.ifftn(y, axes=dims).real
 
 
 @dataclass(frozen=True)
 class FrequencyMask(Op):
     """Low or high pass on what FFT gives: each coefficient times the mask at its radial frequency."""
 
+    draws = False
+
     dim: tuple[int, ...]
     cutoff: float
     width: float = 0.1
@@ -463,12 +508,20 @@ class FrequencyMask(Op):
     shift: bool = False
 
     def kernel(self, x, random):
-        radial = K.radial_frequencies(x.shape[:-1], self.dim, self.shift)
-        return x * K.pass_mask(radial, self.cutoff, self.width, self.slope, self.multiplier, self.high)[..., None]
+        return x * self._mask(x.shape[:-1])
+
+    def batch(self, x):
+        return x * self._mask(x.shape[1:-1])
+
+    def _mask(self, shape):
+        radial = K.radial_frequencies(shape, self.dim, self.shift)
+        return K.pass_mask(radial, self.cutoff, self.width, self.slope, self.multiplier, self.high)[..., None]
 
 
 @dataclass(frozen=True)
 class FFTLogMagnitude(Op):
+    draws = False
+
     dim: tuple[int, ...]
     shift: bool = False
     eps: float = 1e-12
@@ -476,9 +529,14 @@ class FFTLogMagnitude(Op):
     def kernel(self, x, random):
         return K.fft(x, self.dim, self.shift, True, self.eps)
 
+    def batch(self, x):
+        return K.fft(x, _behind(self.dim), self.shift, True, self.eps)
+
 
 @dataclass(frozen=True)
 class DCT(Op):
+    draws = False
+
     dim: tuple[int, ...]
     log: bool = True
     eps: float = 1e-12
@@ -486,11 +544,16 @@ class DCT(Op):
     def kernel(self, x, random):
         return K.dct(x, self.dim, self.log, self.eps)
 
+    def batch(self, x):
+        return K.dct(x, _behind(self.dim), self.log, self.eps)
+
 
 @dataclass(frozen=True)
 class Normalize(Op):
     """(x - mean) / (std + 1e-12); mean and std are numbers or arrays that broadcast, after an optional permutation."""
 
+    draws = False
+
     mean: Any
     std: Any
     permute: tuple[int, ...] | None = None
@@ -515,6 +578,8 @@ class Normalize(Op):
 
 @dataclass(frozen=True)
 class InvertPhase(Op):
+    draws = False
+
     def kernel(self, x, random):
         return -x
 
@@ -526,6 +591,8 @@ class InvertPhase(Op):
 class ConvertToFloat32(Op):
     """Whole numbers by their type's largest value; floats pass."""
 
+    draws = False
+
     dtype: str
 
     def kernel(self, x, random):
@@ -714,15 +781,17 @@ def _fused(ops: Sequence[Op], first: int, shape: Shape, seed: int, epoch: int, d
     def run(data, keys):
         import pandas as pd
 
-        out = []
-        for x, key in zip(data, keys, strict=True):
-            if x is None:
-                out.append(None)
-                continue
-            y = np.asarray(x, dtype).reshape(shape)
+        out = np.full(len(data), None, object)
+        rows, step = np.flatnonzero(data.notna()), max(1, STACK // max(1, math.prod(shape)))
+        for at in (rows[k : k + step] for k in range(0, len(rows), step)):
+            y = np.stack([np.asarray(x, dtype).reshape(shape) for x in data.iloc[at]])
             for k, op in enumerate(ops):
-                y = op.kernel(y, rng(seed, first + k, int(key), epoch))
-            out.append(np.asarray(y, float).ravel())
+                if op.draws:
+                    y = np.stack([op.kernel(x, rng(seed, first + k, int(key), epoch)) for x, key in zip(y, keys.iloc[at], strict=True)])
+                else:
+                    y = op.batch(y)
+            for i, x in zip(at, y, strict=True):
+                out[i] = np.asarray(x, float).ravel()
         return pd.Series(out)
 
     return run

@@ -96,6 +96,18 @@ def test_frequency_pipeline(spark):
     assert np.allclose(T.FFT((0,), log=True).kernel(x[0], None), T.FFTLogMagnitude((0,)).kernel(x[0], None))
 
 
+@pytest.mark.parametrize("op", [T.FFT((0, 1), True), T.FFT((-1,), log=True), T.FFTLogMagnitude((1,), True), T.DCT((0,)), T.DCT((-1,), False), T.ToFloat32(), T.Flip(0), T.Normalize(1.0, 2.0), T.RotateAnyDegree((0, 1), 30.0)])
+def test_stacked_samples_equal_single_ones(op):
+    x = np.random.default_rng(3).normal(0, 1, (4, 6, 5))
+    assert not op.draws and np.allclose(op.batch(x), [op.kernel(v, None) for v in x])
+
+
+@pytest.mark.parametrize("op", [T.InverseFFT((0, 1), True), T.InverseFFT((-1,)), T.FrequencyMask((0, 1), 0.2, shift=True), T.FrequencyMask((1,), 0.2, high=True)])
+def test_stacked_spectra_equal_single_ones(op):
+    x = np.random.default_rng(3).normal(0, 1, (4, 6, 5, 2))
+    assert not op.draws and np.allclose(op.batch(x), [op.kernel(v, None) for v in x])
+
+
 def test_colour_columns_equal_the_kernels(spark):
     x = np.random.default_rng(2).random((4, 3, 2, 5)).astype(np.float32)
     df = rows(spark, x)
