@@ -21,8 +21,9 @@ FIT_ROWS = 8_000
 LONGEST, EVIDENCE = 5, 12
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: Unseen words whose scores a worker remembers, and distinct words that it counts before it hands on their n-grams' counts.
-_CACHE, _HELD = 100_000, 8_000
+#: Unseen words whose scores a worker remembers, distinct words that it counts before it hands on their n-grams' counts,
+#: and distinct n-grams in a batch of counts, about.
+_CACHE, _HELD, _GRAMS = 100_000, 8_000, 300_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -44,16 +45,21 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts (n, gram, lang, count) of a task's documents; n = 0 for whole words."""
     seen: dict[str, Counter[str]] = {}
 
+    def counts(lang: str, out: Counter[tuple[int, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.string()), pa.array([lang] * len(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["n", "gram", "lang", "count"])
+
     def flush() -> Iterator[pa.RecordBatch]:
         for lang, words in seen.items():
             out: Counter[tuple[int, str]] = Counter()
             for w, k in words.items():
-                w = w[:64]  # of longer words the start tells the language
                 out[0, w] += k
                 for n in range(1, LONGEST + 1):
                     for g in _grams(w, n):
                         out[n, g] += k
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.string()), pa.array([lang] * len(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["n", "gram", "lang", "count"])
+                if len(out) > _GRAMS:
+                    yield counts(lang, out)
+                    out = Counter()
+            yield counts(lang, out)
         seen.clear()
 
     for batch in batches:
@@ -112,12 +118,12 @@ class LanguageModel:
 
     def rows(self, word: str) -> list[int]:
         """The score rows of a word: its own if it is known, else of its longest known n-grams."""
-        k = self.tables[0].get(word[:64])
+        k = self.tables[0].get(word)
         if k is not None:
             return [k]
         for n in range(LONGEST, 0, -1):
             t = self.tables[n]
-            if found := [k for g in _grams(word[:64], n) if (k := t.get(g)) is not None]:
+            if found := [k for g in _grams(word, n) if (k := t.get(g)) is not None]:
                 return found
         return []
 
