@@ -25,7 +25,7 @@ def _tokens(text: str | None) -> list[str]:
 
 def _marks(word: str) -> list[str]:
     """The features of a word: itself and its beginnings of 3 to 6 letters, which inflections and compounds share."""
-    return [f"={word[:64]}", *(f"{word[:k]}*" for k in range(3, 7) if len(word) >= k)]
+    return [f"={word}", *(f"{word[:k]}*" for k in range(3, 7) if len(word) >= k)]
 
 
 def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
