@@ -23,15 +23,15 @@ SAMPLE_ROWS = 4096
 APART = 0.8
 
 
-def usable_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def usable_rows(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Which vectors are usable, and the usable ones in double precision.
 
-    Null, empty and zero vectors and any with a null or non-finite component are not usable; nor are vectors whose
-    dimension isn't the batch's most frequent one.
+    Null, empty and zero vectors and any with a null or non-finite component are not usable; nor are vectors of another
+    dimension than dim, by default the column's most frequent one.
     """
     rows = column.to_pylist()
     size = [len(r) if r and None not in r else 0 for r in rows]
-    dim = max(set(size) - {0}, key=size.count, default=0)
+    dim = max(sorted(set(size) - {0}), key=size.count, default=0) if dim is None else dim
     good = np.array([s == dim and dim > 0 for s in size], bool)
     x = np.array([r for r, g in zip(rows, good, strict=True) if g], np.float64).reshape(-1, max(dim, 1))
     fine = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
@@ -69,9 +69,9 @@ def _describe(shared_pivots, nearest: int, kind: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = shared_pivots.value
         for batch in batches:
-            good, x = usable_rows(batch.column(1))
+            good, x = usable_rows(batch.column(1), pivots.shape[1])
             ids = batch.column(0).to_numpy(zero_copy_only=False)[good]
-            if not len(x) or x.shape[1] != pivots.shape[1]:
+            if not len(x):
                 continue
             near = np.argsort(-(normalised(x) @ pivots.T), axis=1, kind="stable")[:, :nearest]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1]), pa.int32()), pa.array(near.reshape(-1).astype(np.int32)))
@@ -150,7 +150,8 @@ def near_duplicate_vectors(vectors: DataFrame, *, least: float = 0.95, pivots: i
     into blocks and every pair of blocks is compared in one task by cosine in double precision, so that no list,
     whatever its share of the rows, is held or expanded whole. Exact copies are one row with a count from the start.
 
-    Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing. Rows that share a
+    Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; nor do vectors whose
+    dimension isn't the pivots', the most frequent one in their sample. Rows that share a
     vec_id are one vector in links and components. Null vec_id: no links, null component, kept.
     """
     spark = vectors.sparkSession
