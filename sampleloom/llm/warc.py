@@ -74,10 +74,12 @@ class Gap:
 
 
 class _Window:
-    """A file read forward, holding only the bytes from `base` on."""
+    """A seekable file read forward, holding only the bytes from `base` on."""
 
     def __init__(self, source) -> None:
         self.source, self.base, self.data, self.ended = source, 0, bytearray(), False
+        self.size = source.seek(0, io.SEEK_END)
+        source.seek(0)
 
     def more(self) -> bool:
         if self.ended:
@@ -92,6 +94,16 @@ class _Window:
             pass
         return len(self.data) >= n
 
+    def peek(self, at: int, n: int) -> bytes:
+        """n bytes from `at` on, counted from base; what lies between isn't read. Fewer at the end of the file."""
+        if at + n <= len(self.data) or self.base + at >= self.size:
+            return bytes(self.data[at : at + n])
+        here = self.source.tell()
+        self.source.seek(self.base + at)
+        got = self.source.read(n)
+        self.source.seek(here)
+        return got
+
     def drop(self, n: int) -> None:
         del self.data[:n]
         self.base += n
@@ -156,16 +168,17 @@ def _plain(w: _Window) -> tuple[Record, int] | str:
         return got
     headers, at = got
     n = int(headers["content-length"])
-    if not w.have(at + n + 4):
+    if w.base + at + n + 4 > w.size:
         return "record cut short"
-    if w.data[at + n : at + n + 4] != b"\r\n\r\n":
+    if w.peek(at + n, 4) != b"\r\n\r\n":  # a wrong length is told before its bytes are read
         return "content length differs"
+    w.have(at + n + 4)
     block = bytes(w.data[at : at + n])
     return _checked(headers, block) or (Record(w.base, at + n + 4, headers, block), at + n + 4)
 
 
 def salvage(source) -> Iterator[Record | Gap]:
-    """Records of an archive (a binary file), and the byte gaps where none could be read.
+    """Records of an archive (a seekable binary file), and the byte gaps where none could be read.
 
     After a check fails (member CRC, version line, header form, content length, payload digest), the reader looks from
     the next byte on for a gzip member or version line whose record passes every check, and goes on there. All that
@@ -274,7 +287,7 @@ def read_archives(files: DataFrame, *, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 fs, at = opened(path)
-                with fs.open_input_stream(at, compression=None) as source:
+                with fs.open_input_file(at) as source:
                     for x in salvage(source):
                         if isinstance(x, Gap):
                             rows.append((path, x.offset, x.length, x.reason, *[None] * 7))
