@@ -141,7 +141,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     paired. In each bucket every class is first compared with two random leaders of the bucket; what then still lies
     in different components of one bucket is compared in full, block by block.
 
-    Rows that share a doc_id are one document: they share the component. A row without doc_id links with nothing: null
+    Rows that share a doc_id are one document: those with words share the component. A row without doc_id links with nothing: null
     component_id, kept. An empty table gives no rows.
     """
     rows_in = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -165,6 +165,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     sets = written(rows_in.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "rep long, shingles binary"), "sets")
     a, b = (sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"s{x}")) for x in "uv")
     links = pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(_verify(percent), "u long, v long")
+    # rows of one doc_id with different texts are one document: it connects their classes
+    texts = sk.where("doc_id is not null and n_shingles > 0").select("doc_id", "digest", F.xxhash64("digest").alias("h"))
+    several = texts.groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("doc_id")
+    several = written(texts.join(written(several, "several"), "doc_id", "left_semi").select("doc_id", "digest"), "repeated")
+    links = links.unionByName(several.join(classes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     labels = components(links)
 
     known = labels.select(F.col("node").alias("rep"), F.col("label").alias("comp"))
