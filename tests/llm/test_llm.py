@@ -17,7 +17,7 @@ from sampleloom.llm.common import components
 from sampleloom.llm.decontaminate import decontaminate
 from sampleloom.llm.embeddings import near_duplicate_vectors
 from sampleloom.llm.language import LanguageModel, identify_languages
-from sampleloom.llm.mixing import mix_sources, mixed_documents
+from sampleloom.llm.mixing import MIX_SQL, mix_sources, mixed_documents
 from sampleloom.llm.near_dup import near_duplicates
 from sampleloom.llm.token_counts import TokenRollup, count_words, deletes, inserts, revisions, token_rows, vocabulary
 from sampleloom.llm.toxicity import OrdinalModel, fit_severity, predict_severity, severity_grades
@@ -80,6 +80,13 @@ def test_near_duplicates(spark, corpus, width):
     assert near_duplicates(docs(spark, [])).collect() == []
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c, d = ("one two three four five six", "a b c d e f g", "h i j k l m n", "o p q r s t u")
+    rows = [(3, a), (5, a), (5, b), (5, c), (9, c), (7, d), (5, None), (11, b), (5, b)]
+    got = near_duplicates(docs(spark, [(k, x, None, None) for k, x in rows])).collect()
+    assert sorted((r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in got) == sorted((k, x is not None, 7 if k == 7 else 3 if x else k, k in (3, 7) or x is None) for k, x in rows)
+
+
 def test_sketches():
     r = np.random.default_rng(1)
     a = np.unique(r.integers(0, 2**63, 900, dtype=np.uint64))
@@ -172,6 +179,15 @@ def test_language(spark):
     assert model.rows("word") == [model.tables[0]["word"]] and model.rows("wolf") == [model.tables[3]["<wo"]] and model.rows("yw") == [model.tables[1]["w"]] and model.rows("q") == []
 
 
+def test_language_of_long_words(spark):
+    """Words that differ only after many letters are told apart, and very long ones are counted whole."""
+    lead = "x" * 90
+    rows = [(k, f"{lead}{'abcabc' if k % 2 else 'pqrpqr'}", "en" if k % 2 else "fr", "s") for k in range(60)] + [(200 + k, "y" * 300_000, "zz", "s") for k in range(6)]
+    new = [(100, lead + "abcab", None, None), (101, lead + "pqrpq", None, None), (102, "y" * 200_000, None, None)]
+    got = {r.doc_id: r.lang_pred for r in identify_languages(docs(spark, [*rows, *new])).collect()}
+    assert all(got[k] == ("en" if k % 2 else "fr") for k in range(60)) and [got[k] for k in (100, 101, 102, 200)] == ["en", "fr", "zz", "zz"]
+
+
 def test_language_held_out(spark):
     found = queries.op5_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").where("held_out")
     assert found.where("lang = lang_pred").count() >= 0.98 * found.count()
@@ -218,6 +234,7 @@ def test_embeddings(spark):
     x = np.concatenate([base, base[:10], base[:15] + r.normal(0, 0.05, (15, 16)), np.repeat(base[:1], 700, 0) + r.normal(0, 0.02, (700, 16))]).astype(np.float32)
     rows = [(k, v.tolist(), 0) for k, v in enumerate(x)]
     odd = [(9000, None, 1), (9001, [0.0] * 16, 1), (9002, [float("nan")] * 16, 1), (9003, [None] * 16, 1), (9004, [], 1), (None, x[0].tolist(), 1), (9005, [1e30] + [0.0] * 15, 1)]
+    odd += [(9100 + k, [1.0, 2.0, 3.0, float(k)], 1) for k in range(120)] + [(9500, (other := r.normal(0, 1, 16)).tolist(), 1), (9501, other.tolist(), 1)]  # rows of another dimension around two equal ones
     got = near_duplicate_vectors(spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, n_links int")).collect()
     assert len(got) == len(rows) + len(odd)
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
@@ -228,7 +245,8 @@ def test_embeddings(spark):
     found = np.array([by[k].n_links for k in range(len(x))])
     assert (found <= near.sum(1)).all() and found.sum() >= 0.9 * near.sum()
     assert np.mean([by[k].component_id == want[k] for k in range(len(x))]) > 0.98
-    assert all(by[k].n_links == 0 and by[k].component_id == k and by[k].kept for k in range(9000, 9006)) and by[None].component_id is None
+    assert all(by[k].n_links == 0 and by[k].component_id == k and by[k].kept for k in (*range(9000, 9006), *range(9100, 9220))) and by[None].component_id is None
+    assert [(by[k].n_links, by[k].component_id) for k in (9500, 9501)] == [(1, 9500), (1, 9500)]
     assert near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert near_duplicate_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<double>")).collect()[0].n_links == 0
 
@@ -274,6 +292,17 @@ def test_salvage(compress):
     assert warc.salvage_bytes(b"") == []
 
 
+def test_salvage_reads_no_wrong_length(monkeypatch):
+    """A length that leads to no record end is told without reading up to it."""
+    parts = [warc.record(k, "u", b"<p>%d</p>" % k, warc.digest(b"<p>%d</p>" % k), None, False) for k in range(3)]
+    parts[0] = parts[0].replace(b"Content-Length: 8", b"Content-Length: 20000000")
+    asked, have = [], warc._Window.have
+    monkeypatch.setattr(warc._Window, "have", lambda w, n: asked.append(n) or have(w, n))
+    got = warc.salvage_bytes(b"".join(parts) + b" " * 30_000_000)
+    assert [x.headers["x-page-id"] for x in got if isinstance(x, warc.Record)] == ["1", "2"] and max(asked) < 10_000
+    assert [(x.offset, x.length) for x in got if isinstance(x, warc.Gap)] == [(0, len(parts[0])), (sum(map(len, parts)), 30_000_000)]
+
+
 def test_token_rollup(spark, corpus, tmp_path):
     rows = token_rows(docs(spark, corpus), {"bpe": vocabulary("byte_bpe_50k.tiktoken")}).cache()
     roll = TokenRollup(spark, f"file://{tmp_path}/roll")
@@ -355,15 +384,31 @@ def test_oracle(spark, name):
 
 
 def test_pipeline(spark):
+    """Every stage against a plain restatement on whole texts: sets of shingles, windows, spans, and the mix in SQL."""
     import corpus_pipeline
 
     docs_in = spark.read.parquet(f"{DATA}/documents.parquet")
     out = corpus_pipeline.run(spark, DATA)
     got = {r.doc_id: r for r in out.collect()}
-    texts = {r.doc_id: r.text for r in docs_in.collect()}
-    dropped = {r.doc_id for r in near_duplicates(docs_in).where("not kept").collect()}
-    leaked = {r.doc_id for r in decontaminate(docs_in, spark.read.parquet(f"{DATA}/benchmark.parquet")).where("contaminated").collect()}
-    assert set(got) <= set(texts) - dropped - leaked and len(got) >= 0.9 * len(set(texts) - dropped - leaked)
-    for k, r in got.items():
-        assert r.text == pii.redacted(texts[k], pii.find_spans([texts[k]])[0][1]) and not pii.base_spans(r.text)
+    rows = {r.doc_id: r for r in docs_in.collect() if any(c.isalpha() for c in r.text or "")}
+    ids = sorted(rows)
+    sets = [shingle_set(rows[d].text, 5) for d in ids]
+    links = [(i, j) for j in range(len(ids)) for i in range(j) if sets[i] and 4 * max(len(sets[i]), len(sets[j])) <= 5 * min(len(sets[i]), len(sets[j])) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    kept = [ids[k] for k, top in enumerate(closure(len(ids), links)) if k == top]
+    tokens = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    runs = lambda t, n: {tuple(t[k : k + n]) for k in range(len(t) - n + 1)}
+    windows = {}
+    for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect():
+        if t := tokens(r.text):
+            windows.setdefault(min(10, len(t)), set()).update(runs(t, min(10, len(t))))
+    clean = [d for d in kept if not any(runs(tokens(rows[d].text), n) & w for n, w in windows.items())]
+    assert links and 0 < len(clean) < len(kept) < len(ids)
+    texts = {d: pii.redacted(rows[d].text, pii.find_spans([rows[d].text])[0][1]) for d in clean}
+    con = duckdb.connect()
+    con.execute("create table left_ (doc_id bigint, source varchar, text varchar)")
+    con.executemany("insert into left_ values (?, ?, ?)", [(d, rows[d].source, texts[d]) for d in clean])
+    want = {d: taken for d, taken in con.sql(f"select doc_id, taken from ({MIX_SQL.format(docs='left_')}) where taken > 0").fetchall()}
+    assert {d: r.taken for d, r in got.items()} == want and out.count() == len(got)
+    for d, r in got.items():
+        assert r.text == texts[d] and not pii.base_spans(r.text)
     assert out.columns == [*docs_in.columns, "size", "taken", "copies"] and json.dumps(corpus_pipeline.ORACLE_SQL) == "null"
