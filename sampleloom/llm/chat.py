@@ -53,7 +53,8 @@ def preference_examples(pairs: DataFrame) -> DataFrame:
     The longest common prefix of turns, equal in role and text, is the prompt, rendered once. The completions are the turns
     after it; a mask has the spans in its completion, in code points, of assistant texts with their end markers. usable
     is false if a completion has no assistant turn: equal conversations, one that is a prefix of the other, nulls and empty arrays.
-    A null role is `unknown`, a null text empty.
+    A null role is `unknown`, a null text empty. Long texts are rendered whole; pairs that repeat give their examples
+    each; a null pair_id stays null. Other columns are ignored. An empty table gives no rows.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,10 +72,16 @@ def preference_examples(pairs: DataFrame) -> DataFrame:
 
 
 def conversations(turns: DataFrame) -> DataFrame:
-    """One row (conv_id, turns) for each conv_id of turns (conv_id, turn, role, text), by turn, then role and text."""
+    """One row (conv_id, turns) for each conv_id of turns (conv_id, turn, role, text), by turn, then role and text.
+
+    A turn without conv_id belongs to no other and is a conversation of its own, with a null conv_id. Rows that repeat
+    are turns that repeat; turns with equal numbers stand by role and text, nulls first. A conversation, however long,
+    is one row, as its examples are. Other columns are ignored, whatever their names. An empty table gives no rows.
+    """
     row = F.struct(F.col("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    one = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("t"))
-    return one.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    plain = lambda t: F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns")
+    one = turns.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("t")).select("conv_id", plain(F.col("t")))
+    return one.unionByName(turns.where("conv_id is null").select("conv_id", plain(F.array(row))))
 
 
 def stale_reply_pairs(convs: DataFrame) -> DataFrame:
@@ -96,7 +103,8 @@ def stale_reply_pairs(convs: DataFrame) -> DataFrame:
 
 #: DuckDB: the stale-reply pairs, their common turns and their texts.
 CHAT_SQL = r"""
-WITH t AS (SELECT conv_id, list({'role': coalesce(nullif(replace(role, '<|', '< |'), ''), 'unknown'), 'text': replace(coalesce(text, ''), '<|', '< |')} ORDER BY turn, role, text) AS turns FROM conversations GROUP BY conv_id),
+WITH t AS (SELECT conv_id, list({'role': coalesce(nullif(replace(role, '<|', '< |'), ''), 'unknown'), 'text': replace(coalesce(text, ''), '<|', '< |')} ORDER BY turn, role, text) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+  UNION ALL SELECT conv_id, [{'role': coalesce(nullif(replace(role, '<|', '< |'), ''), 'unknown'), 'text': replace(coalesce(text, ''), '<|', '< |')}] FROM conversations WHERE conv_id IS NULL),
 p AS (SELECT conv_id, turns, list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant') AS spots FROM t),
 q AS (SELECT conv_id, CASE WHEN len(spots) > 0 THEN turns[1:spots[-1]] ELSE turns END AS c,
   CASE WHEN len(spots) > 0 THEN turns[1:spots[-1] - 1] || [{'role': 'assistant', 'text': CASE WHEN len(spots) > 1 THEN turns[spots[-2]].text ELSE '' END}] ELSE turns END AS r FROM p),

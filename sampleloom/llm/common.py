@@ -2,67 +2,66 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: White space of the word patterns: space, tab, LF, VT, FF, CR.
-SPACE = r"[\x20\x09-\x0D]+"
+from ..functions.names import free_name, remove_path, scratch_path
 
+__all__ = ["BATCH_BYTES", "bounded_batches", "components", "discard", "free_name", "new_path", "spread", "written"]
 
 #: Bytes of an Arrow batch, about; a row is never cut.
 BATCH_BYTES = 4 << 20
+#: Inputs of fewer bytes a core than this are dealt out to all cores before Python works on them.
+SMALL_BYTES = 6 << 20
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="sampleloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+new_path = scratch_path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more; what isn't removed goes when the driver ends."""
+    for t in tables:
+        remove_path(t.sparkSession, t.written_at)
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, with its session's Arrow batches set to a few MB: long texts then can't fill a Python worker's memory."""
+    """df, with its session's Arrow batches at BATCH_BYTES at most: long texts then can't fill a Python worker's memory.
+
+    Spark reads the setting when the plan runs, after this returns, so it stays set in the session.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """A column name that no column of df has, whatever the case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores if it is small: a small file is a single row group, which a single task would read.
+
+    Larger tables have many row groups and stay as they are, so this never shuffles more than SMALL_BYTES a core.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < SMALL_BYTES * cores else df
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v): rows (node, label), label the smallest node reachable.
 
     Each round takes the smallest label among neighbours (a partial aggregate, so hubs are safe), then jumps
-    along labels; labels are nodes of the same component, so chains halve. Every round is written to the shared folder.
+    along labels; labels are nodes of the same component, so chains halve. Every round is written to the shared folder,
+    and the tables of the round before are removed.
     """
     edges = written(edges.select("u", "v").where("u != v").distinct(), "edges")
     both = written(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
+    discard(edges)
     labels = written(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         # the smallest label of the neighbours also hooks the old label's node (not only the row itself)
@@ -70,10 +69,13 @@ def components(edges: DataFrame) -> DataFrame:
         hooks = seen.select(F.explode(F.array("u", "own")).alias("node"), F.least("near", "own").alias("m")).groupBy("node").agg(F.min("m").alias("m"))
         hooks = written(hooks, "hooks")
         if hooks.isEmpty():
+            discard(both, hooks)
             return labels
-        low = labels.join(hooks, "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"))
-        low = written(low, "low")
+        first = written(labels.join(hooks, "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label")), "low")
+        low = first
         for _ in range(2):
             up = low.select(F.col("node").alias("label"), F.col("label").alias("next"))
             low = low.join(up, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-        labels = written(low, "labels")
+        again = written(low, "labels")
+        discard(labels, hooks, first)
+        labels = again

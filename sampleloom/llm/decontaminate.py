@@ -57,8 +57,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, shingle: int = SHINGLE,
     and length bounds drop windows that would start before or end after the document; the rest are confirmed by the
     text of every shingle at its place, which together cover the window's words exactly.
 
-    Null or empty texts have no words. Rows of the same doc_id and text share their figures; other rows of a doc_id are
-    apart. Items without words or id, and an empty benchmark, hit nothing.
+    Null or empty texts have no words; long texts count whole. Rows of the same doc_id (null is one) and text share their figures; other rows of a
+    doc_id are apart. Of equally rare shingles of a window the one that sorts first is joined. Items without words or id, and an empty
+    benchmark, hit nothing; items that repeat count once each id. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     wins = written(benchmark_windows(items, shingle, window), "windows")
     grams = wins.select("win", "width", F.explode("grams").alias("g")).select("win", "width", "g.pos", "g.gram")

@@ -1,42 +1,52 @@
-"""Embedding near-dedup by a pivot-permutation index: ordered nearest pivots, shared-pivot lists, exact checks."""
+"""Embedding near-dedup by a pivot-permutation index: ordered nearest pivots, inverted pivot lists, shared-pivot counts, exact checks."""
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, written
+from .common import bounded_batches, components, discard, written
 from .near_dup import groups
 
-#: Reference points, how many of the nearest describe a vector, and how many two vectors must share.
-PIVOTS, NEAREST, SHARED = 96, 6, 2
+#: Pivots of n vectors: PER_ROOT * sqrt(n), so that lists and comparisons a vector grow as sqrt(n) / PER_ROOT, up to MOST_PIVOTS.
+PER_ROOT, MOST_PIVOTS = 4, 8192
+#: How many nearest pivots describe a vector, and how many of these two linked vectors must share.
+NEAREST, SHARED = 8, 2
+#: A vector is listed under its nearest pivot and asks the lists of at most VISITS nearest ones, those whose cosine is
+#: less than MARGIN below the nearest one's.
+VISITS, MARGIN = 4, 0.08
 #: Vectors in a block of an inverted list.
-BLOCK = 512
+BLOCK = 1024
 #: Rows that the pivots are drawn from, about.
-SAMPLE_ROWS = 4096
+SAMPLE_ROWS = 4 * MOST_PIVOTS
 #: Pivots have smaller cosines with each other.
-APART = 0.8
+APART = 0.9
 
 
-def usable_rows(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Which vectors are usable, and the usable ones in double precision.
+def by_dimension(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, positions, vectors in double precision) of the usable rows of a list column, for each dimension in it.
 
-    Null, empty and zero vectors and any with a null or non-finite component are not usable; nor are vectors of another
-    dimension than dim, by default the column's most frequent one.
+    Null, empty and zero vectors and any with a null or non-finite component are not usable.
     """
-    rows = column.to_pylist()
-    size = [len(r) if r and None not in r else 0 for r in rows]
-    dim = max(sorted(set(size) - {0}), key=size.count, default=0) if dim is None else dim
-    good = np.array([s == dim and dim > 0 for s in size], bool)
-    x = np.array([r for r, g in zip(rows, good, strict=True) if g], np.float64).reshape(-1, max(dim, 1))
-    fine = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
-    good[np.flatnonzero(good)[~fine]] = False
-    return good, x[fine]
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    if not len(column):
+        return
+    at = np.asarray(column.offsets)
+    values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)  # nulls are NaN
+    size = np.where(np.asarray(column.is_valid()), np.diff(at), 0)
+    for dim in np.unique(size[size > 0]).tolist():
+        rows = np.flatnonzero(size == dim)
+        x = values[at[rows][:, None] + np.arange(dim)]
+        fine = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+        if fine.any():
+            yield dim, rows[fine], x[fine]
 
 
 def normalised(x: np.ndarray) -> np.ndarray:
@@ -45,148 +55,192 @@ def normalised(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample_rows: int = SAMPLE_ROWS, seed: int = 5) -> np.ndarray:
-    """Pivots from about sample_rows rows: the first in random order that lie apart from all before them.
+def apart(x: np.ndarray, most: int, seed: int = 5) -> np.ndarray:
+    """At most `most` rows of x: the first in random order that lie apart from all before them.
 
     Pivots from one tight group would order its members by noise, so a group gives one at most.
     """
-    total = vectors.count()
-    picked = vectors if total <= sample_rows else vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * sample_rows / total))
-    column = picked.select("embedding").toArrow()["embedding"].combine_chunks()
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-    _, x = usable_rows(column)
     x = np.unique(normalised(x), axis=0)
-    rng = np.random.default_rng(seed)
-    chosen = np.zeros((0, x.shape[1]))
-    for v in x[rng.permutation(len(x))]:
-        if len(chosen) < pivots and (not len(chosen) or (chosen @ v).max() < APART):
-            chosen = np.vstack([chosen, v])
-    return chosen
+    chosen, n = np.zeros((min(most, len(x)), x.shape[1])), 0
+    for v in x[np.random.default_rng(seed).permutation(len(x))]:
+        if n == len(chosen):
+            break
+        if not n or (chosen[:n] @ v).max() < APART:
+            chosen[n] = v
+            n += 1
+    return chosen[:n]
+
 
+def choose_pivots(vectors: DataFrame, per_root: float = PER_ROOT, sample_rows: int = SAMPLE_ROWS) -> dict[int, np.ndarray]:
+    """Pivots of each dimension, from about sample_rows different rows that a hash of id and content picks.
 
-def _describe(shared_pivots, nearest: int, kind: str):
+    A dimension of which the sample has nothing has no pivots: its vectors share one list.
+    """
+    counts = {r.d: r.n for r in vectors.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()}  # one row a dimension
+    total = sum(counts.values())
+    picked = vectors
+    if total > sample_rows:
+        picked = vectors.where(F.pmod(F.xxhash64("vec_id", "embedding", F.lit("pivots")), F.lit(1 << 30)) < int((1 << 30) * sample_rows / total))
+    column = picked.select("embedding").dropDuplicates(["embedding"]).toArrow()["embedding"]
+    return {dim: apart(x, min(MOST_PIVOTS, math.ceil(per_root * math.sqrt(counts[dim])))) for dim, _, x in by_dimension(column)}
+
+
+def _describe(shared_pivots, nearest: int, visits: int, margin: float, kind: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = shared_pivots.value
         for batch in batches:
-            good, x = usable_rows(batch.column(1), pivots.shape[1])
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[good]
-            if not len(x):
-                continue
-            near = np.argsort(-(normalised(x) @ pivots.T), axis=1, kind="stable")[:, :nearest]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1]), pa.int32()), pa.array(near.reshape(-1).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), lists], names=["vec_id", "vector", "near"])
+            for dim, rows, every in by_dimension(batch.column(1)):
+                ids = batch.column(0).to_numpy(zero_copy_only=False)[rows].astype(np.int64)
+                pivots = shared_pivots.value.get(dim)
+                for k in range(0, len(ids), 2048):
+                    x = every[k : k + 2048]
+                    if pivots is None:
+                        near, seen = np.zeros((len(x), 1), np.int16), np.ones(len(x), np.int32)
+                    else:
+                        cos = normalised(x) @ pivots.T
+                        m = min(nearest, len(pivots))
+                        near = np.argpartition(-cos, m - 1, axis=1)[:, :m] if m < len(pivots) else np.tile(np.arange(m), (len(x), 1))
+                        value = np.take_along_axis(cos, near, 1)
+                        order = np.lexsort((near, -value), axis=1)
+                        near, value = np.take_along_axis(near, order, 1).astype(np.int16), np.take_along_axis(value, order, 1)
+                        seen = (value[:, :visits] > value[:, :1] - margin).sum(axis=1).astype(np.int32)
+                    raw = [r.tobytes() for r in x.astype(kind)]
+                    cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(seen)]), pa.int32()), pa.array(np.concatenate([r[:s] for r, s in zip(near, seen, strict=True)]).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[k : k + 2048]), pa.array([dim] * len(x), pa.int32()), pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary()), pa.array([r.tobytes() for r in near], pa.binary()), cells],
+                        names=["vec_id", "dim", "digest", "vector", "near", "cells"],
+                    )
 
     return run
 
 
+DESCRIBED = "vec_id long, dim int, digest binary, vector binary, near binary, cells array<int>"
+
+
+def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest position that each of n is connected with by pairs (a, b)."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _compare(least: float, shared: int, kind: str):
-    """In each block pair: how many vectors each is linked with, weighted by copies, and links that connect them.
+    """In each block pair of a list: how many vectors each is linked with, weighted by copies, and links that connect them.
 
-    A pair that shares more pivots than a list's key is met in several lists; it counts in that of its smallest
-    common pivots. Only rows of the pair's two blocks are compared, and a block with itself once.
+    Vectors at home in a list (its pivot is their nearest) are compared with each other and with its visitors. Two
+    vectors that are visitors of each other's homes meet twice; the list of the smaller pivot counts.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, 3):
+        for group in groups(batches, 4):
             if len(group) < 2:
                 continue
             group = group.combine_chunks()
-            i, j = group["i"][0].as_py(), group["j"][0].as_py()
-            key = np.array(group["key"][0].as_py().split("-"), int)
-            ids, own, copies = (group[c].to_numpy() for c in ("rep", "own", "copies"))
+            cell, i, j, nb = (group[c][0].as_py() for c in ("cell", "i", "j", "nb"))
+            ids, own, copies, seen = (group[c].to_numpy() for c in ("rep", "own", "copies", "seen"))
+            home = group["home"].to_numpy(zero_copy_only=False).astype(bool)
             x = normalised(np.frombuffer(b"".join(group["vector"].to_pylist()), kind).reshape(len(ids), -1).astype(np.float64))
-            near = np.sort(np.array(group["near"].to_pylist()), axis=1)
-            cos = x @ x.T
-            a, b = np.nonzero(np.triu(cos >= least - 1e-12, 1))
-            exact = np.einsum("kd,kd->k", x[a], x[b]) if len(a) else np.zeros(0)
-            a, b = a[exact >= least], b[exact >= least]
-            if i != j:
-                apart = own[a] != own[b]
-                a, b = a[apart], b[apart]
-            if not len(a):
-                continue
-            keep = np.zeros(len(a), bool)
-            for k in range(0, len(a), 1 << 16):
-                na, nb = near[a[k : k + (1 << 16)]], near[b[k : k + (1 << 16)]]
-                common = (na[:, :, None] == nb[:, None, :]).any(axis=2)
-                first = np.where(common, na, np.iinfo(np.int32).max)
-                first.sort(axis=1)
-                keep[k : k + (1 << 16)] = (first[:, :shared] == key).all(axis=1)
-            a, b = a[keep], b[keep]
+            near = np.frombuffer(b"".join(group["near"].to_pylist()), np.int16).reshape(len(ids), -1)
+            needed = min(shared, near.shape[1])
+            at_home, visiting = np.flatnonzero(home), np.flatnonzero(~home)
+            sides = [(at_home, visiting)] if len(visiting) else []
+            if j < nb:
+                sides.append((at_home, at_home) if i == j else (at_home[own[at_home] == i], at_home[own[at_home] == j]))
+            us, vs = [], []
+            for left, right in sides:
+                a, b = np.nonzero(x[left] @ x[right].T >= least - 1e-12)
+                a, b = left[a], right[b]
+                if right is left:
+                    a, b = a[a < b], b[a < b]
+                for k in range(0, len(a), 1 << 14):
+                    p, q = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
+                    good = np.einsum("kd,kd->k", x[p], x[q]) >= least
+                    good &= (near[p][:, :, None] == near[q][:, None, :]).any(axis=2).sum(axis=1) >= needed
+                    if right is visiting:  # both meet again in the visitor's home if p visits that
+                        again = ((near[p] == near[q][:, :1]) & (np.arange(near.shape[1]) < seen[p][:, None])).any(axis=1)
+                        good &= ~again | (cell < near[q][:, 0])
+                    us.append(p[good])
+                    vs.append(q[good])
+            a, b = (np.concatenate(z) if z else np.zeros(0, int) for z in (us, vs))
             if not len(a):
                 continue
             links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
-            # a spanning forest of the links connects what all of them connect
-            parent = list(range(len(ids)))
-
-            def find(k: int, parent: list[int] = parent) -> int:
-                while parent[k] != k:
-                    parent[k] = parent[parent[k]]
-                    k = parent[k]
-                return k
-
-            us, vs = [], []
-            for p, q in zip(a.tolist(), b.tolist(), strict=True):
-                rp, rq = find(p), find(q)
-                if rp != rq:
-                    parent[rp] = rq
-                    us.append(ids[p])
-                    vs.append(ids[q])
-            at = np.flatnonzero(links)
+            label = connected(len(ids), a, b)
+            at, joined = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(ids)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([ids[at], us]).astype(np.int64)), pa.array([None] * len(at) + vs, pa.int64()), pa.array([*links[at].astype(np.int64).tolist(), *[0] * len(us)], pa.int64())],
+                [pa.array(np.concatenate([ids[at], ids[joined]])), pa.array([None] * len(at) + ids[label[joined]].tolist(), pa.int64()), pa.array(np.concatenate([links[at].astype(np.int64), np.zeros(len(joined), np.int64)]))],
                 names=["u", "v", "links"],
             )
 
     return run
 
 
-def near_duplicate_vectors(vectors: DataFrame, *, least: float = 0.95, pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """A row (vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding).
+def near_duplicate_vectors(
+    vectors: DataFrame, *, least: float = 0.95, per_root: float = PER_ROOT, nearest: int = NEAREST, shared: int = SHARED, visits: int = VISITS, margin: float = MARGIN, sample_rows: int = SAMPLE_ROWS
+) -> DataFrame:
+    """A row (vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding); other columns are ignored.
 
-    Each vector is described by its `nearest` pivots in order of nearness. The inverted lists are keyed by
-    subsets of `shared` of these: vectors meet in a list if they share at least that many pivots. Lists are cut
-    into blocks and every pair of blocks is compared in one task by cosine in double precision, so that no list,
-    whatever its share of the rows, is held or expanded whole. Exact copies are one row with a count from the start.
+    Each dimension has pivots of its own, more of them the more vectors there are. A vector is described by its `nearest`
+    pivots in order of nearness (ties: the smaller pivot) and listed under the first; it asks its own list and those of
+    the next ones that are about as near. Vectors that so meet and share at least `shared` pivots are candidates, and
+    linked if their cosine in double precision is `least` or more. Lists are cut into blocks and every pair of
+    blocks is compared in one task, so that no list, whatever its share of the rows, is held whole; the work of a list
+    of n different vectors in which all meet is n^2 / 2 comparisons, spread over tasks. Exact copies are one row with a count from the start.
 
-    Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; nor do vectors whose
-    dimension isn't the pivots', the most frequent one in their sample. Rows that share a
-    vec_id are one vector in links and components. Null vec_id: no links, null component, kept.
+    Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; those of different
+    dimensions don't link with each other. Rows that share a vec_id are one vector in links and components (the row with the most links counts). Null
+    vec_id: no links, null component, kept. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     base = bounded_batches(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"))
     single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
     base, kind = (base, "<f4") if single else (base.withColumn("embedding", F.col("embedding").cast("array<double>")), "<f8")
-    points = choose_pivots(base, pivots, sample_rows)
-    shared_pivots = spark.sparkContext.broadcast(points)  # `pivots` rows at most
-    k = min(nearest, len(points))
-    shared = min(shared, max(k, 1))
-    ids = base.select("vec_id")
     own = F.col("vec_id").isNotNull()
-    if len(points):
-        described = written(base.where(own).mapInArrow(_describe(shared_pivots, nearest, kind), "vec_id long, vector binary, near array<int>"), "described")
-    else:
-        described = written(spark.createDataFrame([], "vec_id long, vector binary, near array<int>"), "described")
-    described = described.withColumn("digest", F.sha2("vector", 256))
-    classes = written(described.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.first("vector").alias("vector"), F.first("near").alias("near")), "classes")
-    subsets = list(combinations(range(k), shared))
-    ordered = F.array_sort("near")
-    keys = F.array(*[F.array_join(F.transform(F.array(*[F.lit(s) for s in c]), lambda s: F.element_at(ordered, s + 1).cast("string")), "-") for c in subsets]) if subsets and k else F.array().cast("array<string>")
-    listed = classes.select("rep", F.explode(keys).alias("key"))
-    sizes = listed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
-    sizes = written(sizes, "lists")
-    rows = listed.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep"), "nb").cast("int"))
-    rows = rows.select("key", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "own").join(classes.select("rep", "vector", "near", "copies"), "rep")
+    pivots = choose_pivots(base.where(own), per_root, sample_rows)
+    shared_pivots = spark.sparkContext.broadcast(pivots)  # MOST_PIVOTS a dimension, and no more than sample_rows in all
+    described = written(base.where(own).mapInArrow(_describe(shared_pivots, nearest, visits, margin, kind), DESCRIBED), "described")
+    members = written(described.select("vec_id", "digest").distinct(), "members")
+    heads = written(members.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "heads")
+    # id and digest are the key, so that the many rows of one digest are spread
+    first = described.join(heads.withColumnRenamed("rep", "vec_id"), ["digest", "vec_id"]).dropDuplicates(["digest", "vec_id"])
+    classes = written(first.select(F.col("vec_id").alias("rep"), "dim", "vector", "near", "cells", "copies"), "vectors")
+    discard(described)
+    listed = classes.select("rep", "dim", "vector", "near", "copies", F.size("cells").alias("seen"), F.posexplode("cells").alias("k", "cell")).withColumn("home", F.col("k") == 0)
+    sizes = listed.groupBy("dim", "cell").agg(F.sum(F.col("home").cast("int")).alias("nh"), F.sum((~F.col("home")).cast("int")).alias("nv")).where("nh > 0 and nh + nv > 1")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    sizes = written(sizes.select("dim", "cell", blocks("nh").alias("nb"), blocks("nv").alias("mb")), "lists")  # a row a pivot at most
+    rows = listed.join(sizes, ["dim", "cell"])
+    rows = rows.withColumn("own", F.when(F.col("home"), F.pmod(F.xxhash64("rep"), "nb")).otherwise(F.pmod(F.xxhash64("rep"), F.greatest("mb", F.lit(1)))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1)
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    among = F.transform(upto("nb"), lambda j: pair(F.least("own", j), F.greatest("own", j)))
+    asked = F.when(F.col("mb") > 0, F.transform(upto("mb"), lambda j: pair(F.col("own"), F.col("nb") + j))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    ask = F.transform(upto("nb"), lambda i: pair(i, F.col("nb") + F.col("own")))
+    whole = (F.col("nb") == 1) & (F.col("mb") <= 1)  # visitors and those at home in one task
+    tasks = F.when(whole, F.array(pair(F.lit(0), F.lit(0)))).when(F.col("home"), F.concat(among, asked)).otherwise(ask)
+    rows = rows.select("dim", "cell", F.explode(tasks).alias("t"), "rep", "own", "home", "nb", "copies", "seen", "vector", "near").select("dim", "cell", "t.i", "t.j", "rep", "own", "home", "nb", "copies", "seen", "vector", "near")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("key", "i", "j", "rep", "own", "copies", "vector", "near").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = rows.repartition(n, "dim", "cell", "i", "j").sortWithinPartitions("dim", "cell", "i", "j")
     found = written(rows.mapInArrow(_compare(least, shared, kind), "u long, v long, links long"), "found")
+    discard(classes, sizes)
     labels = components(found.where("v is not null").select("u", "v"))
     counts = found.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    final = classes.select("digest", "rep", "copies").join(counts, "rep", "left").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    final = heads.join(counts, "rep", "left").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     final = written(final.select("digest", F.coalesce("label", "rep").alias("top"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "final")
-    member = described.select("vec_id", "digest").join(final, "digest").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("top").alias("top"))
-    member = written(member, "member")
-    component = F.when(own, F.coalesce("top", "vec_id"))
-    return ids.join(member, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    # a vec_id with several different vectors connects their classes
+    several = members.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id")
+    joined = written(members.join(several, "vec_id").join(final, "digest").select("vec_id", "top"), "joined")
+    if not joined.isEmpty():
+        up = components(joined.groupBy("vec_id").agg(F.min("top").alias("u")).join(joined, "vec_id").select("u", F.col("top").alias("v")))
+        again = final.join(up.select(F.col("node").alias("top"), "label"), "top", "left").select("digest", F.coalesce("label", "top").alias("top"), "n_links")
+        final = written(again, "final")
+    member = written(members.join(final, "digest").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("top").alias("top")), "member")
+    discard(members, heads, found, joined)
+    component = F.coalesce("top", "vec_id")
+    known = base.where(own).select("vec_id").join(member, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return known.unionByName(base.where(~own).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))

@@ -13,12 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, free_name, spread
 
-#: Labelled rows that a model is fitted on, about; a hash of doc_id picks them.
+#: Labelled rows that a model is fitted on, about; a hash of doc_id and text picks them.
 FIT_ROWS = 8_000
-#: The longest character n-gram, and words that a text's score speaks for at most.
-LONGEST, EVIDENCE = 5, 12
+#: The longest character n-gram.
+LONGEST = 5
+#: Calibration of the score, not of the language: a text's words aren't independent, so its mean log frequencies count as those of this
+#: many words at most. The README has how often scores of held-out documents are right.
+EVIDENCE = 12
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Unseen words whose scores a worker remembers, distinct words that it counts before it hands on their n-grams' counts,
@@ -85,11 +88,12 @@ class LanguageModel:
         Words and n-grams seen fewer than `least` times are left out. Counting runs in the tasks; the driver gets the
         summed counts of that bounded sample.
         """
-        known = bounded_batches(docs).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+        docs = spread(bounded_batches(docs).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
+        known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         total = known.count()
         if total > fit_rows:
-            known = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")), F.lit(1 << 30)) < int((1 << 30) * fit_rows / total))
-        counts = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(_count, "n int, gram string, lang string, count long")
+            known = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("fit")), F.lit(1 << 30)) < int((1 << 30) * fit_rows / total))
+        counts = known.select("lang", "text").mapInArrow(_count, "n int, gram string, lang string, count long")
         counts = counts.groupBy("n", "gram", "lang").agg(F.sum("count").alias("count"))
         enough = counts.groupBy("n", "gram").agg(F.collect_list(F.struct("lang", "count")).alias("by"), F.sum("count").alias("total")).where(F.col("total") >= least)
         rows = enough.select("n", "gram", F.explode("by").alias("x")).select("n", "gram", "x.lang", "x.count").toArrow()
@@ -176,10 +180,11 @@ class LanguageModel:
 
 
 def identify_languages(docs: DataFrame, *, fit_rows: int = FIT_ROWS, model: LanguageModel | None = None) -> DataFrame:
-    """docs with lang_pred and score appended (names that docs must not have); every column of docs stays.
+    """docs with lang_pred and score appended; every column of docs stays.
 
-    lang_pred is a learned language, or `und` with score 0 where the text is null or has no letter, or nothing was
-    learned. Only the text decides. Ties go to the language that sorts first.
+    The two names get underscores where docs has them already (see result_names). lang_pred is a learned language, or `und` with score 0 where the text is null or has
+    no letter, or nothing was learned. Only the text decides. Ties go to the language that sorts first. Long texts count whole, rows that repeat an id or a text
+    each get the same answer, an empty table gives no rows. For learning, a document whose rows repeat counts as often as it is there.
     """
     docs = bounded_batches(docs)
     model = model or LanguageModel.fit(docs, fit_rows)
@@ -192,5 +197,12 @@ def identify_languages(docs: DataFrame, *, fit_rows: int = FIT_ROWS, model: Lang
         langs, scores = shared.value.predict(None if t is None or t != t else t for t in texts)
         return pd.DataFrame({"lang_pred": langs, "score": [min(1.0, max(0.0, s)) if math.isfinite(s) else 0.0 for s in scores]})
 
-    found = docs.withColumn("found_", predict(F.col("text").cast("string")))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("found_.lang_pred").alias("lang_pred"), F.col("found_.score").alias("score"))
+    pred, score = result_names(docs)
+    found = free_name(docs, "found", pred, score)
+    rows = spread(docs).withColumn(found, predict(F.col("text").cast("string")))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{found}`.lang_pred").alias(pred), F.col(f"`{found}`.score").alias(score))
+
+
+def result_names(docs: DataFrame) -> tuple[str, str]:
+    """The names that identify_languages gives its two columns."""
+    return free_name(docs, "lang_pred"), free_name(docs, "score")

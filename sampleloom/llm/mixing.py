@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import discard, free_name, written
 
 #: Rows of a key range on average; a range is the unit that one task sorts.
 RANGE_ROWS = 2_000
@@ -13,7 +13,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
-    """Words as a long; a null has none. Separators are counted on the text without its words' insides."""
+    """Words as a long; a null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
@@ -46,17 +46,19 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), per
 def mix_sources(docs: DataFrame, *, seed: str = "mix", weights: tuple[int, ...] = (5, 2, 1), percent: int = 150, most: int = 2, range_rows: int = RANGE_ROWS) -> DataFrame:
     """A row (doc_id, size, source, source_size, target, taken) for each row of docs.
 
-    The md5 of seed and doc_id is a document's key; the documents of a source stand in the order of their keys. A
+    The md5 of seed, doc_id and text is a document's key; the documents of a source stand in the order of their keys. A
     source of n documents has ceil(n / range_rows) equal key ranges: range totals are summed first, their running sums
     give each range's start, and a window within the range gives each document's. So no task holds more than a range,
     whatever the source's share. A source takes floor(target / source_size) whole epochs, then documents in order up to
     the budget that is left; the document at the cut gives only the words that still fit. A document is so taken once
-    more than the epochs at most. Reruns agree: keys depend on seed and doc_id only.
+    more than the epochs at most. Reruns agree: keys depend on seed, doc_id and text only.
 
-    Null text: size 0, nothing taken. Null source: a source of its own, last. Rows that repeat a doc_id are
-    documents of their own with the same key, ordered by size. An empty table, or sizes that are all 0, give targets of 0.
+    Null text: size 0, nothing taken. Null source: a source of its own, last. Null doc_ids are spread by their texts. Rows that repeat a doc_id are
+    documents of their own; those that repeat the text too have one key and so lie in one range, whose task holds
+    their sizes. Long texts count whole. Other columns are ignored, whatever their names. An empty table gives no rows; sizes that are all 0 give targets of 0.
     """
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text).cast("binary"))
     base = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), key.alias("key"))
     base = written(base, "sized")
     sources = written(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, percent, most), "targets")
@@ -65,6 +67,7 @@ def mix_sources(docs: DataFrame, *, seed: str = "mix", weights: tuple[int, ...]
     on = base["source"].eqNullSafe(sources["source"])
     ranged = base.join(sources, on).select(base["source"], "doc_id", "size", "key", "source_size", "target", F.floor(share * F.ceil(F.col("n") / range_rows)).alias("range"))
     ranged = written(ranged, "ranged")
+    discard(base, sources)
     totals = ranged.groupBy("source", "range").agg(F.sum("size").alias("total"))
     start = F.sum("total").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select(F.col("source").alias("s_"), F.col("range").alias("r_"), F.coalesce(start, F.lit(0)).alias("start"))
@@ -85,16 +88,17 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     share what is taken of them evenly.
     """
     size, taken, copies = (free_name(docs, c) for c in ("size", "taken", "copies"))
+    doc, source = free_name(docs, "mix_doc"), free_name(docs, "mix_source")
     took = mix_sources(docs, **options).groupBy("doc_id", "source", "size").agg(F.floor(F.avg("taken")).alias("taken")).where("taken > 0")
-    took = written(took, "took").select(F.col("doc_id").alias("d_"), F.col("source").alias("s_"), F.col("size").alias(size), F.col("taken").alias(taken))
+    took = written(took, "took").select(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("size").alias(size), F.col("taken").alias(taken))
     named = docs.withColumn(size, word_count(F.col("text").cast("string")))
-    on = named["doc_id"].eqNullSafe(took["d_"]) & named["source"].cast("string").eqNullSafe(took["s_"]) & (named[size] == took[size])
+    on = named["doc_id"].eqNullSafe(took[doc]) & named["source"].cast("string").eqNullSafe(took[source]) & (named[size] == took[size])
     return named.join(took, on).select(*[named[f"`{c}`"] for c in docs.columns], named[size], took[taken], F.ceil(took[taken] / named[size]).alias(copies))
 
 
 #: DuckDB: the same mix in one window over each source.
 MIX_SQL = r"""
-WITH base AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM {docs}),
+WITH base AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key FROM {docs}),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
 weighted AS (SELECT *, list_extract([5, 2, 1], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)) AS w, 2 * source_size AS stop FROM per),
 levels AS (SELECT *, ((SELECT sum(source_size) FROM per) * 150 / 100.0 - coalesce(sum(stop) OVER before, 0)) / CAST((SELECT sum(w) FROM weighted) - coalesce(sum(w) OVER before, 0) AS DOUBLE) AS level

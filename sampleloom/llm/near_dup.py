@@ -11,13 +11,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, written
+from .common import bounded_batches, components, discard, spread, written
 from .shingles import U, mix, shingle_sets, sketches
 
 #: 42 bands of 6 coordinates: a pair at similarity 0.8 misses every band with probability 3e-6.
 BANDS, ROWS = 42, 6
 #: Documents in a block of a bucket; buckets of any size are cut into blocks.
-BLOCK = 256
+BLOCK = 1024
+#: Standard deviations below the threshold at which a sketch's estimate rules a pair out: one of 3 million pairs at the threshold.
+DEVIATIONS = 5
 _CHUNK = 2 << 20
 
 
@@ -42,7 +44,10 @@ def _sketch(width: int, bands: int, rows: int):
                 keys = mix((found * odd).sum(axis=2, dtype=U) + mix(np.arange(bands, dtype=U) + U(77)))
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * bands + 1, bands), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "keys"])
+                short = (mix(found.reshape(len(sets), -1).copy()) & U(255)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), lists, pa.array([r.tobytes() for r in short], pa.binary())], names=["doc_id", "n_shingles", "digest", "keys", "short"]
+                )
 
     return run
 
@@ -95,38 +100,41 @@ def groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def likely(short: np.ndarray, size: np.ndarray, other: np.ndarray, other_size: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows of two blocks may reach the similarity, by their sizes and by the share of equal sketch bytes.
+
+    Bytes of different coordinates agree by chance once in 256, which only raises the share.
+    """
+    p = percent / 100
+    need = p - DEVIATIONS * np.sqrt(p * (1 - p) / short.shape[1])
+    out = 100 * np.minimum(size[:, None], other_size) >= percent * np.maximum(size[:, None], other_size)
+    columns = np.ascontiguousarray(other.T)
+    for k in np.flatnonzero(out.any(axis=1)).tolist():
+        same = np.zeros(len(other), np.int32)
+        for c in range(0, len(columns), 63):
+            same += (columns[c : c + 63] == short[k, c : c + 63, None]).sum(axis=0, dtype=np.uint8)
+        out[k] &= same >= need * short.shape[1]
+    return out
+
+
 def _blocks(percent: int):
-    """Links between documents of different components in a block pair; a few per document, enough to connect."""
+    """Pairs of different components in a block pair that the sketches don't rule out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 3):
             group = group.combine_chunks()
-            reps, comps = group["rep"].to_numpy(), group["comp"].to_numpy()
+            i, j = group["i"][0].as_py(), group["j"][0].as_py()
+            reps, comps, own, size = (group[c].to_numpy() for c in ("rep", "comp", "own", "n"))
             if len(np.unique(comps)) < 2:
                 continue
-            sets = [np.frombuffer(x.as_buffer(), U) for x in group["shingles"].chunk(0)]
-            size = np.array([len(s) for s in sets])
-            values, code = np.unique(np.concatenate(sets), return_inverse=True)
-            owner = np.repeat(np.arange(len(sets)), size)
-            order = np.argsort(code, kind="stable")
-            at = np.searchsorted(code[order], np.arange(len(values) + 1))
-            holders, ends = owner[order], np.cumsum(size)
-            # every pair of two components holds a document of all but one of them: the most frequent is not walked
-            names, which = np.unique(comps, return_inverse=True)
-            most = np.bincount(which).argmax()
-            us, vs = [], []
-            for i in np.flatnonzero(which != most).tolist():
-                own = code[ends[i] - size[i] : ends[i]]
-                n = at[own + 1] - at[own]
-                pick = np.repeat(at[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                common = np.bincount(holders[pick], minlength=len(sets))
-                hit = np.flatnonzero((100 * common >= percent * (size + size[i] - common)) & (which != which[i]))
-                if len(hit):
-                    one = hit[np.unique(which[hit], return_index=True)[1]]  # one link to each other component connects it
-                    us += [reps[i]] * len(one)
-                    vs += reps[one].tolist()
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+            short = np.frombuffer(b"".join(group["short"].to_pylist()), np.uint8).reshape(len(reps), -1)
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            a, b = np.nonzero(likely(short[left], size[left], short[right], size[right], percent))
+            a, b = left[a], right[b]
+            apart = (comps[a] != comps[b]) & ((a < b) | (i != j))
+            a, b = reps[a[apart]], reps[b[apart]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
 
     return run
 
@@ -134,26 +142,28 @@ def _blocks(percent: int):
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Classes of near-duplicate documents: a row (doc_id, n_shingles, component_id, kept) for each row of docs.
 
-    docs has doc_id and text; other columns are ignored. Two documents are linked if 100 * |A & B| >= percent * |A | B|
-    over their sets of distinct `width`-word shingles; fewer words make one shingle, no words (or a null) none and no
-    link. Candidates are documents that agree in a whole band of their fast similarity sketches; links are confirmed on the full
-    sets (64-bit hashes of the shingles). Documents with the same set are one class from the start, so copies are never
-    paired. In each bucket every class is first compared with two random leaders of the bucket; what then still lies
-    in different components of one bucket is compared in full, block by block.
+    docs has doc_id and text; other columns are ignored, whatever their names. Two documents are linked if
+    100 * |A & B| >= percent * |A | B| over their sets of distinct `width`-word shingles; fewer words make one shingle, no
+    words (or a null) none and no link. Candidates are documents that agree in a whole band of their fast similarity
+    sketches; links are confirmed on the full sets (64-bit hashes of the shingles, of strong word hashes). Documents with
+    the same set are one class from the start, so copies are never paired. In each bucket every class is first compared with two random leaders of the bucket; what then still lies
+    in different components of one bucket is compared in full, block by block: first by sizes and sketches, which
+    bound a task's input to a few hundred bytes a document, then, for pairs that these don't rule out, on the full sets.
 
-    Rows that share a doc_id are one document: those with words share the component. A row without doc_id links with nothing: null
+    Long texts count as a whole; a task holds one text and about 2 MB more at a time. Rows that share a doc_id are one document: those
+    with words share the component, and equal rows of it count once. A row without doc_id links with nothing: null
     component_id, kept. An empty table gives no rows.
     """
     rows_in = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sk = written(rows_in.mapInArrow(_sketch(width, bands, rows), "doc_id long, n_shingles long, digest binary, keys array<long>"), "sketches")
-    classes = written(
-        sk.where("doc_id is not null and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")),
-        "classes",
-    )
+    sk = written(spread(rows_in).mapInArrow(_sketch(width, bands, rows), "doc_id long, n_shingles long, digest binary, keys array<long>, short binary"), "sketches")
+    usable = sk.where("doc_id is not null and n_shingles > 0")
+    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("short").alias("short"))
+    classes = written(classes, "classes")
     members = classes.select("rep", "n", F.explode("keys").alias("bucket"))
     led = [F.min(F.struct(F.xxhash64("rep", F.lit(seed)).alias("h"), F.col("rep").alias("leader"), F.col("n").alias("ln"))).alias(f"l{seed}") for seed in (1, 2)]
     buckets = written(members.groupBy("bucket").agg(F.count("*").alias("size"), *led).where("size > 1"), "buckets")
     members = written(members.join(buckets, "bucket").select("bucket", "size", "rep", "n", "l1", "l2"), "members")
+    discard(buckets)
     pairs = (
         members.select("rep", "n", F.explode(F.array("l1", "l2")).alias("l"))
         .where(f"rep != l.leader and 100 * least(n, l.ln) >= {int(percent)} * greatest(n, l.ln)")
@@ -161,31 +171,39 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
         .distinct()
     )
     pairs = written(pairs, "pairs")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(rows_in.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "rep long, shingles binary"), "sets")
+    wanted = written(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    # equal rows of one doc_id give one set; only repeated ids are shuffled for it
+    often = written(rows_in.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "often")
+    once = rows_in.join(often, "doc_id", "left_anti").unionByName(rows_in.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    sets = written(once.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "rep long, shingles binary"), "sets")
     a, b = (sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"s{x}")) for x in "uv")
-    links = pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(_verify(percent), "u long, v long")
+    confirmed = lambda p: p.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(_verify(percent), "u long, v long")
+    links = confirmed(pairs)
     # rows of one doc_id with different texts are one document: it connects their classes
-    texts = sk.where("doc_id is not null and n_shingles > 0").select("doc_id", "digest", F.xxhash64("digest").alias("h"))
+    texts = usable.select("doc_id", "digest", F.xxhash64("digest").alias("h"))
     several = texts.groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("doc_id")
-    several = written(texts.join(written(several, "several"), "doc_id", "left_semi").select("doc_id", "digest"), "repeated")
+    several = written(texts.join(written(several, "several"), "doc_id", "left_semi").select("doc_id", "digest").distinct(), "repeated")
     links = links.unionByName(several.join(classes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     labels = components(links)
+    discard(pairs, wanted, often)
 
     known = labels.select(F.col("node").alias("rep"), F.col("label").alias("comp"))
-    members = members.select("bucket", "size", "rep").join(known, "rep", "left").select("bucket", "size", "rep", F.coalesce("comp", "rep").alias("comp"))
-    members = written(members, "labelled")
-    open_ = written(members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"), "open")
+    labelled = members.select("bucket", "size", "rep", "n").join(known, "rep", "left").select("bucket", "size", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+    labelled = written(labelled, "labelled")
+    discard(members)
+    open_ = written(labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"), "open")
     # an unlinked pair shares few buckets, but a bucket may be open many times over: block pairs bound every task
     nb = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("rep"), nb).cast("int")
-    rest = members.join(open_, "bucket").select("bucket", "rep", "comp", nb.alias("nb"), own.alias("own"))
-    rest = rest.select("bucket", "rep", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    rest = rest.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp")
-    rest = rest.join(sets, "rep").select("bucket", "i", "j", "rep", "comp", "shingles")
+    rest = labelled.join(open_, "bucket").select("bucket", "rep", "n", "comp", nb.alias("nb"), own.alias("own"))
+    rest = rest.join(classes.select("rep", "n", "short"), ["rep", "n"])
+    rest = rest.select("bucket", "rep", "n", "comp", "short", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    rest = rest.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", "own", "n", "short")
     n = int(rows_in.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    more = rest.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_blocks(percent), "u long, v long")
-    more = written(more.distinct(), "more")
+    maybe = rest.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_blocks(percent), "u long, v long")
+    maybe = written(maybe.distinct(), "maybe")
+    more = written(confirmed(maybe), "more")
+    discard(labelled, maybe)
     if not more.isEmpty():
         ends = more
         for x in "uv":
@@ -195,6 +213,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
         up = top.select(F.col("node").alias("label"), F.col("label").alias("next"))
         labels = joined.join(up, "label", "left").groupBy("node").agg(F.min(F.coalesce("next", "label")).alias("label"))
     final = written(classes.select("digest", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("top")), "final")
+    discard(classes, sets, more)
     out = sk.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -6,34 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import CHAT_SQL, conversations, preference_examples, stale_reply_pairs
-from .common import new_path
+from .common import new_path, written
 from .decontaminate import DECONTAMINATE_SQL, decontaminate
 from .embeddings import near_duplicate_vectors
 from .language import held_out, identify_languages
 from .mixing import MIX_SQL, mix_sources
 from .near_dup import near_duplicates
 from .pii import personal_data_digest
-from .token_counts import TokenRollup, inserts, token_rows, vocabulary
-from .toxicity import fit_severity, labelled_sample, predict_severity, severity_grades
-from .warc import read_archives, write_archives
+from .token_counts import TokenRollup, replayed, token_rows, vocabulary
+from .toxicity import fit_toxicity, labelled_sample, predict_severity
+from .warc import WARC_SQL, read_archives, write_archives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Session setting that names the folder of the public tokenizers' vocabulary files, and its value where it is unset.
+TOKENIZERS = ("sampleloom.tokenizers", "/opt/tokenizers")
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commits every document as an insert, twice under one id, and returns the rollup."""
-    rows = token_rows(table(spark, sf_dir, "documents"), {"byte_bpe_50k": vocabulary("byte_bpe_50k.tiktoken")})
-    rollup = TokenRollup(spark, new_path(spark, "rollup"))
-    for _ in range(2):
-        rollup.commit("load", inserts(rows))
-    return rollup.totals()
+    """Token counts of all documents, by a rollup that has gone through loads, deletes, revisions, repeats and compaction."""
+    vocabularies = {"byte_bpe_50k": vocabulary("byte_bpe_50k.tiktoken", spark.conf.get(*TOKENIZERS))}
+    rows = written(token_rows(table(spark, sf_dir, "documents"), vocabularies), "token_rows")
+    return replayed(TokenRollup(spark, new_path(spark, "rollup")), rows)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit_severity(severity_grades(labelled_sample(docs, table(spark, sf_dir, "labels"))))
+    model, _ = fit_toxicity(labelled_sample(docs, table(spark, sf_dir, "labels")))
     return predict_severity(docs, model)
 
 
@@ -91,4 +93,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_preferences": CHAT_SQL,
     "op6_mix_sources": MIX_SQL.format(docs="documents"),
     "op7_decontaminate": DECONTAMINATE_SQL.format(docs="documents"),
+    "op10_warc": WARC_SQL,
 }

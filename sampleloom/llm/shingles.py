@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_INV = pow(_BASE, -1, 1 << 64)
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
+_BASE = 0x9E3779B97F4A7C15
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32  # A-Z count as a-z
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
-_PIECE = 1 << 20
-_powers: list[np.ndarray] = []
+#: Words of up to this many bytes are mixed from their bytes themselves, longer ones hashed by BLAKE2b.
+_SHORT = 16
+_KEY = b"sampleloom word hash"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,13 +27,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _upto(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, _PIECE + 4096)
-        _powers[:] = [np.concatenate([np.ones(1, U), np.cumprod(np.full(n - 1, b, U), dtype=U)]) for b in (_BASE, _INV)]
-    return _powers
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and each text's offsets (one more than texts); a null is empty."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -42,7 +36,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, A-Z as a-z, and each text's offsets into them."""
+    """A 64-bit hash of each word, A-Z as a-z, and each text's offsets into them.
+
+    A word of up to 16 bytes is two whole numbers, which are mixed with its length; a longer one goes through BLAKE2b. So
+    no family of words collides by its structure, as it would under a polynomial modulo a power of two.
+    """
     if not len(data):
         return np.zeros(0, U), np.zeros(len(at), np.int64)
     inside = _WORD[data]
@@ -53,17 +51,17 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     last = inside.copy()
     last[:-1] &= ~inside[1:]
     last[cut[1:] - 1] = inside[cut[1:] - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    out, k = np.empty(len(starts), U), 0
-    while k < len(starts):
-        to = max(k + 1, int(np.searchsorted(ends, starts[k] + _PIECE, "right")))
-        s, e = starts[k:to] - starts[k], ends[k:to] - starts[k]
-        power, inverse = _upto(int(e[-1]) + 1)
-        sums = np.zeros(e[-1] + 1, U)
-        np.cumsum(_BYTE[data[starts[k] : ends[to - 1]]] * power[: e[-1]], out=sums[1:])
-        out[k:to] = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(U)
-        k = to
-    return mix(out), np.searchsorted(starts, at)
+    starts, size = np.flatnonzero(first), np.flatnonzero(last) + 1
+    size = size - starts
+    low = np.concatenate([_LOWER[data], np.zeros(_SHORT, np.uint8)])
+    eight = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))  # the eight bytes from each place on
+    keep = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+    head = eight[starts] & keep[np.minimum(size, 8)]
+    tail = eight[np.minimum(starts + 8, len(eight) - 1)] & keep[np.clip(size - 8, 0, 8)]
+    out = mix(mix(head + U(_BASE)) * U(0xD6E8FEB86659FD93) + mix(tail ^ U(0xA0761D6478BD642F)) + size.astype(U) * U(0xE7037ED1A0B428DB))
+    for k in np.flatnonzero(size > _SHORT).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(low[starts[k] : starts[k] + size[k]], digest_size=8, key=_KEY).digest(), "little")
+    return out, np.searchsorted(starts, at)
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
