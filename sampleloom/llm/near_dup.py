@@ -18,6 +18,8 @@ from .shingles import U, mix, shingle_sets, sketches
 BANDS, ROWS = 42, 6
 #: Documents in a block of a bucket; buckets of any size are cut into blocks.
 BLOCK = 1024
+#: Documents in a block where full sets are compared.
+SET_BLOCK = 256
 #: Standard deviations below the threshold at which a sketch's estimate rules a pair out: one of 3 million pairs at the threshold.
 DEVIATIONS = 5
 _CHUNK = 2 << 20
@@ -101,44 +103,108 @@ def groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def likely(short: np.ndarray, size: np.ndarray, other: np.ndarray, other_size: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of rows of two blocks may reach the similarity, by their sizes and by the share of equal sketch bytes.
+    """For pairs of rows of two blocks how many sketch bytes agree, or 0 if sizes or that number rule the similarity out.
 
-    Bytes of different coordinates agree by chance once in 256, which only raises the share.
+    Bytes of different coordinates agree by chance once in 256, which only raises the number.
     """
     p = percent / 100
-    need = p - DEVIATIONS * np.sqrt(p * (1 - p) / short.shape[1])
-    out = 100 * np.minimum(size[:, None], other_size) >= percent * np.maximum(size[:, None], other_size)
-    columns = np.ascontiguousarray(other.T)
-    for k in np.flatnonzero(out.any(axis=1)).tolist():
-        same = np.zeros(len(other), np.int32)
+    need = (p - DEVIATIONS * np.sqrt(p * (1 - p) / short.shape[1])) * short.shape[1]
+    fits = 100 * np.minimum(size[:, None], other_size) >= percent * np.maximum(size[:, None], other_size)
+    out, columns = np.zeros(fits.shape, np.int16), np.ascontiguousarray(other.T)
+    for k in np.flatnonzero(fits.any(axis=1)).tolist():
+        same = np.zeros(len(other), np.int16)
         for c in range(0, len(columns), 63):
             same += (columns[c : c + 63] == short[k, c : c + 63, None]).sum(axis=0, dtype=np.uint8)
-        out[k] &= same >= need * short.shape[1]
+        out[k] = np.where(fits[k] & (same >= need), same, 0)
     return out
 
 
-def _blocks(percent: int):
-    """Pairs of different components in a block pair that the sketches don't rule out."""
+def _likely_blocks(percent: int, best: bool):
+    """What the sketches of a block pair leave open between components: the best pair of each component, or all rows with any pair."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 3):
             group = group.combine_chunks()
-            i, j = group["i"][0].as_py(), group["j"][0].as_py()
+            bucket, i, j = (group[c][0].as_py() for c in ("bucket", "i", "j"))
             reps, comps, own, size = (group[c].to_numpy() for c in ("rep", "comp", "own", "n"))
             if len(np.unique(comps)) < 2:
                 continue
             short = np.frombuffer(b"".join(group["short"].to_pylist()), np.uint8).reshape(len(reps), -1)
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            a, b = np.nonzero(likely(short[left], size[left], short[right], size[right], percent))
-            a, b = left[a], right[b]
-            apart = (comps[a] != comps[b]) & ((a < b) | (i != j))
-            a, b = reps[a[apart]], reps[b[apart]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
+            same = likely(short[left], size[left], short[right], size[right], percent)
+            same[comps[left][:, None] == comps[right]] = 0
+            if not best:
+                at = np.unique(np.concatenate([left[same.any(axis=1)], right[same.any(axis=0)]]))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(at), pa.int64()), pa.array(reps[at]), pa.array(comps[at])], names=["bucket", "rep", "comp"])
+                continue
+            a = np.concatenate([left, right])  # each row's best partner, then each component's best row
+            b = np.concatenate([right[same.argmax(axis=1)], left[same.argmax(axis=0)]]) if len(left) and len(right) else a[:0]
+            score = np.concatenate([same.max(axis=1), same.max(axis=0)]) if len(b) else b
+            a = a[: len(b)]
+            order = np.lexsort((reps[a], -score)) if len(b) else b
+            first = order[np.unique(comps[a[order]], return_index=True)[1]]
+            first = first[score[first] > 0]
+            if len(first):
+                u, v = reps[a[first]], reps[b[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
     return run
 
 
+def _exact_blocks(percent: int):
+    """Links between documents of different components in a block pair, by their full sets; enough to connect."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, 3):
+            group = group.combine_chunks()
+            reps, comps = group["rep"].to_numpy(), group["comp"].to_numpy()
+            if len(np.unique(comps)) < 2:
+                continue
+            sets = [np.frombuffer(x.as_buffer(), U) for x in group["shingles"].chunk(0)]
+            size = np.array([len(s) for s in sets])
+            values, code = np.unique(np.concatenate(sets), return_inverse=True)
+            order = np.argsort(code, kind="stable")
+            at = np.searchsorted(code[order], np.arange(len(values) + 1))
+            holders, ends = np.repeat(np.arange(len(sets)), size)[order], np.cumsum(size)
+            # every pair of two components holds a document of all but one of them: the most frequent is not walked
+            _, which = np.unique(comps, return_inverse=True)
+            us, vs = [], []
+            for k in np.flatnonzero(which != np.bincount(which).argmax()).tolist():
+                own = code[ends[k] - size[k] : ends[k]]
+                n = at[own + 1] - at[own]
+                pick = np.repeat(at[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                common = np.bincount(holders[pick], minlength=len(sets))
+                hit = np.flatnonzero((100 * common >= percent * (size + size[k] - common)) & (which != which[k]))
+                one = hit[np.unique(which[hit], return_index=True)[1]]  # one link to each other component connects it
+                us += [reps[k]] * len(one)
+                vs += reps[one].tolist()
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _dealt(rows: DataFrame, size: str, block: int) -> DataFrame:
+    """rows (bucket, rep, ..., and their bucket's size) as often as their bucket has blocks: own and the block pair (i, j), first columns bucket, i, j."""
+    nb = F.ceil(F.col(size) / F.lit(block)).cast("int")
+    rest = [c for c in rows.columns if c not in ("bucket", size)]
+    out = rows.withColumn("nb", nb).withColumn("own", F.pmod(F.xxhash64("rep"), "nb").cast("int"))
+    out = out.select("bucket", "own", *rest, F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    return out.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *rest)
+
+
+def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels (node, label) after further links (u, v) between nodes, known or new."""
+    ends = more
+    for x in "uv":
+        ends = ends.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")), x, "left")
+    top = components(ends.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))
+    joined = labels.select("node", "label").unionByName(top.select("node", F.col("node").alias("label"))).distinct()
+    up = top.select(F.col("node").alias("label"), F.col("label").alias("next"))
+    return written(joined.join(up, "label", "left").groupBy("node").agg(F.min(F.coalesce("next", "label")).alias("label")), "labels")
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Classes of near-duplicate documents: a row (doc_id, n_shingles, component_id, kept) for each row of docs.
 
@@ -147,8 +213,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     words (or a null) none and no link. Candidates are documents that agree in a whole band of their fast similarity
     sketches; links are confirmed on the full sets (64-bit hashes of the shingles, of strong word hashes). Documents with
     the same set are one class from the start, so copies are never paired. In each bucket every class is first compared with two random leaders of the bucket; what then still lies
-    in different components of one bucket is compared in full, block by block: first by sizes and sketches, which
-    bound a task's input to a few hundred bytes a document, then, for pairs that these don't rule out, on the full sets.
+    in different components of one bucket is compared in full, block by block: first by sizes and sketches, a few hundred
+    bytes a document, whose best pair of each component is confirmed and joins most; then documents that still have a pair that
+    the sketches don't rule out are compared on their full sets.
 
     Long texts count as a whole; a task holds one text and about 2 MB more at a time. Rows that share a doc_id are one document: those
     with words share the component, and equal rows of it count once. A row without doc_id links with nothing: null
@@ -187,33 +254,30 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     labels = components(links)
     discard(pairs, wanted, often)
 
-    known = labels.select(F.col("node").alias("rep"), F.col("label").alias("comp"))
-    labelled = members.select("bucket", "size", "rep", "n").join(known, "rep", "left").select("bucket", "size", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-    labelled = written(labelled, "labelled")
-    discard(members)
-    open_ = written(labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"), "open")
-    # an unlinked pair shares few buckets, but a bucket may be open many times over: block pairs bound every task
-    nb = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), nb).cast("int")
-    rest = labelled.join(open_, "bucket").select("bucket", "rep", "n", "comp", nb.alias("nb"), own.alias("own"))
-    rest = rest.join(classes.select("rep", "n", "short"), ["rep", "n"])
-    rest = rest.select("bucket", "rep", "n", "comp", "short", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    rest = rest.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", "own", "n", "short")
     n = int(rows_in.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    maybe = rest.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_blocks(percent), "u long, v long")
-    maybe = written(maybe.distinct(), "maybe")
-    more = written(confirmed(maybe), "more")
-    discard(labelled, maybe)
-    if not more.isEmpty():
-        ends = more
-        for x in "uv":
-            ends = ends.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")), x, "left")
-        top = components(ends.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))
-        joined = labels.select("node", "label").unionByName(top.select("node", F.col("node").alias("label"))).distinct()
-        up = top.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = joined.join(up, "label", "left").groupBy("node").agg(F.min(F.coalesce("next", "label")).alias("label"))
+    keyed = ["bucket", "i", "j"]
+    for best in (True, False):
+        known = labels.select(F.col("node").alias("rep"), F.col("label").alias("comp"))
+        labelled = written(members.select("bucket", "size", "rep", "n").join(known, "rep", "left").select("bucket", "size", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "labelled")
+        open_ = written(labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"), "open")
+        # an unlinked pair shares few buckets, but a bucket may be open many times over: block pairs bound every task
+        rest = labelled.join(open_, "bucket").join(classes.select("rep", "n", "short"), ["rep", "n"]).select("bucket", "size", "rep", "comp", "n", "short")
+        rest = _dealt(rest, "size", BLOCK).repartition(n, *keyed).sortWithinPartitions(*keyed)
+        if best:
+            maybe = written(rest.mapInArrow(_likely_blocks(percent, True), "u long, v long").distinct(), "maybe")
+            more = written(confirmed(maybe), "more")
+        else:
+            maybe = written(rest.mapInArrow(_likely_blocks(percent, False), "bucket long, rep long, comp long").distinct(), "maybe")
+            sized = maybe.join(maybe.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
+            rest = _dealt(sized.select("bucket", "size", "rep", "comp"), "size", SET_BLOCK).join(sets, "rep").select(*keyed, "rep", "comp", "shingles")
+            more = written(rest.repartition(n, *keyed).sortWithinPartitions(*keyed).mapInArrow(_exact_blocks(percent), "u long, v long").distinct(), "more")
+        discard(labelled, open_, maybe)
+        if not more.isEmpty():
+            labels = _joined(labels, more)
+        discard(more)
+    discard(members)
     final = written(classes.select("digest", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("top")), "final")
-    discard(classes, sets, more)
+    discard(classes, sets)
     out = sk.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

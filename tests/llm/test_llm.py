@@ -136,7 +136,7 @@ def test_sketches_rule_out_no_link():
             sets += [np.unique(x[:n]), np.unique(x[n - m : 2 * n - m])]
         short = (shingles.mix(shingles.sketches(sets, 252)) & np.uint64(255)).astype(np.uint8)
         size = np.array([len(z) for z in sets])
-        assert likely(short[::2], size[::2], short[1::2], size[1::2], 80).diagonal().all()
+        assert (likely(short[::2], size[::2], short[1::2], size[1::2], 80).diagonal() > 0).all()
     other = likely(short[::2][:50], size[::2][:50], short[1::2][50:100], size[1::2][50:100], 80)
     assert not other.any()
 
