@@ -73,11 +73,16 @@ def dataset_size(values: Sequence[int]) -> tuple[int, int, int]:
 
 
 def inverse_permutation(p: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (F.array_position(p, i.cast("int")) - 1).cast("int"))
+    """Positions sorted by their values: the inverse of a permutation, in n log n."""
+    pairs = F.array_sort(F.transform(p, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+    return F.transform(pairs, lambda x: x["i"].cast("int"))
 
 
 def chunk_cache(chunk_bytes: int | None, chunks: int | None, override: dict | None = None, least: int = 8191) -> dict:
-    """Cache bytes and slots for a number of chunks: slots are the first prime of max(least, 100 * chunks) on."""
+    """Cache bytes and slots for a number of chunks: slots are the first prime of max(least, 100 * chunks) on.
+
+    Parquet has no such cache; callers that still size one get the same numbers.
+    """
     if override is not None:
         return dict(override)
     if chunks is None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import datetime as dt
 import json
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -15,10 +16,15 @@ from pyspark.sql import functions as F
 
 from .. import errors as E
 from ..functions.geometry import slug_of
-from ..plans.transforms import Compose
+from ..functions.names import remove_path
+from ..plans.transforms import Compose, element_dtype, stored
 from . import selection as S
 
-SCHEMA = "row_idx long, sample_id string, data array<double>, shape array<int>, label array<double>, label_shape array<int>, sample_meta binary"
+
+
+def schema_of(data: str = "double", label: str = "double") -> str:
+    """The columns of a dataset whose samples and labels have these element types."""
+    return f"row_idx long, sample_id string, data array<{data}>, shape array<int>, label array<{label}>, label_shape array<int>, sample_meta binary"
 
 
 @dataclass(frozen=True)
@@ -63,15 +69,28 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _write_header(spark: SparkSession, path: str, header: DatasetMetadata | bytes) -> None:
-    raw = header if isinstance(header, bytes) else header.to_json().encode()
-    at, fs = _fs(spark, f"{path}/_header.json")
+    _put(spark, path, "_header.json", header if isinstance(header, bytes) else header.to_json().encode())
+
+
+def _put(spark: SparkSession, path: str, name: str, raw: bytes) -> None:
+    at, fs = _fs(spark, f"{path}/{name}")
     out = fs.create(at, True)
     out.write(bytearray(raw))
     out.close()
 
 
-def read_header(spark: SparkSession, path: str) -> bytes | None:
-    at, fs = _fs(spark, f"{path}/_header.json")
+def _write_types(spark: SparkSession, path: str, data, label=None) -> None:
+    """The numpy types of samples and labels, which Spark's element types don't tell all of (unsigned, half)."""
+    _put(spark, path, "_types.json", json.dumps({"data": np.dtype(data).name, "label": None if label is None else np.dtype(label).name}).encode())
+
+
+def read_types(spark: SparkSession, path: str) -> dict[str, str | None]:
+    raw = _get(spark, path, "_types.json")
+    return json.loads(raw) if raw else {"data": None, "label": None}
+
+
+def _get(spark: SparkSession, path: str, name: str) -> bytes | None:
+    at, fs = _fs(spark, f"{path}/{name}")
     if not fs.exists(at):
         return None
     stream = fs.open(at)
@@ -81,6 +100,21 @@ def read_header(spark: SparkSession, path: str) -> bytes | None:
         stream.close()
 
 
+def read_header(spark: SparkSession, path: str) -> bytes | None:
+    return _get(spark, path, "_header.json")
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    """Row k of an array as list k, without a Python object for each element."""
+    flat = x.reshape(len(x), -1).astype(_storage(x.dtype)) if len(x) else x.reshape(0, 1)
+    at = np.arange(len(x) + 1, dtype=np.int32) * flat.shape[1]
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(flat.ravel()))
+
+
+def _storage(dtype) -> np.dtype:
+    return np.dtype({"boolean": "bool", "tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64", "float": "float32", "double": "float64"}[stored(dtype)])
+
+
 def _check_lengths(n: int | None, **parts) -> None:
     ids, meta = parts.get("sample_ids"), parts.get("sample_meta")
     if (ids is None) != (meta is None):
@@ -91,31 +125,46 @@ def _check_lengths(n: int | None, **parts) -> None:
 
 
 def create_dataset_from_arrays(spark: SparkSession, path: str, *, data, labels=None, sample_ids: Sequence[str] | None = None, sample_meta: Sequence | None = None, encoder: Callable = encode_json, header: DatasetMetadata | bytes | None = None, compression: str = "zstd", mode: str = "errorifexists") -> None:
-    """Writes aligned arrays in their order; fails if the path exists."""
+    """Writes aligned arrays in their order; fails if the path exists. Samples and labels keep their types.
+
+    The driver holds the arrays anyway; they go to Spark a slice of rows at a time, as Arrow columns.
+    """
     data = np.asarray(data)
     _check_lengths(len(data), labels=labels, sample_ids=sample_ids, sample_meta=sample_meta)
     labels = None if labels is None else np.asarray(labels)
-    shape = list(map(int, data.shape[1:]))
-    label_shape = None if labels is None else list(map(int, labels.shape[1:]))
-    rows = [
-        (k, None if sample_ids is None else sample_ids[k], np.asarray(x, float).ravel().tolist(), shape, None if labels is None else np.asarray(labels[k], float).ravel().tolist(), label_shape, None if sample_meta is None else bytearray(encoder(sample_meta[k])))
-        for k, x in enumerate(data)
-    ]
-    df = spark.createDataFrame(rows, SCHEMA)
-    df.write.mode(mode).option("compression", compression).parquet(path)
+    n = len(data)
+    repeat = lambda shape: pa.array([list(map(int, shape))] * n, pa.list_(pa.int32()))
+    nothing = lambda kind: pa.nulls(n, kind)
+    label_kind = stored("float64" if labels is None else labels.dtype)
+    table = pa.table({
+        "row_idx": pa.array(np.arange(n), pa.int64()),
+        "sample_id": nothing(pa.string()) if sample_ids is None else pa.array(list(sample_ids), pa.string()),
+        "data": _lists(data), "shape": repeat(data.shape[1:]),
+        "label": nothing(pa.list_(pa.float64())) if labels is None else _lists(labels),
+        "label_shape": nothing(pa.list_(pa.int32())) if labels is None else repeat(labels.shape[1:]),
+        "sample_meta": nothing(pa.binary()) if sample_meta is None else pa.array([encoder(m) for m in sample_meta], pa.binary()),
+    })
+    spark.createDataFrame(table, schema=schema_of(stored(data.dtype), label_kind)).write.mode(mode).option("compression", compression).parquet(path)
+    _write_types(spark, path, data.dtype, None if labels is None else labels.dtype)
     if header is not None:
         _write_header(spark, path, header)
 
 
-def create_dataset(samples: DataFrame, path: str, *, order: Sequence[str], shape: Sequence[int], header: DatasetMetadata | None = None, compression: str = "zstd") -> int:
+def create_dataset(samples: DataFrame, path: str, *, order: Sequence[str], shape: Sequence[int], header: DatasetMetadata | None = None, compression: str = "zstd", dtype: str | None = None) -> int:
     """Writes a DataFrame (data, and where it has them label, sample_id, sample_meta) in its order; gives the row count.
 
+    Samples and labels keep their element types; dtype names the samples' numpy type where that says less (uint8 in small integers).
     Rows get dense positions in ranges of the first order column; nothing passes through the driver but the cuts.
     """
     have = set(samples.columns)
     if ("sample_id" in have) != ("sample_meta" in have):
         raise E.SampleMetaPairingError("sample ids and metadata go together")
-    kinds = dict(part.split(" ", 1) for part in SCHEMA.split(", "))
+    dtype = dtype or element_dtype(samples, "data")
+    label_dtype = None
+    if "label" in have:
+        kind = samples.schema["label"].dataType
+        label_dtype = element_dtype(samples, "label") if kind.typeName() == "array" else element_dtype(samples.select(F.array("label").alias("label")), "label")
+    kinds = dict(part.split(" ", 1) for part in schema_of(stored(dtype), stored(label_dtype or "float64")).split(", "))
     rows = S.dense_index(samples, order)
     own = {"row_idx": F.col("row_idx"), "shape": F.array(*[F.lit(int(v)) for v in shape])}
     if "label" in have and "label_shape" not in have:
@@ -124,26 +173,31 @@ def create_dataset(samples: DataFrame, path: str, *, order: Sequence[str], shape
         own |= {"label_shape": F.array().cast("array<int>") if flat else F.array(F.size("label"))}
     out = rows.select(*[own.get(c, F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
     out.write.mode("errorifexists").option("compression", compression).parquet(path)
+    _write_types(samples.sparkSession, path, dtype, label_dtype)
     n = samples.sparkSession.read.parquet(path).count()  # from the footers
     if header is not None:
         _write_header(samples.sparkSession, path, dataclasses.replace(header, num_samples=n))
     return n
 
 
-def create_dataset_from_paths(spark: SparkSession, path: str, *, sample_paths: Sequence[str], loader: Callable[[str], np.ndarray], sample_shape: Sequence[int], labels: Sequence | None = None, sample_ids: Sequence[str] | None = None, sample_meta: Sequence | None = None, encoder: Callable = encode_json, header: DatasetMetadata | None = None, partitions: int | None = None) -> list[E.BatchProcessItemError]:
+def create_dataset_from_paths(spark: SparkSession, path: str, *, sample_paths: Sequence[str], loader: Callable[[str], np.ndarray], sample_shape: Sequence[int], sample_dtype="float64", labels: Sequence | None = None, sample_ids: Sequence[str] | None = None, sample_meta: Sequence | None = None, encoder: Callable = encode_json, header: DatasetMetadata | None = None, partitions: int | None = None) -> list[E.BatchProcessItemError]:
     """Loads every path in the tasks and writes those that load, in input order; the others come back as errors.
 
     The tensors are loaded once, under a temporary name, with their path's position; only positions and errors are
     ranked afterwards, never the tensors.
     """
     _check_lengths(len(sample_paths), labels=labels, sample_ids=sample_ids, sample_meta=sample_meta)
-    shape = list(map(int, sample_shape))
+    shape, element = list(map(int, sample_shape)), stored(sample_dtype)
+    arrays = None if labels is None else [np.asarray(x) for x in labels]
+    label_dtype = np.result_type(*arrays) if arrays else np.dtype("float64")
     rows = [
-        (k, str(p), None if sample_ids is None else sample_ids[k], None if labels is None else np.asarray(labels[k], float).ravel().tolist(), None if labels is None else list(np.shape(labels[k])), None if sample_meta is None else bytearray(encoder(sample_meta[k])))
+        (k, str(p), None if sample_ids is None else sample_ids[k], None if arrays is None else arrays[k].astype(_storage(label_dtype)).ravel().tolist(), None if arrays is None else list(arrays[k].shape), None if sample_meta is None else bytearray(encoder(sample_meta[k])))
         for k, p in enumerate(sample_paths)
     ]
-    items = spark.createDataFrame(rows, "path_idx long, path string, sample_id string, label array<double>, label_shape array<int>, sample_meta binary")
+    fields = f"path_idx long, path string, sample_id string, label array<{stored(label_dtype)}>, label_shape array<int>, sample_meta binary"
+    items = spark.createDataFrame(rows, fields)
     items = items.repartition(partitions or max(1, min(len(rows), spark.sparkContext.defaultParallelism * 4)))
+    plain = _storage(sample_dtype)
 
     def load(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,25 +207,24 @@ def create_dataset_from_paths(spark: SparkSession, path: str, *, sample_paths: S
                     x = np.asarray(loader(row.column(1)[0].as_py()))
                     if list(x.shape) != shape:
                         raise ValueError(f"shape {x.shape}, expected {tuple(shape)}")
-                    data = np.asarray(x, float).ravel()
+                    data = x.astype(sample_dtype).astype(plain).ravel()
                 except Exception as e:  # noqa: BLE001  any failure of one item is that item's
                     error = f"{type(e).__name__}: {e}"
-                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([data], pa.list_(pa.float64())), pa.array([error], pa.string())], names=[*batch.schema.names, "data", "error"])
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([data], pa.list_(pa.from_numpy_dtype(plain))), pa.array([error], pa.string())], names=[*batch.schema.names, "data", "error"])
 
-    temporary = f"{path.rstrip('/')}_loading"
-    items.mapInArrow(load, "path_idx long, path string, sample_id string, label array<double>, label_shape array<int>, sample_meta binary, data array<double>, error string").write.mode("overwrite").parquet(temporary)
+    temporary = f"{path.rstrip('/')}_loading-{uuid.uuid4().hex}"
+    items.mapInArrow(load, f"{fields}, data array<{element}>, error string").write.parquet(temporary)
     loaded = spark.read.parquet(temporary)
     failed = loaded.where("error is not null").select("path_idx", "path", "error").orderBy("path_idx").collect()
-    bad = [r.path_idx for r in failed]
     good = loaded.where("error is null")
-    # the new position is the old one less the failures before it
-    before = F.size(F.filter(F.array(*map(F.lit, bad)).cast("array<bigint>"), lambda b: b < F.col("path_idx"))) if bad else F.lit(0)
-    out = good.select((F.col("path_idx") - before).cast("long").alias("row_idx"), "sample_id", "data", F.array(*[F.lit(s) for s in shape]).cast("array<int>").alias("shape"), "label", "label_shape", "sample_meta")
+    # positions of what loaded are ranked alone, tensors join them afterwards
+    place = S.dense_index(good.select("path_idx"), ["path_idx"]) if failed else good.select("path_idx", F.col("path_idx").alias("row_idx"))
+    out = good.join(place, "path_idx").select("row_idx", "sample_id", "data", F.array(*[F.lit(s) for s in shape]).cast("array<int>").alias("shape"), "label", "label_shape", "sample_meta")
     out.write.mode("errorifexists").parquet(path)
-    at, fs = _fs(spark, temporary)
-    fs.delete(at, True)
+    _write_types(spark, path, sample_dtype, None if arrays is None else label_dtype)
+    remove_path(spark, temporary)
     if header is not None:
-        _write_header(spark, path, dataclasses.replace(header, num_samples=len(rows) - len(bad)))
+        _write_header(spark, path, dataclasses.replace(header, num_samples=len(rows) - len(failed)))
     return [E.BatchProcessItemError(r.path, r.error) for r in failed]
 
 
@@ -256,10 +309,13 @@ class Dataset:
         if static_label is not None:
             df = df.withColumn("label", F.array(*[F.lit(float(v)) for v in np.ravel(static_label)]))
         self.shape = tuple((df.select("shape").first() or [()])[0])
+        types = read_types(spark, path)
+        self.dtype, label_dtype = types["data"] or element_dtype(df, "data"), types["label"] or "float64"
         if transform is not None and self.shape:
-            df, self.shape = transform.apply(df, self.shape)
+            df, self.shape = transform.apply(df, self.shape, dtype=self.dtype)
+            self.dtype = transform.result(self.dtype)
         if label_transform is not None and (row := df.select("label_shape").where("label_shape is not null").first()):
-            df, _ = label_transform.apply(df, tuple(row[0]), column="label")
+            df, _ = label_transform.apply(df, tuple(row[0]), column="label", dtype=label_dtype)
         self.df = df.persist() if mode == "memory" else df
         if mode == "memory":
             self.df.count()
@@ -275,7 +331,7 @@ class Dataset:
         row = self.df.where(F.col("view_idx") == k).first()
         if row is None:
             raise IndexError(k)
-        return np.array(row.data).reshape(self.shape), None if row.label is None else np.array(row.label), None if self.meta is None else self.meta.decode(row)
+        return np.array(row.data, self.dtype).reshape(self.shape), None if row.label is None else np.array(row.label), None if self.meta is None else self.meta.decode(row)
 
     @staticmethod
     def _along(df: DataFrame, data_dim: int | None, label_dim: int | None) -> DataFrame:

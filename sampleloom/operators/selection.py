@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import errors as E
+from ..functions.names import free_name
 
 
 def _wanted(df: DataFrame, values: Sequence, name: str, kind: str) -> DataFrame:
@@ -126,21 +127,24 @@ def dense_index(df: DataFrame, order: Sequence[str], *, name: str = "row_idx", r
     first = order[0]
     total = df.count()
     ranges = min(RANGES, -(-total // range_rows))
-    rows = df.withColumn("b_", _range_of(F.col(first), _cuts(df, first, ranges, total)).cast("int"))
-    sizes = rows.groupBy("b_").agg(F.count("*").alias("n"))
-    offsets = sizes.select("b_", F.coalesce(F.sum("n").over(Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o_"))
-    rank = F.row_number().over(Window.partitionBy("b_").orderBy(*order))
-    return rows.join(F.broadcast(offsets), "b_").withColumn(name, (rank - 1 + F.col("o_")).cast("long")).drop("b_", "o_")  # RANGES rows at most
+    part, start = free_name(df, "part", name), free_name(df, "start", name)
+    rows = df.withColumn(part, _range_of(F.col(first), _cuts(df, first, ranges, total)).cast("int"))
+    sizes = rows.groupBy(part).agg(F.count("*").alias("n"))
+    offsets = sizes.select(part, F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(start))
+    rank = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return rows.join(F.broadcast(offsets), part).withColumn(name, (rank - 1 + F.col(start)).cast("long")).drop(part, start)  # RANGES rows at most
 
 
 def splits(df: DataFrame, order: Sequence[str], sizes: tuple[int, int, int], names: tuple[str, ...] = ("train", "valid", "test"), *, seed: int | None = None) -> DataFrame:
     """Contiguous splits of the rows by `order`, or by a seeded hash of it; rows beyond all sizes are left out."""
+    shuffled = free_name(df, "shuffled", "split_idx", "split")
     if seed is not None:
-        df = df.withColumn("h_", F.xxhash64(F.lit(seed), *order))
-        order = ["h_", *order]
+        df = df.withColumn(shuffled, F.xxhash64(F.lit(seed), *order))
+        order = [shuffled, *order]
     rows = dense_index(df, order, name="split_idx")
     ends = [sum(sizes[: k + 1]) for k in range(len(sizes))]
     which = F.when(F.col("split_idx") < ends[0], names[0])
     for end, name in zip(ends[1:], names[1:], strict=False):
         which = which.when(F.col("split_idx") < end, name)
-    return rows.withColumn("split", which).where("split is not null").drop("h_")
+    rows = rows.withColumn("split", which).where("split is not null")
+    return rows if seed is None else rows.drop(shuffled)

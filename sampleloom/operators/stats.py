@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import free_name
 from ..plans.transforms import Normalize
 
 
@@ -155,8 +156,27 @@ class WelfordEstimator:
         return Normalize(mean[spread], std[spread])
 
 
+#: The most statistics that travel to every task as one row.
+BROADCAST_STATS = 1 << 16
+
+
 def normalize_by(df: DataFrame, stats: DataFrame, *, column: str = "data") -> DataFrame:
-    """(x - mean) / (std + 1e-12) by per-element statistics (pos, mean, std): one row of arrays, joined to each sample."""
-    row = stats.agg(F.array_sort(F.collect_list(F.struct("pos", "mean", "std"))).alias("s"))
-    joined = df.crossJoin(F.broadcast(row))  # one row of as many numbers as a sample has
-    return joined.withColumn(column, F.zip_with(column, "s", lambda v, s: (v.cast("double") - s["mean"]) / (s["std"] + 1e-12))).drop("s")
+    """(x - mean) / (std + 1e-12) by per-element statistics (pos, mean, std).
+
+    Up to BROADCAST_STATS of them are one row of arrays that is broadcast. Larger samples are cut into pieces of that
+    length, which are joined with their pieces of the statistics by position, and put together again by row.
+    """
+    row, own = free_name(df, "statistics"), free_name(df, "sample")
+    scaled = lambda v, s: (v.cast("double") - s["mean"]) / (s["std"] + 1e-12)
+    pieces = stats.groupBy(F.floor(F.col("pos") / BROADCAST_STATS).alias("piece")).agg(F.array_sort(F.collect_list(F.struct("pos", "mean", "std"))).alias(row))
+    if stats.count() <= BROADCAST_STATS:
+        joined = df.crossJoin(F.broadcast(pieces.select(row)))  # one row, its length just checked
+        return joined.withColumn(column, F.zip_with(column, row, scaled)).drop(row)
+    rest = [c for c in df.columns if c != column]
+    others = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(True)
+    cut = df.select(F.monotonically_increasing_id().alias(own), F.col(column).alias("v"), others.alias("others"))
+    cut = cut.select(own, "v", "others", F.explode(F.sequence(F.lit(0), F.floor((F.size("v") - 1) / BROADCAST_STATS))).alias("piece"))
+    cut = cut.select(own, "piece", F.slice("v", (F.col("piece") * BROADCAST_STATS + 1).cast("int"), BROADCAST_STATS).alias("v"), F.when(F.col("piece") == 0, F.col("others")).alias("others"))
+    done = cut.join(pieces, "piece").select(own, "others", F.struct("piece", F.zip_with("v", row, scaled).alias("v")).alias("p"))
+    whole = done.groupBy(own).agg(F.first("others", ignorenulls=True).alias("others"), F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["v"])).alias(row))
+    return whole.select(*[F.col(row).alias(c) if c == column else F.col(f"others.`{c}`").alias(c) for c in df.columns])

@@ -1,12 +1,26 @@
-"""Early stopping: the loop object, and the same rule as window functions over whole loss histories."""
+"""Early stopping: one rule as a step of state, and the same as window functions over whole loss histories."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import free_name
+
+
+def improves(least, loss, delta: float):
+    """Whether a loss is better than the least one so far by more than the share delta; of numbers or columns."""
+    return least - loss > delta * least
+
+
+def step(least: float | None, counter: int, loss: float, delta: float) -> tuple[float, int]:
+    """The least loss and the losses since the last improvement, after one more loss."""
+    if least is None:
+        return loss, 0
+    return min(least, loss), 0 if improves(least, loss, delta) else counter + 1
+
 
 class EarlyStopping:
     """Call with each loss: True once `patience` losses in a row failed to improve the minimum by the share delta."""
@@ -16,23 +30,21 @@ class EarlyStopping:
         self.least: float | None = None
 
     def __call__(self, loss: float) -> bool:
-        if self.least is None:
-            self.least = loss
-            return False
-        self.counter = 0 if self.least - loss > self.delta * self.least else self.counter + 1
-        self.least = min(self.least, loss)
-        return bool(self)
+        started = self.least is not None
+        self.least, self.counter = step(self.least, self.counter, loss, self.delta)
+        return started and bool(self)
 
     def __bool__(self) -> bool:
         return self.counter >= self.patience
 
 
-def early_stopping(df: DataFrame, series: Sequence[str], step: Sequence[str], loss: str, *, patience: int = 5, delta: float = 0.01) -> DataFrame:
+def early_stopping(df: DataFrame, series: Sequence[str], order: Sequence[str], loss: str, *, patience: int = 5, delta: float = 0.01) -> DataFrame:
     """df with counter and stop after each step of its series. Null and NaN losses are left out."""
     df = df.where(F.col(loss).isNotNull() & ~F.isnan(loss))
-    w = Window.partitionBy(*series).orderBy(*step)
-    before = F.min(loss).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    reset = F.when(before.isNull() | (before - F.col(loss) > delta * before), 1).otherwise(0)
-    df = df.withColumn("reset_", reset).withColumn("run_", F.sum("reset_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    counter = (F.row_number().over(Window.partitionBy(*series, "run_").orderBy(*step)) - 1).cast("int")
-    return df.withColumn("counter", counter).withColumn("stop", F.col("counter") >= patience).drop("reset_", "run_")
+    run = free_name(df, "run", "counter", "stop")
+    w = Window.partitionBy(*series).orderBy(*order)
+    before: Column = F.min(loss).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn(run, F.when(before.isNull() | improves(before, F.col(loss), delta), 1).otherwise(0))
+    df = df.withColumn(run, F.sum(run).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    counter = (F.row_number().over(Window.partitionBy(*series, run).orderBy(*order)) - 1).cast("int")
+    return df.withColumn("counter", counter).withColumn("stop", F.col("counter") >= patience).drop(run)

@@ -18,6 +18,23 @@ LITERAL_INDEX = 4096
 #: Elements of the samples that are stacked at a time in a Python worker, about; one sample at least.
 STACK = 1 << 20
 Shape = tuple[int, ...]
+#: Element types of the columns that hold numpy types; Spark has no unsigned and no half type, so these take the next larger one.
+STORED = {"bool": "boolean", "int8": "tinyint", "uint8": "smallint", "int16": "smallint", "uint16": "int", "int32": "int", "uint32": "bigint", "int64": "bigint", "float16": "float", "float32": "float", "float64": "double"}
+_NUMPY = {"boolean": "bool", "tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64", "float": "float32", "double": "float64"}
+
+
+def stored(dtype) -> str:
+    """The Spark type of the elements of a numpy type."""
+    name = np.dtype(dtype).name
+    if name not in STORED:
+        raise TypeError(f"samples of {name} can't be stored")
+    return STORED[name]
+
+
+def element_dtype(df: DataFrame, column: str) -> str:
+    """The numpy type of an array column's elements, float64 for others."""
+    kind = df.schema[column].dataType
+    return _NUMPY.get(kind.elementType.simpleString(), "float64") if kind.typeName() == "array" else "float64"
 
 
 def rng(seed: int, position: int, key: int, epoch: int = 0) -> np.random.Generator:
@@ -46,10 +63,18 @@ class Op:
         """For moves only: where each output element comes from, -1 for fill."""
         return None
 
+    def result(self, dtype: str) -> str:
+        """The numpy type of the output for that of the input: the same, unless the op says otherwise."""
+        return dtype
+
     def column(self, data: Column, shape: Shape) -> Column | None:
         """A native expression, if there is one."""
         return None
 
+    def drawn(self, data: Column, shape: Shape, draw: Draw) -> Column | None:
+        """A native expression that takes its random numbers from draw(k, n), a whole number from 0 to n - 1, or draw(k), from 0 to 1."""
+        return None
+
     def kernel(self, x: np.ndarray, random: np.random.Generator) -> np.ndarray:
         raise NotImplementedError
 
@@ -58,6 +83,34 @@ class Op:
         return np.stack([self.kernel(v, None) for v in x])
 
 
+class Draw:
+    """The k-th random number of an op for each row, as a column: a hash of seed, op, row and epoch, whatever the partitioning."""
+
+    def __init__(self, seed: int, position: int, key: Column, epoch: int) -> None:
+        self.parts = (F.lit(int(seed)), F.lit(position), key.cast("bigint"), F.lit(int(epoch)))
+
+    def __call__(self, k: int, n: int | None = None) -> Column:
+        bits = F.shiftrightunsigned(F.xxhash64(*self.parts, F.lit(k)), 11)  # 53 bits, exact as a double
+        share = bits.cast("double") / float(1 << 53)
+        return share if n is None else F.floor(share * n).cast("int")
+
+    def between(self, k: int, value) -> Column:
+        low, high = value if isinstance(value, Sequence) else (value, value)
+        return self(k) * float(high - low) + float(low)
+
+
+def chosen(data: Column, maps: Sequence[np.ndarray], which: Column) -> Column | None:
+    """data gathered by the which-th of several index maps without fill, if they fit into a plan as literals."""
+    if sum(map(len, maps)) > LITERAL_INDEX:
+        return None
+    tables = F.array(*[F.array(*[F.lit(int(i)) for i in m]) for m in maps])
+    return F.transform(F.get(tables, which), lambda i: F.get(data, i))
+
+
+def _positions(shape: Shape) -> np.ndarray:
+    return np.arange(math.prod(shape)).reshape(shape)
+
+
 def _behind(dims: Sequence[int]) -> tuple[int, ...]:
     """The same dims of a sample where samples are stacked along a new first axis."""
     return tuple(d if d < 0 else d + 1 for d in dims)
@@ -212,6 +265,14 @@ class RandomCrop(_Random):
     def draw(self, x, random):
         return _crop(x, _all(self.dim), _all(self.size), lambda n: int(random.integers(0, n + 1)))
 
+    def drawn(self, data, shape, draw):
+        first = _crop(_positions(shape), _all(self.dim), _all(self.size), lambda n: 0).ravel()
+        if len(first) > LITERAL_INDEX:
+            return None
+        stride = lambda d: math.prod(shape[d % len(shape) + 1 :])
+        shift = sum((draw(k, shape[d] - s + 1) * stride(d) for k, (d, s) in enumerate(zip(_all(self.dim), _all(self.size), strict=True))), F.lit(0))
+        return F.transform(F.array(*[F.lit(int(i)) for i in first]), lambda i: F.get(data, i + shift))
+
 
 @dataclass(frozen=True)
 class _SliceStart(Move):
@@ -234,6 +295,12 @@ class RandomSlice(_Random):
     def draw(self, x, random):
         return _crop(x, (self.dim,), (self.size,), lambda n: int(random.integers(0, n + 1)))
 
+    def drawn(self, data, shape, draw):
+        if math.prod(shape) == shape[self.dim]:  # one run of elements
+            self.shape(shape)
+            return F.slice(data, draw(0, shape[self.dim] - self.size + 1) + 1, self.size)
+        return RandomCrop(self.dim, self.size).drawn(data, shape, draw)
+
 
 @dataclass(frozen=True)
 class _Patches(Move):
@@ -289,6 +356,13 @@ class RandomFlip(_Random):
         probs = self.prob if isinstance(self.prob, Sequence) else [self.prob] * len(_all(self.dim))
         return np.flip(x, tuple(d for d, p in zip(_all(self.dim), probs, strict=True) if random.random() <= p))
 
+    def drawn(self, data, shape, draw):
+        dims = _all(self.dim)
+        probs = self.prob if isinstance(self.prob, Sequence) else [self.prob] * len(dims)
+        maps = [np.flip(_positions(shape), tuple(d for k, d in enumerate(dims) if n >> k & 1)).ravel() for n in range(1 << len(dims))]
+        which = sum((F.when(draw(k) <= float(p), 1 << k).otherwise(0) for k, p in enumerate(probs)), F.lit(0))
+        return chosen(data, maps, which)
+
 
 @dataclass(frozen=True)
 class RandomRotate90(_Random):
@@ -303,6 +377,9 @@ class RandomRotate90(_Random):
     def draw(self, x, random):
         return np.rot90(x, int(random.integers(0, 4)), self.dim)
 
+    def drawn(self, data, shape, draw):
+        return chosen(data, [np.rot90(_positions(shape), k, self.dim).ravel() for k in range(4)], draw(0, 4))
+
 
 @dataclass(frozen=True)
 class RotateAnyDegree(Op):
@@ -440,6 +517,9 @@ class ToFloat32(Op):
 
     draws = False
 
+    def result(self, dtype):
+        return "float32"
+
     def kernel(self, x, random):
         return x.astype(np.float32)
 
@@ -461,11 +541,14 @@ class FFT(Op):
     log: bool = False
     eps: float = 1e-12
 
+    def result(self, dtype):
+        return "float64"
+
     def kernel(self, x, random):
-        return self._over(x, self.dim)
+        return self._over(np.asarray(x, np.float64), self.dim)
 
     def batch(self, x):
-        return self._over(x, _behind(self.dim))
+        return self._over(np.asarray(x, np.float64), _behind(self.dim))
 
     def _over(self, x, dims):
         y = K.fft(x, dims, self.shift, self.log, self.eps)
@@ -481,11 +564,14 @@ class InverseFFT(Op):
     dim: tuple[int, ...]
     shift: bool = False
 
+    def result(self, dtype):
+        return "float64"
+
     def kernel(self, x, random):
-        return self._over(x, self.dim)
+        return self._over(np.asarray(x, np.float64), self.dim)
 
     def batch(self, x):
-        return self._over(x, _behind(self.dim))
+        return self._over(np.asarray(x, np.float64), _behind(self.dim))
 
     def _over(self, x, dims):
         y = x[..., 0] + 1j * x[..., 1]
@@ -507,6 +593,9 @@ class FrequencyMask(Op):
     high: bool = False
     shift: bool = False
 
+    def result(self, dtype):
+        return "float64"
+
     def kernel(self, x, random):
         return x * self._mask(x.shape[:-1])
 
@@ -526,11 +615,14 @@ class FFTLogMagnitude(Op):
     shift: bool = False
     eps: float = 1e-12
 
+    def result(self, dtype):
+        return "float64"
+
     def kernel(self, x, random):
-        return K.fft(x, self.dim, self.shift, True, self.eps)
+        return K.fft(np.asarray(x, np.float64), self.dim, self.shift, True, self.eps)
 
     def batch(self, x):
-        return K.fft(x, _behind(self.dim), self.shift, True, self.eps)
+        return K.fft(np.asarray(x, np.float64), _behind(self.dim), self.shift, True, self.eps)
 
 
 @dataclass(frozen=True)
@@ -541,6 +633,9 @@ class DCT(Op):
     log: bool = True
     eps: float = 1e-12
 
+    def result(self, dtype):
+        return "float64"
+
     def kernel(self, x, random):
         return K.dct(x, self.dim, self.log, self.eps)
 
@@ -558,8 +653,11 @@ class Normalize(Op):
     std: Any
     permute: tuple[int, ...] | None = None
 
+    def result(self, dtype):
+        return "float64"
+
     def kernel(self, x, random):
-        y = np.transpose(x, self.permute) if self.permute else x
+        y = np.asarray(np.transpose(x, self.permute) if self.permute else x, np.float64)
         y = (y - np.asarray(self.mean)) / (np.asarray(self.std) + 1e-12)
         return np.transpose(y, np.argsort(self.permute)) if self.permute else y
 
@@ -580,8 +678,11 @@ class Normalize(Op):
 class InvertPhase(Op):
     draws = False
 
+    def result(self, dtype):
+        return {"uint8": "int16", "uint16": "int32", "uint32": "int64"}.get(np.dtype(dtype).name, dtype)
+
     def kernel(self, x, random):
-        return -x
+        return -x.astype(self.result(x.dtype.name))
 
     def column(self, data, shape):
         return F.transform(data, lambda v: -v)
@@ -595,6 +696,9 @@ class ConvertToFloat32(Op):
 
     dtype: str
 
+    def result(self, dtype):
+        return "float32"
+
     def kernel(self, x, random):
         return (x / np.iinfo(self.dtype).max).astype(np.float32) if np.issubdtype(np.dtype(self.dtype), np.integer) else x.astype(np.float32)
 
@@ -629,6 +733,17 @@ class MixSample(Op):
         part = np.broadcast_to(0.5 * np.asarray(self.sample[a : a + shape[-1]]), shape).ravel().tolist()
         return F.zip_with(data, F.array(*map(F.lit, part)), lambda v, s: v.cast("double") + s)
 
+    def result(self, dtype):
+        return "float64"
+
+    def drawn(self, data, shape, draw):
+        n = shape[-1]
+        if self.train is False or math.prod(self.shape(shape)) != n or len(self.sample) > LITERAL_INDEX:
+            return None
+        part = F.slice(F.array(*[F.lit(float(v)) for v in self.sample]), draw(0, len(self.sample) - n + 1) + 1, n)
+        by = F.array_repeat(draw.between(1, self.level), n)
+        return F.zip_with(data, F.arrays_zip(part.alias("s"), by.alias("l")), lambda v, p: v.cast("double") + p["0"] * p["1"])
+
 
 @dataclass(frozen=True)
 class RandomAttenuation(_Random):
@@ -638,6 +753,13 @@ class RandomAttenuation(_Random):
     def draw(self, x, random):
         return x * _between(self.attenuation, random)
 
+    def result(self, dtype):
+        return dtype if self.train is False or np.dtype(dtype).kind == "f" else "float64"
+
+    def drawn(self, data, shape, draw):
+        by = F.array_repeat(draw.between(0, self.attenuation), math.prod(shape))  # drawn once, outside the lambda
+        return F.zip_with(data, by, lambda v, a: v.cast("double") * a)
+
 
 @dataclass(frozen=True)
 class AudioCodecCompression(Op):
@@ -664,9 +786,13 @@ class AudioCodecCompression(Op):
 
 @dataclass(frozen=True)
 class Apply(Op):
-    """Any function of one sample."""
+    """Any function of one sample; dtype is what it gives, by default what it gets."""
 
     function: Callable[[np.ndarray], np.ndarray]
+    dtype: str | None = None
+
+    def result(self, dtype):
+        return self.dtype or dtype
 
     def kernel(self, x, random):
         return self.function(x)
@@ -688,6 +814,9 @@ class RandomChoices(_Random):
     def with_mode(self, train):
         return replace(self, train=train, choices=tuple((op.with_mode(train), w) for op, w in self.choices))
 
+    def result(self, dtype):
+        return np.result_type(dtype, *[op.result(dtype) for op, _ in self.choices]).name
+
     def draw(self, x, random):
         if not self.choices:
             return x
@@ -734,8 +863,16 @@ class Compose:
             x = op.kernel(x, rng(seed, k, key, epoch))
         return x
 
+    def result(self, dtype: str) -> str:
+        for op in self.ops:
+            dtype = op.result(dtype)
+        return np.dtype(dtype).name
+
     def column(self, data: Column, shape: Shape, key: Column, *, seed: int = 0, epoch: int = 0, dtype: str = "float64") -> tuple[Column, Shape]:
-        """The transformed column and its shape. Runs of moves become one gather; from the first kernel on, all is one UDF."""
+        """The transformed column and its shape. Runs of moves become one gather; from the first kernel on, all is one UDF.
+
+        dtype is the samples' numpy type. The ops alone decide the type of the result (see result), not the way they run.
+        """
         k = 0
         while k < len(self.ops):
             index, fill, now = None, None, shape
@@ -752,9 +889,15 @@ class Compose:
                 if not np.array_equal(index, np.arange(math.prod(shape))):
                     data = gather(data, index, fill)
                 k, shape = j, now
+                data = data.cast(f"array<{stored(dtype)}>")
                 continue
-            if (native := self.ops[k].column(data, shape)) is not None:
-                data, shape, k = native, self.ops[k].shape(shape), k + 1
+            op = self.ops[k]
+            native = op.column(data, shape)
+            if native is None and getattr(op, "train", False) is not False:
+                native = op.drawn(data, shape, Draw(seed, k, key, epoch))
+            if native is not None:
+                dtype = op.result(dtype)
+                data, shape, k = native.cast(f"array<{stored(dtype)}>"), op.shape(shape), k + 1
                 continue
             # Spark allows no lambda over a UDF's result, and the sample is in Python by now: the rest runs there too
             data = _fused(self.ops[k:], k, shape, seed, epoch, dtype)(data, key)
@@ -764,8 +907,9 @@ class Compose:
     def _shape_at(self, shape: Shape, k: int, j: int) -> Shape:
         return Compose(self.ops[k:j]).shape(shape)
 
-    def apply(self, df: DataFrame, shape: Shape, *, column: str = "data", key: str = "row_idx", seed: int = 0, epoch: int = 0, dtype: str = "float64") -> tuple[DataFrame, Shape]:
-        out, shape = self.column(F.col(column), shape, F.col(key), seed=seed, epoch=epoch, dtype=dtype)
+    def apply(self, df: DataFrame, shape: Shape, *, column: str = "data", key: str = "row_idx", seed: int = 0, epoch: int = 0, dtype: str | None = None) -> tuple[DataFrame, Shape]:
+        """df with the column transformed, and its new shape; dtype is by default the column's own."""
+        out, shape = self.column(F.col(column), shape, F.col(key), seed=seed, epoch=epoch, dtype=dtype or element_dtype(df, column))
         return df.withColumn(column, out), shape
 
 
@@ -777,7 +921,12 @@ def gather(data: Column, index: np.ndarray, fill: float | None = None) -> Column
 
 
 def _fused(ops: Sequence[Op], first: int, shape: Shape, seed: int, epoch: int, dtype: str):
-    @F.pandas_udf("array<double>")
+    types = [dtype]
+    for op in ops:
+        types.append(op.result(types[-1]))
+    element = stored(types[-1])
+
+    @F.pandas_udf(f"array<{element}>")
     def run(data, keys):
         import pandas as pd
 
@@ -790,8 +939,10 @@ def _fused(ops: Sequence[Op], first: int, shape: Shape, seed: int, epoch: int, d
                     y = np.stack([op.kernel(x, rng(seed, first + k, int(key), epoch)) for x, key in zip(y, keys.iloc[at], strict=True)])
                 else:
                     y = op.batch(y)
+                y = y.astype(types[k + 1], copy=False)
+            y = y.reshape(len(at), -1).astype(_NUMPY[element])
             for i, x in zip(at, y, strict=True):
-                out[i] = np.asarray(x, float).ravel()
+                out[i] = x
         return pd.Series(out)
 
     return run
@@ -802,7 +953,9 @@ def _fused(ops: Sequence[Op], first: int, shape: Shape, seed: int, epoch: int, d
 
 def dict_create(df: DataFrame, column: str, transforms: dict[str, Compose], shape: Shape, **options) -> DataFrame:
     """One input column to a column for each name."""
-    return df.withColumns({name: t.column(F.col(column), shape, F.col(options.get("key", "row_idx")), **{k: v for k, v in options.items() if k != "key"})[0] for name, t in transforms.items()})
+    key = options.pop("key", "row_idx")
+    options = {"dtype": element_dtype(df, column)} | options
+    return df.withColumns({name: t.column(F.col(column), shape, F.col(key), **options)[0] for name, t in transforms.items()})
 
 
 def dict_clone(df: DataFrame, source: str, clone: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import colour as C
 from .functions import geometry as G
 from .functions import kernels as K
+from .functions.names import scratch_path
 from .operators import selection as S
 from .operators import stats as W
 from .operators.dataset import Dataset, DatasetMetadata, create_dataset
@@ -400,21 +399,12 @@ def early_stopping_windows(spark, sf):
     return early_stopping(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "user_id", "counter", "stop")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares; a temporary one only where the session names none."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
 @query("SELECT text AS value, count(*) AS n FROM documents GROUP BY 1")
 def record_file_round_trip(spark, sf):
     from .sources.records import RecordSource
 
     spark.dataSource.register(RecordSource)
-    path = scratch(spark, "records")
+    path = scratch_path(spark, "records")
     table(spark, sf, "documents").select(F.col("text").alias("value")).write.format("records").mode("append").save(path)
     return spark.read.format("records").load(path).groupBy("value").agg(F.count("*").alias("n"))
 
@@ -426,7 +416,7 @@ def filename_slug(spark, sf):
 
 @query("SELECT vec_id, CAST(o AS INTEGER) AS pos, round(CAST(embedding[o + 1] AS DOUBLE), 6) + 0.0 AS value FROM embeddings, range(64) AS r(o)")
 def dataset_round_trip(spark, sf):
-    path = scratch(spark, "dataset")
+    path = scratch_path(spark, "dataset")
     create_dataset(tensors(spark, sf).select(F.col("row_idx").alias("vec_id"), "data", "label"), path, order=["vec_id"], shape=(64,), header=DatasetMetadata("vectors"))
     return cells(Dataset(spark, path, ignore_header=False).df)
 
@@ -434,7 +424,7 @@ def dataset_round_trip(spark, sf):
 @query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id)) SELECT CAST(i AS BIGINT) AS view_idx, CAST(doc_id AS VARCHAR) AS sample_id, CAST(quality AS INTEGER) AS quality, CAST(n_chars AS DOUBLE) AS size FROM r JOIN documents USING (doc_id) JOIN labels USING (doc_id)")
 def dataset_meta_view(spark, sf):
     """Ids and metadata of a written dataset, decoded natively."""
-    path = scratch(spark, "meta")
+    path = scratch_path(spark, "meta")
     rows = table(spark, sf, "documents").select("doc_id", "n_chars").join(table(spark, sf, "labels"), "doc_id")
     rows = rows.select("doc_id", F.array(F.col("n_chars").cast("double")).alias("data"), F.col("doc_id").cast("string").alias("sample_id"), F.to_json(F.struct("quality")).cast("binary").alias("sample_meta"))
     create_dataset(rows, path, order=["doc_id"], shape=(1,))

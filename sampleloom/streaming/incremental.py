@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.stats import welford
+from ..operators.training import step as next_state
 
 
 def statistics_sink(stream: DataFrame, shape: Sequence[int], path: str, checkpoint: str, *, dim: Sequence[int] | None = (0,), column: str = "data") -> StreamingQuery:
@@ -37,9 +38,7 @@ def stop_signals(stream: DataFrame, series: str, step: str, loss: str, *, patien
         out = []
         rows = pd.concat(list(frames))[[step, loss]].dropna().sort_values([step, loss])
         for at, value in rows.itertuples(index=False):
-            if least is not None:
-                counter = 0 if least - value > delta * least else counter + 1
-            least = value if least is None else min(least, value)
+            least, counter = next_state(least, counter, value, delta)
             out.append((key[0], at, counter, counter >= patience))
         if least is not None:
             state.update((float(least), int(counter)))
