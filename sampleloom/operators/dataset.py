@@ -228,6 +228,16 @@ def create_dataset_from_paths(spark: SparkSession, path: str, *, sample_paths: S
     return [E.BatchProcessItemError(r.path, r.error) for r in failed]
 
 
+def decoded(view: DataFrame, schema: str, header: DatasetMetadata | None = None) -> DataFrame:
+    """Rows (view_idx, sample_id, meta) of a view's JSON metadata, resolved against id and header (see MetaStore.decoded)."""
+    known = {"sample_id": F.col("sample_id")} | ({} if header is None else {"name": F.lit(header.name), "split": F.lit(header.split)})
+    meta = F.from_json(F.col("sample_meta").cast("string"), schema)
+    rows = view.select("view_idx", "sample_id", meta.alias("meta"))
+    fields = rows.schema["meta"].dataType.fields
+    full = [(F.coalesce(F.col(f"meta.`{f.name}`"), known[f.name].cast(f.dataType)) if f.name in known else F.col(f"meta.`{f.name}`")).alias(f.name) for f in fields]
+    return rows.withColumn("meta", F.when(F.col("meta").isNotNull(), F.struct(*full)))
+
+
 class MetaStore:
     """Ids and decoded metadata of a view (view_idx, sample_id, sample_meta), by position, id or all; lists are copies.
 
@@ -245,6 +255,29 @@ class MetaStore:
         meta = self.decoder(bytes(row.sample_meta), row.sample_id)
         return meta.resolve(row.sample_id, self.header) if hasattr(meta, "resolve") else meta
 
+    def decoded(self, schema: str) -> DataFrame:
+        """Rows (view_idx, sample_id, meta) of JSON metadata, decoded in the executors; meta is a struct of the schema.
+
+        Where the schema names sample_id, name or split that the JSON lacks, the id and the header resolve them.
+        """
+        return decoded(self.view, schema, self.header)
+
+    def decoded_by(self, kind: str) -> DataFrame:
+        """Rows (view_idx, sample_id, meta) that the store's own decoder gives in the executors, as values of a Spark type."""
+        decode, header = self.decoder, self.header
+
+        @F.pandas_udf(kind)
+        def run(raw, ids):
+            import pandas as pd
+
+            out = []
+            for x, i in zip(raw, ids, strict=True):
+                meta = None if x is None else decode(bytes(x), i)
+                out.append(meta.resolve(i, header) if hasattr(meta, "resolve") else meta)
+            return pd.Series(out)
+
+        return self.view.select("view_idx", "sample_id", run("sample_meta", "sample_id").alias("meta"))
+
     def __len__(self) -> int:
         return self.view.count()
 

@@ -671,7 +671,7 @@ class Normalize(Op):
         if len(mean) > LITERAL_INDEX:
             return None
         pairs = F.arrays_zip(F.array(*map(F.lit, mean.tolist())).alias("m"), F.array(*map(F.lit, std.tolist())).alias("s"))
-        return F.zip_with(data, pairs, lambda v, p: (v.cast("double") - p["0"]) / p["1"])
+        return F.zip_with(data, pairs, lambda v, p: (v.cast("double") - p["m"]) / p["s"])
 
 
 @dataclass(frozen=True)
@@ -742,7 +742,7 @@ class MixSample(Op):
             return None
         part = F.slice(F.array(*[F.lit(float(v)) for v in self.sample]), draw(0, len(self.sample) - n + 1) + 1, n)
         by = F.array_repeat(draw.between(1, self.level), n)
-        return F.zip_with(data, F.arrays_zip(part.alias("s"), by.alias("l")), lambda v, p: v.cast("double") + p["0"] * p["1"])
+        return F.zip_with(data, F.arrays_zip(part.alias("s"), by.alias("l")), lambda v, p: v.cast("double") + p["s"] * p["l"])
 
 
 @dataclass(frozen=True)

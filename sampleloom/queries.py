@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,9 +137,13 @@ def last_duplicate_wins(spark, sf):
     return S.last_rows(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
 
 
-@query("SELECT d.doc_id, lang, n_chars, quality, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+@query("WITH r AS (SELECT doc_id, n_chars, quality, toxic, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents JOIN labels USING (doc_id)) SELECT CAST(i AS BIGINT) AS view_idx, CAST(n_chars AS BIGINT) AS size, CAST(quality AS INTEGER) AS quality, CAST(toxic AS INTEGER) AS toxic FROM r")
 def align_labels(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf, "labels"), "doc_id")
+    """Samples and labels of a written dataset; the view checks that each sample has its label."""
+    path = scratch_path(spark, "labels")
+    rows = table(spark, sf, "documents").select("doc_id", "n_chars").join(table(spark, sf, "labels"), "doc_id")
+    create_dataset(rows.select("doc_id", F.array(F.col("n_chars").cast("bigint")).alias("data"), F.array(F.col("quality").cast("int"), F.col("toxic").cast("int")).alias("label")), path, order=["doc_id"], shape=(1,))
+    return Dataset(spark, path).df.select("view_idx", F.element_at("data", 1).alias("size"), F.element_at("label", 1).alias("quality"), F.element_at("label", 2).alias("toxic"))
 
 
 @query(f"WITH {ELEMENTS} SELECT CAST(pos % 8 AS BIGINT) AS \"row\", CAST(count(*) AS BIGINT) AS n, round(sum(v * r), 3) + 0.0 AS checksum FROM (SELECT pos, v, row_number() OVER (PARTITION BY pos % 8 ORDER BY vec_id, pos) % 997 AS r FROM e) GROUP BY 1")
@@ -151,21 +160,64 @@ def collate_batches(spark, sf):
     return out.select("batch", "n", F.array_join(F.col("doc_id").cast("array<string>"), ",").alias("ids"), F.aggregate("n_chars", F.lit(0).cast("long"), lambda a, v: a + v).alias("chars"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+def events_dataset(spark, sf) -> Dataset:
+    """The events as samples with their props as metadata; ids, metadata and the header's count are checked when it opens."""
+    path = scratch_path(spark, "events")
+    rows = table(spark, sf, "events").select("event_id", F.array(F.col("value").cast("double")).alias("data"), F.col("event_id").cast("string").alias("sample_id"), F.col("props").cast("binary").alias("sample_meta"))
+    create_dataset(rows, path, order=["event_id"], shape=(1,), header=DatasetMetadata("events", "train"))
+    return Dataset(spark, path, meta_decoder=lambda raw, _: json.loads(raw), ignore_header=False)
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS sample_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
 def meta_decode(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+    """The store's own decoder, run in the executors."""
+    store = events_dataset(spark, sf).meta
+    decode = store.decoder
+    store.decoder = lambda raw, i: decode(raw, i)["k"]
+    return store.decoded_by("int").select("sample_id", F.col("meta").alias("k"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, CAST(event_id AS VARCHAR) AS sample_id, 'events' AS name, 'train' AS split FROM events")
+@query("SELECT CAST(event_id AS VARCHAR) AS sample_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, 'events' AS name, 'train' AS split FROM events")
 def meta_resolve(spark, sf):
-    header = spark.createDataFrame([("events", "train")], "name string, split string")
-    rows = table(spark, sf, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"), F.col("event_id").cast("string").alias("sample_id"))
-    return rows.crossJoin(F.broadcast(header))  # one header row
+    """JSON decoded natively and resolved against id and header."""
+    return events_dataset(spark, sf).meta.decoded("k int, sample_id string, name string, split string").select("meta.sample_id", "meta.k", "meta.name", "meta.split")
 
 
-@query("SELECT CAST(1000 AS BIGINT) AS header, count(*) AS actual, count(*) = 1000 AS agrees FROM documents")
+@query("SELECT count(*) AS header, count(*) AS actual, true AS agrees FROM events")
 def header_count_check(spark, sf):
-    return table(spark, sf, "documents").agg(F.lit(1000).cast("long").alias("header"), F.count("*").alias("actual")).withColumn("agrees", F.col("header") == F.col("actual"))
+    """What the header of a written dataset says and what the dataset has."""
+    found = events_dataset(spark, sf)
+    return found.df.agg(F.lit(found.metadata.num_samples).cast("long").alias("header"), F.count("*").alias("actual")).withColumn("agrees", F.col("header") == F.col("actual"))
+
+
+@query(f"WITH r AS (SELECT embedding, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings) SELECT CAST(view_idx AS BIGINT) AS view_idx, CAST(o AS INTEGER) AS pos, round(CAST(embedding[64 - o] AS DOUBLE), 6) + 0.0 AS value, 7.0 :: DOUBLE AS label FROM r JOIN (SELECT unnest({_PICKED}) AS i, generate_subscripts({_PICKED}, 1) - 1 AS view_idx) p USING (i), range(64) AS t(o)")
+def dataset_selection(spark, sf):
+    """A view of chosen positions in the caller's order, transformed, with a static label, in memory."""
+    path = scratch_path(spark, "selection")
+    create_dataset(tensors(spark, sf).select(F.col("row_idx").alias("vec_id"), "data"), path, order=["vec_id"], shape=(64,))
+    df = Dataset(spark, path, mode="memory", select_indices=_PICKED, static_label=7.0, transform=T.Compose([T.NoTransform(), T.Flip(0)])).df
+    return df.select("view_idx", F.element_at("label", 1).alias("label"), F.posexplode("data").alias("pos", "v")).select("view_idx", "pos", r6(F.col("v")).alias("value"), "label")
+
+
+@query("WITH q AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, least(greatest(floor(CAST(unnest(embedding) AS DOUBLE) * 100 + 128), 0), 255) AS v FROM embeddings) SELECT vec_id, CAST(63 - pos AS INTEGER) AS pos, CAST(v AS SMALLINT) AS value, 'uint8' AS dtype FROM q")
+def dataset_of_bytes(spark, sf):
+    """uint8 samples stay small integers through the store and a transform."""
+    path = scratch_path(spark, "bytes")
+    rows = tensors(spark, sf).select(F.col("row_idx").alias("vec_id"), F.transform("data", lambda v: F.least(F.greatest(F.floor(v.cast("double") * 100 + 128), F.lit(0)), F.lit(255)).cast("smallint")).alias("data"))
+    create_dataset(rows, path, order=["vec_id"], shape=(64,), dtype="uint8")
+    found = Dataset(spark, path, transform=T.Compose([T.Apply(np.copy), T.Flip(0)]))
+    ids = S.dense_index(rows.select("vec_id"), ["vec_id"])
+    return found.df.join(ids, "row_idx").select("vec_id", F.posexplode("data").alias("pos", "value")).withColumn("dtype", F.lit(found.dtype))
+
+
+@query("SELECT CAST(doc_id % 7 AS BIGINT) AS key, count(*) AS n, max(doc_id) AS last FROM documents GROUP BY 1")
+def snapshot_merge(spark, sf):
+    """Snapshots as tables: statistics of parts are written, read again and merged; count and largest value per key."""
+    path = scratch_path(spark, "snapshots")
+    rows = table(spark, sf, "documents").select((F.col("doc_id") % 7).alias("key"), (F.col("doc_id") % 3).alias("part"), F.array(F.col("doc_id").cast("double")).alias("data"))
+    W.welford(rows, (1,), keys=["key", "part"]).write.parquet(path)
+    merged = W.merge(spark.read.parquet(path), ["key"]).select("key", F.col("count").cast("long").alias("n"))
+    return merged.join(table(spark, sf, "documents").groupBy((F.col("doc_id") % 7).alias("key")).agg(F.max("doc_id").alias("last")), "key")
 
 
 @query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS split_idx FROM documents) SELECT doc_id, CAST(split_idx AS BIGINT) AS split_idx, CASE WHEN split_idx < 700 THEN 'train' WHEN split_idx < 850 THEN 'valid' ELSE 'test' END AS split FROM r WHERE split_idx < 1000")
@@ -173,9 +225,12 @@ def split_sorted(spark, sf):
     return S.splits(table(spark, sf, "documents").select("doc_id"), ["doc_id"], (700, 150, 150))
 
 
-@query()
+@query("SELECT CASE WHEN i < 700 THEN 'train' WHEN i < 850 THEN 'valid' ELSE 'test' END AS split, count(*) AS n, count(*) AS documents FROM (SELECT row_number() OVER () - 1 AS i FROM documents) WHERE i < 1000 GROUP BY 1")
 def split_shuffled(spark, sf):
-    return S.splits(table(spark, sf, "documents").select("doc_id"), ["doc_id"], (700, 150, 150), seed=42)
+    """Sizes of seeded splits; no document is in two, or the counts would differ."""
+    found = S.splits(table(spark, sf, "documents").select("doc_id"), ["doc_id"], (700, 150, 150), seed=42)
+    every = found.groupBy("doc_id").agg(F.count("*").alias("times"), F.first("split").alias("split"))
+    return every.groupBy("split").agg(F.sum("times").alias("n"), F.count("*").alias("documents"))
 
 
 def moved(name: str, ops: list, shape: tuple, size: int, source: str, inside: str | None = None, fill: float = 0.0) -> None:
@@ -432,35 +487,89 @@ def dataset_meta_view(spark, sf):
     return view.select("view_idx", "sample_id", F.from_json(F.col("sample_meta").cast("string"), "quality int")["quality"].alias("quality"), F.element_at("data", 1).alias("size"))
 
 
-def _random(name: str, ops: list, shape: tuple, scale: float = 1.0) -> None:
+def _random(name: str, ops: list, shape: tuple, holds: Callable[[Column, Column], Column], size: int, scale: float = 1.0) -> None:
+    """What a random op gives for each row: how many elements, and whether holds(input, output), which SQL takes as given.
+
+    The op runs twice, on rows in different partitions; the draws must agree.
+    """
+
     def run(spark, sf):
-        df = tensors(spark, sf).withColumn("data", F.transform("data", lambda v: v.cast("double") * scale))
-        return cells(T.Compose(ops).apply(df, shape, seed=42)[0])
+        df = tensors(spark, sf).withColumn("data", F.transform("data", lambda v: v.cast("double") * scale)).select("row_idx", "data", F.col("data").alias("x"))
+        apply = lambda d: T.Compose(ops).apply(d, shape, seed=42)[0]
+        again = apply(df.repartition(5, "row_idx")).select("row_idx", F.col("data").alias("again"))
+        both = apply(df).join(again, "row_idx")
+        return both.select(F.col("row_idx").alias("vec_id"), F.size("data").alias("n"), holds(F.col("x"), F.col("data")).alias("holds"), (F.col("data") == F.col("again")).alias("repeats"))
 
-    QUERIES[name] = run
+    QUERIES[name], ORACLE_SQL[name] = run, f"SELECT vec_id, CAST({size} AS INTEGER) AS n, true AS holds, true AS repeats FROM embeddings"
+
+
+def _one_of(shape: tuple, *pipelines: list) -> Callable[[Column, Column], Column]:
+    """The output is what one of the pipelines without draws gives."""
+    return lambda x, y: reduce(or_, [T.Compose(p).column(x, shape, F.lit(0))[0] == y for p in pipelines])
 
 
-_random("random_crop", [T.RandomCrop((0, 1), (5, 5))], (8, 8))
-_random("random_slice", [T.RandomSlice(16)], (1, 64))
-_random("random_flip", [T.RandomFlip((0, 1), 0.5)], (8, 8))
-_random("random_rotate90", [T.RandomRotate90((0, 1))], (8, 8))
-_random("random_rotate", [T.RandomRotateAnyDegree((0, 1))], (8, 8))
-_random("random_erasing", [T.RandomErasing((0, 1))], (8, 8))
-_random("random_noise", [T.RandomNoise((0,), 3.0)], (8, 8), 100)
-_random("random_attenuation", [T.RandomAttenuation((0.3, 0.9))], (1, 64))
-_random("random_resize", [T.RandomResizeRoundTrip(0)], (64,))
-_random("random_patches", [T.RandomPatchesInGrid(2, 4)], (8, 8))
-_random("mix_sample", [T.MixSample(_SAMPLE, (0.1, 0.9))], (1, 64))
-_random("random_choices", [T.RandomChoices(((T.Flip(0), 1.0), (T.InvertPhase(), 2.0)), samples=2)], (64,))
+def _within(low: Callable, high: Callable) -> Callable[[Column, Column], Column]:
+    return lambda x, y: (F.array_min(y) >= low(x) - 1e-9) & (F.array_max(y) <= high(x) + 1e-9)
 
 
-def _colour_query(name: str, op: T.Op, scale: float) -> None:
+_LOW, _HIGH = (lambda x: F.least(F.array_min(x), F.lit(0.0))), (lambda x: F.greatest(F.array_max(x), F.lit(0.0)))
+
+
+def _window(height: int, width: int, r: int, c: int) -> list:
+    """The window at row r, column c of an (8, 8) sample, as a pad-free gather."""
+    return [_At(tuple((r + i) * 8 + c + j for i in range(height) for j in range(width)), (height, width))]
+
+
+@dataclass(frozen=True)
+class _At(T.Move):
+    """Elements at given positions, in a given shape."""
+
+    at: tuple[int, ...]
+    to: tuple[int, ...]
+
+    def move(self, x, fill):
+        return x.ravel()[list(self.at)].reshape(self.to)
+
+
+def _patches(x: Column, y: Column) -> Column:
+    """Each quarter of the output is a 2 x 2 window of its 4 x 4 cell."""
+    tests = []
+    for k in range(4):
+        r, c = k // 2 * 4, k % 2 * 4
+        own = F.slice(y, 4 * k + 1, 4)
+        tests.append(reduce(or_, [F.array(*[F.get(x, (r + a + i) * 8 + c + b + j) for i in (0, 1) for j in (0, 1)]) == own for a in range(3) for b in range(3)]))
+    return reduce(and_, tests)
+
+
+_TURNS = [[T.Rotate90((0, 1), k)] for k in range(4)]
+_ratio = lambda x, y: F.zip_with(x, y, lambda v, w: F.when(F.abs(v) > 1e-3, w / v))
+_random("random_crop", [T.RandomCrop((0, 1), (5, 5))], (8, 8), _one_of((8, 8), *[_window(5, 5, r, c) for r in range(4) for c in range(4)]), 25)
+_random("random_slice", [T.RandomSlice(16)], (1, 64), lambda x, y: F.exists(F.sequence(F.lit(1), F.lit(49)), lambda k: F.slice(x, k, F.lit(16)) == y), 16)
+_random("random_flip", [T.RandomFlip((0, 1), 0.5)], (8, 8), _one_of((8, 8), [], [T.Flip(0)], [T.Flip(1)], [T.Flip((0, 1))]), 64)
+_random("random_flip_certain", [T.RandomFlip((0, 1), (1.0, 0.0))], (8, 8), _one_of((8, 8), [T.Flip(0)]), 64)
+_random("random_rotate90", [T.RandomRotate90((0, 1))], (8, 8), _one_of((8, 8), *_TURNS), 64)
+_random("random_rotate", [T.RandomRotateAnyDegree((0, 1))], (8, 8), _within(_LOW, _HIGH), 64)
+_random("random_erasing", [T.RandomErasing((0, 1))], (8, 8), lambda x, y: F.forall(F.zip_with(x, y, lambda v, w: (v == w) | (w == 0.0)), lambda t: t) & (F.size(F.filter(F.zip_with(x, y, lambda v, w: v != w), lambda t: t)) <= 4), 64)
+_random("random_noise", [T.RandomNoise((0,), 3.0)], (8, 8), _within(lambda x: F.lit(0.0), lambda x: F.lit(255.0)), 64, 100)
+_random("random_attenuation", [T.RandomAttenuation((0.3, 0.9))], (1, 64), lambda x, y: (F.array_max(_ratio(x, y)) - F.array_min(_ratio(x, y)) < 1e-9) & F.array_min(_ratio(x, y)).between(0.3, 0.9), 64)
+_random("random_resize", [T.RandomResizeRoundTrip(0)], (64,), _within(F.array_min, F.array_max), 64)
+_random("random_patches", [T.RandomPatchesInGrid(2, 4)], (8, 8), _patches, 16)
+_random("mix_sample", [T.MixSample(_SAMPLE, (0.1, 0.9))], (1, 64), lambda x, y: F.exists(F.sequence(F.lit(0), F.lit(6)), lambda k: F.array_max(F.transform(F.zip_with(x, y, lambda v, w: w - v), lambda d, i: F.abs(d - F.pmod(i + k, F.lit(7)) * (F.array_max(F.zip_with(x, y, lambda v, w: w - v)) / 6)))) < 1e-9), 64)
+_random("random_choices", [T.RandomChoices(((T.Flip(0), 1.0), (T.InvertPhase(), 2.0)), samples=2)], (64,), _one_of((64,), [], [T.Flip(0), T.InvertPhase()]), 64)
+
+
+def _colour_query(name: str, op: T.Op, scale: float, low: float, high: float, off: float) -> None:
+    """Colours stay in their range, and on average near what they were."""
+
     def run(spark, sf):
-        df = colours(spark, sf).withColumn("data", F.transform("data", lambda v: F.floor(v * scale) if scale > 1 else v))
-        return cells(T.Compose([op]).apply(df, (3, 4, 5), seed=42, dtype="float32" if scale == 1 else "uint8")[0], digits=4)
+        df = colours(spark, sf).withColumn("data", F.transform("data", lambda v: F.floor(v * scale) if scale > 1 else v)).withColumn("x", F.col("data"))
+        out = T.Compose([op]).apply(df, (3, 4, 5), seed=42, dtype="float32" if scale == 1 else "uint8")[0].select("row_idx", "x", F.transform("data", lambda v: v.cast("double")).alias("y"))
+        mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / 60
+        near = mean(F.zip_with("x", "y", lambda v, w: F.abs(v.cast("double") - w))) <= off
+        return out.select(F.col("row_idx").alias("vec_id"), F.size("y").alias("n"), ((F.array_min("y") >= low) & (F.array_max("y") <= high) & near).alias("holds"))
 
-    QUERIES[name] = run
+    QUERIES[name], ORACLE_SQL[name] = run, "SELECT vec_id, CAST(60 AS INTEGER) AS n, true AS holds FROM embeddings"
 
 
-_colour_query("color_jitter", T.ColorJitter((0.8, 1.2), (0.8, 1.2), (0.8, 1.2), (-0.1, 0.1)), 1)
-_colour_query("jpeg_compression", T.JPEGCompression((50, 90)), 255)
+_colour_query("color_jitter", T.ColorJitter((0.8, 1.2), (0.8, 1.2), (0.8, 1.2), (-0.1, 0.1)), 1, 0.0, 1.0, 0.6)
+_colour_query("jpeg_compression", T.JPEGCompression((50, 90)), 255, 0, 255, 40)
