@@ -244,3 +244,18 @@ def near_duplicate_vectors(
     component = F.coalesce("top", "vec_id")
     known = base.where(own).select("vec_id").join(member, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
     return known.unionByName(base.where(~own).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
+
+#: The same rows by comparing all pairs of vectors.
+VECTORS_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), scaled AS (SELECT vec_id, list_transform(x, lambda e: e / list_max(list_transform(x, lambda f: abs(f)))) AS x FROM v),
+unit AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS size FROM scaled),
+link AS (SELECT DISTINCT a.vec_id AS u, b.vec_id AS v FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND CASE WHEN len(a.x) = len(b.x) THEN list_dot_product(a.x, b.x) / (a.size * b.size) >= 0.95 END),
+reach AS (SELECT DISTINCT vec_id AS u, vec_id AS v FROM v UNION SELECT r.u, l.v FROM reach r JOIN link l ON r.v = l.u),
+top AS (SELECT u, min(v) AS top FROM reach GROUP BY u),
+deg AS (SELECT u, count(*) AS n FROM link GROUP BY u)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(coalesce(top, e.vec_id) AS BIGINT) AS component_id, coalesce(coalesce(top, e.vec_id) = e.vec_id, true) AS kept
+FROM embeddings e LEFT JOIN top ON e.vec_id = top.u LEFT JOIN deg ON e.vec_id = deg.u
+"""

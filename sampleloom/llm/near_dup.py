@@ -281,3 +281,25 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     out = sk.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+#: The same rows by comparing all pairs of different sets that share a shingle: 4 words, 80 percent.
+NEAR_DUP_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT DISTINCT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t, text FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, text, CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 4 THEN [array_to_string(t, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i + 3], ' ')))) END AS grams FROM w
+), class AS MATERIALIZED (SELECT row_number() OVER () AS c, grams, len(grams) AS n FROM (SELECT DISTINCT grams FROM s WHERE len(grams) > 0 AND doc_id IS NOT NULL)),
+g AS MATERIALIZED (SELECT c, n, dense_rank() OVER (ORDER BY gram) AS gram FROM (SELECT c, n, unnest(grams) AS gram FROM class)),
+linked AS MATERIALIZED (
+  SELECT a.c AS u, b.c AS v FROM g a JOIN g b ON a.gram = b.gram AND a.c < b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), owner AS MATERIALIZED (SELECT doc_id, c FROM s JOIN class USING (grams) WHERE doc_id IS NOT NULL),
+shared AS (SELECT min(c) AS u, max(c) AS v, list(DISTINCT c) AS cs FROM owner GROUP BY doc_id HAVING count(DISTINCT c) > 1),
+edge AS MATERIALIZED (SELECT u, v FROM linked UNION SELECT v, u FROM linked UNION SELECT u, unnest(cs) FROM shared UNION SELECT unnest(cs), u FROM shared),
+reach AS (SELECT c AS u, c AS v FROM class UNION SELECT r.u, e.v FROM reach r JOIN edge e ON r.v = e.u),
+top AS (SELECT r.u AS c, min(o.doc_id) AS top FROM reach r JOIN owner o ON o.c = r.v GROUP BY r.u),
+doc AS (SELECT doc_id, min(top) AS top FROM owner JOIN top USING (c) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, coalesce(doc.top, d.doc_id) AS component_id, coalesce(coalesce(doc.top, d.doc_id) = d.doc_id, true) AS kept
+FROM documents d JOIN s ON d.doc_id IS NOT DISTINCT FROM s.doc_id AND d.text IS NOT DISTINCT FROM s.text LEFT JOIN doc ON d.doc_id = doc.doc_id
+"""

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from .chat import CHAT_SQL, conversations, preference_examples, stale_reply_pairs
 from .common import new_path, written
 from .decontaminate import DECONTAMINATE_SQL, decontaminate
-from .embeddings import near_duplicate_vectors
+from .embeddings import VECTORS_SQL, near_duplicate_vectors
 from .language import held_out, identify_languages
 from .mixing import MIX_SQL, mix_sources
-from .near_dup import near_duplicates
+from .near_dup import NEAR_DUP_SQL, near_duplicates
 from .pii import personal_data_digest
 from .token_counts import TokenRollup, replayed, token_rows, vocabulary
 from .toxicity import fit_toxicity, labelled_sample, predict_severity
@@ -91,7 +91,9 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_preferences": CHAT_SQL,
+    "op4_minhash_near_dedup": NEAR_DUP_SQL,
     "op6_mix_sources": MIX_SQL.format(docs="documents"),
     "op7_decontaminate": DECONTAMINATE_SQL.format(docs="documents"),
+    "op9_embedding_near_dedup": VECTORS_SQL,
     "op10_warc": WARC_SQL,
 }

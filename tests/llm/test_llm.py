@@ -635,7 +635,7 @@ def test_chat(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "pages"):
+    for t in ("documents", "embeddings", "benchmark", "conversations", "pages"):
         con.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     want = con.sql(queries.ORACLE_SQL[name]).df()
     got = queries.QUERIES[name](spark, DATA).toPandas()[list(want.columns)]
