@@ -123,6 +123,32 @@ def lanczos_resize(x: np.ndarray, size: tuple[int, int]) -> np.ndarray:
     return y
 
 
+def sinc_resample(x: np.ndarray, rate: int, to: int, zeros: int = 16, block: int = 1 << 14) -> np.ndarray:
+    """One channel at another sample rate: a Hann-windowed sinc of `zeros` crossings a side, cut off at the lower rate's half.
+
+    The result has ceil(n * to / rate) samples; integers are rounded and clipped. What lies outside counts as 0. Blocks of
+    outputs bound the memory, whatever the length.
+    """
+    if rate <= 0 or to <= 0:
+        raise ValueError("sample rates must be above 0")
+    n = -(-len(x) * to // rate)
+    cut = min(1.0, to / rate)
+    reach = int(np.ceil(zeros / cut))
+    signal = np.pad(x.astype(float), reach + 1)
+    near = np.arange(-reach, reach + 2)
+    out = np.empty(n)
+    for a in range(0, n, block):
+        k = np.arange(a, min(n, a + block))
+        whole, part = k * rate // to, (k * rate % to) / to
+        t = (near[None, :] - part[:, None]) * cut
+        weight = np.where(np.abs(t) < zeros, np.sinc(t) * np.cos(np.pi * t / (2 * zeros)) ** 2, 0) * cut
+        at = np.minimum(whole[:, None] + near[None, :] + reach + 1, len(signal) - 1)  # the last is a zero of the padding
+        out[k] = (signal[at] * weight).sum(axis=1)
+    if np.issubdtype(x.dtype, np.integer):
+        return np.clip(np.rint(out), np.iinfo(x.dtype).min, np.iinfo(x.dtype).max).astype(x.dtype)
+    return out.astype(x.dtype)
+
+
 def _top(x: np.ndarray) -> float:
     return 255.0 if np.issubdtype(x.dtype, np.integer) else 1.0
 

@@ -124,6 +124,12 @@ def test_kernels():
     assert np.allclose(K.adjust_hue(floats, 0.0, 360.0), floats, atol=1e-5)
     with pytest.raises(ValueError):
         K.gray(x)
+    tone = lambda rate: np.sin(2 * np.pi * 440 * np.arange(rate) / rate)
+    for rate, to in ((44100, 22050), (16000, 22050), (22050, 16000)):
+        assert np.abs(K.sinc_resample(tone(rate), rate, to) - tone(to))[200:-200].max() < 1e-3
+    high_tone = np.sin(2 * np.pi * 15000 * np.arange(44100) / 44100)  # above the new rate's half: gone
+    assert np.abs(K.sinc_resample(high_tone, 44100, 22050))[200:-200].max() < 1e-3
+    assert K.sinc_resample(np.full(90, 32767, np.int16), 3, 2).dtype == np.int16 and len(K.sinc_resample(np.zeros(10), 3, 2)) == 7
     n = np.arange(6)
     assert np.allclose(K.dct(x[0, 0, :6], (0,), log=False), [2 * (x[0, 0, :6] * np.cos(np.pi * k * (2 * n + 1) / 12)).sum() for k in n])
     radial = K.radial_frequencies((8, 8), (0, 1), True)
@@ -259,8 +265,14 @@ def test_media(spark):
         f.setframerate(22050)
         f.writeframes(np.stack([np.arange(10), -np.arange(10)], 1).astype("<i2").tobytes())
     assert decode_audio(raw.getvalue(), 4).tolist() == [[0, 1, 2, 3]] and decode_audio(raw.getvalue(), 13).tolist() == [[0, *range(10), 0, 0]]
-    with pytest.raises(NotImplementedError):
-        decode_audio(raw.getvalue(), 4, 16000)
+    assert decode_audio(raw.getvalue(), 8, 16000).shape == (1, 8)
+    deep = io.BytesIO()
+    with wave.open(deep, "wb") as f:
+        f.setnchannels(1)
+        f.setsampwidth(3)
+        f.setframerate(22050)
+        f.writeframes(b"".join(v.to_bytes(3, "little", signed=True) for v in (0, 1 << 22, -(1 << 22))))
+    assert np.allclose(decode_audio(deep.getvalue(), 3, dtype="float64"), [[0, 0.5, -0.5]], atol=1e-6)
     x = np.zeros((48, 48, 3), np.uint8)
     x[16:32, 8:24] = 255
     assert fit_image(x, 16, crop_origin=(8, 16)).min() == 255 and fit_image(x, 16, scale_to_fit=True).shape == (16, 16, 3)
