@@ -153,11 +153,16 @@ def _top(x: np.ndarray) -> float:
     return 255.0 if np.issubdtype(x.dtype, np.integer) else 1.0
 
 
-def check_image(x: np.ndarray, channels: int | None = 3) -> None:
+def check_image(x: np.ndarray, channels: int | None = 3, *, tops: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> None:
+    """Rank, channels, type, and for floats that values lie from 0 to the channels' tops (HSV: 360, 1, 1)."""
     if x.ndim != 3 or (channels and x.shape[0] != channels):
         raise ValueError(f"an image of {channels or 'some'} channels first is needed, not {x.shape}")
     if x.dtype not in (np.uint8, np.float32):
         raise ValueError(f"an image is uint8 or float32, not {x.dtype}")
+    if x.dtype == np.float32:
+        for name, part, top in zip(("first", "second", "third"), x, tops, strict=False):
+            if part.size and (part.min() < 0 or part.max() > top):
+                raise ValueError(f"values of the {name} channel lie from 0 to {top:g}")
 
 
 def blend(a: np.ndarray, b: np.ndarray, ratio: float) -> np.ndarray:
@@ -188,6 +193,7 @@ def rgb_to_hsv(x: np.ndarray) -> np.ndarray:
 
 
 def hsv_to_rgb(x: np.ndarray) -> np.ndarray:
+    check_image(x, tops=(360.0, 1.0, 1.0))
     full = x.dtype == np.uint8
     h, s, v = x.astype(float)
     h, s, v = (h * 360 / 256, s / 255, v / 255) if full else (h, s, v)

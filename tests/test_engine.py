@@ -122,8 +122,11 @@ def test_kernels():
     assert np.allclose(K.hsv_to_rgb(K.rgb_to_hsv(floats)), floats, atol=1e-5)
     assert np.array_equal(K.adjust_brightness(image, 1.0), image) and K.adjust_brightness(image, 0.0).max() == 0
     assert np.allclose(K.adjust_hue(floats, 0.0, 360.0), floats, atol=1e-5)
-    with pytest.raises(ValueError):
-        K.gray(x)
+    bad_hue = K.rgb_to_hsv(floats)
+    bad_hue[0, 0, 0] = 361
+    for f, wrong in ((K.gray, x), (K.gray, floats - 1), (K.rgb_to_hsv, floats + 1), (K.hsv_to_rgb, bad_hue), (K.hsv_to_rgb, floats[:2])):
+        with pytest.raises(ValueError):
+            f(wrong)
     tone = lambda rate: np.sin(2 * np.pi * 440 * np.arange(rate) / rate)
     for rate, to in ((44100, 22050), (16000, 22050), (22050, 16000)):
         assert np.abs(K.sinc_resample(tone(rate), rate, to) - tone(to))[200:-200].max() < 1e-3
