@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.names import free_name, remove_path, scratch_path
 
-__all__ = ["BATCH_BYTES", "bounded_batches", "components", "discard", "free_name", "new_path", "spread", "written"]
+__all__ = ["BATCH_BYTES", "bounded_batches", "components", "discard", "free_name", "new_path", "settled", "sized", "spread", "written"]
 
 #: Bytes of an Arrow batch, about; a row is never cut.
 BATCH_BYTES = 4 << 20
 #: Inputs of fewer bytes a core than this are dealt out to all cores before Python works on them.
 SMALL_BYTES = 6 << 20
 
+#: Files of a written table up to which it is broadcast; packed, a few times less than in memory.
+BROADCAST_BYTES = 4 << 20
+
 new_path = scratch_path
 
 
@@ -21,6 +24,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    return _read_back(df, path)
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """written(), and Spark drops the shuffle files of the write as soon as it is over instead of when the driver's JVM happens to collect garbage."""
+    path, conf = scratch_path(df.sparkSession, name), df.sparkSession.conf
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
+    return _read_back(df, path)
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """A written table as the small side of a join: broadcast if its files are small, else Spark shuffles both sides."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
+def _read_back(df: DataFrame, path: str) -> DataFrame:
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_documents
 from .chat import CHAT_SQL, conversations, preference_examples, stale_reply_pairs
 from .common import new_path, written
 from .decontaminate import DECONTAMINATE_SQL, decontaminate
@@ -76,6 +77,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.where("gap is null").select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(table(spark, sf_dir, "documents"), spark.conf.get(*TOKENIZERS))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -87,6 +92,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_warc": op10_warc,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
