@@ -25,11 +25,13 @@ from .shingles import text_bytes
 
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text, about, whose segments share one numbering; a longer text is one by itself.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 24 << 20
 #: Segments that a tokenizer takes at a time.
 _MANY = 2000
-#: Bits of a link: the token id of A above, that of B, then whether A and whether B end where the link does.
+#: A link is a number: the token id of A, that of B in so many bits, then whether A and whether B end where the link does.
 _B_BITS = 24
+#: A token is a number: its id, then its byte length in so many bits.
+_SIZE_BITS = 20
 
 
 def _byte_values() -> dict[str, int]:
@@ -123,13 +125,13 @@ def _coded(folder: str):
         coded = found.dictionary_encode()
         docs = pa.concat_arrays(ids) if len(ids) > 1 else ids[0]
         n, m = len(docs), len(coded.dictionary)
-        names = ["block", "doc_id", "codes", "code", "segment"]
+        names = ["block", "row", "doc_id", "codes", "code", "segment"]
         lists = pa.ListArray.from_arrays(pa.array(place, pa.int32()), coded.indices.cast(pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), docs, lists, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n), pa.int32()), docs, lists, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         for a in range(0, m, 50_000):
             k = min(50_000, m - a)
             part = coded.dictionary.slice(a, k).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int32())), pa.array(np.arange(a, a + k), pa.int32()), part], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int32())), pa.array(np.arange(a, a + k), pa.int32()), part], names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -149,12 +151,12 @@ def _coded(folder: str):
 
 
 def _encoded(folder: str):
-    """Token ids and byte lengths of segments under both tokenizers; none if the bytes of a tokenization differ from the segment."""
+    """Segments' tokens under both tokenizers; none if the bytes of a tokenization differ from the segment."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_a, bytes_a = _tokenizer_a(folder)
         encode_b, bytes_b, _ = _tokenizer_b(folder)
-        size_a, size_b = (np.array([len(t) for t in tokens], np.int32) for tokens in (bytes_a, bytes_b))
+        size_a, size_b = (np.array([len(t) for t in tokens], np.int64) for tokens in (bytes_a, bytes_b))
         for whole in batches:
             for start in range(0, len(whole), _MANY):
                 batch = whole.slice(start, _MANY)
@@ -170,10 +172,9 @@ def _encoded(folder: str):
                 columns = [batch.column(0)]
                 for found, _, sizes in out:
                     kept = [ids if g else [] for ids, g in zip(found, good, strict=True)]
-                    flat = np.fromiter((k for ids in kept for k in ids), np.int32)
+                    flat = np.fromiter((k for ids in kept for k in ids), np.int64)
                     at = pa.array(np.concatenate([[0], np.cumsum([len(ids) for ids in kept])]), pa.int32())
-                    pairs = pa.StructArray.from_arrays([pa.array(flat), pa.array(sizes[flat])], names=["id", "size"])
-                    columns.append(pa.ListArray.from_arrays(at, pairs))
+                    columns.append(pa.ListArray.from_arrays(at, pa.array(flat << _SIZE_BITS | sizes[flat])))
                 yield pa.RecordBatch.from_arrays(columns, names=["segment_id", "a", "b"])
 
     return run
@@ -182,18 +183,20 @@ def _encoded(folder: str):
 def align_tokens(tokens: DataFrame) -> DataFrame:
     """The links of texts that two tokenizers have cut: rows (segment_id, links), links in byte order, for texts with tokens.
 
-    tokens has segment_id and the arrays a and b of (id, size): token ids and byte lengths, of equal sums. Token positions are
+    tokens has segment_id and the arrays a and b of tokens (id and byte length in a number), of equal summed lengths. Token positions are
     exploded, ends are running sums of lengths; A's and B's ends meet in an equi-join, and where only one ends, the token of
     the other that is still open ends later: in falling order of ends it is the last one seen. Each end of either is so the end of
     exactly one link, the bytes that one A token and one B token share, and the ends of both are the cuts between groups.
-    A link is a number: the ids of A and B, then a bit for each that ends there.
+
+    Everything is keyed by text, so where the session doesn't ask for all join keys in an exchange, tokens are shuffled once.
     """
     dealt = tokens.repartition("segment_id")
     along = Window.partitionBy("segment_id").orderBy("pos")
 
     def ends(side: str) -> DataFrame:
         rows = dealt.select("segment_id", F.posexplode(side).alias("pos", "t"))
-        return rows.select("segment_id", F.sum("t.size").over(along).alias("end"), F.col("t.id").cast("long").alias(side))
+        size = F.col("t").bitwiseAND(F.lit((1 << _SIZE_BITS) - 1))
+        return rows.select("segment_id", F.sum(size).over(along).alias("end"), F.shiftright("t", _SIZE_BITS).alias(side))
 
     back = Window.partitionBy("segment_id").orderBy(F.col("end").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = ends("a").join(ends("b"), ["segment_id", "end"], "full")
@@ -235,19 +238,18 @@ def _whole(block: _Block, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.diff(bad[at]) == 0
 
 
-def _pair_counts(docs: pa.Table, dictionary: pa.Table) -> pa.Table:
-    """How many of a block's documents hold each id pair linked."""
-    block, (codes, at) = _Block(dictionary), _documents(docs)
-    ok, doc = _whole(block, codes, at), np.repeat(np.arange(len(at) - 1), np.diff(at))
+def _pair_counts(block: _Block, codes: np.ndarray, at: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The id pairs of a block, and how many of its documents hold each linked."""
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     pairs, local = np.unique(block.link >> 2, return_inverse=True)
-    keep = ok[doc]
-    held = np.unique(doc[keep] * max(1, len(block.known)) + codes[keep])  # a document's different segments
-    doc, codes = held // max(1, len(block.known)), held % max(1, len(block.known))
+    keep, m = ok[doc], max(1, len(block.known))
+    held = np.unique(doc[keep] * m + codes[keep])  # a document's different segments
+    doc, codes = held // m, held % m
     size = np.diff(block.at)[codes]
     pick = np.repeat(block.at[codes] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(codes) else np.zeros(0, np.int64)
     once = np.unique(np.repeat(doc, size) * max(1, len(pairs)) + local[pick])
     n = np.bincount(once % max(1, len(pairs)), minlength=len(pairs))
-    return pa.table({"pair": pairs[n > 0], "n": n[n > 0]})
+    return pairs[n > 0], n[n > 0]
 
 
 def _groups(block: _Block) -> pa.Array:
@@ -264,24 +266,35 @@ def _groups(block: _Block) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cut)])[block.at], pa.int32()), each), ";")
 
 
-def _results(docs: pa.Table, dictionary: pa.Table) -> pa.Table:
-    """A block's documents with all columns of the result."""
+def _total(per: np.ndarray, codes: np.ndarray, at: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Sums of a number per segment for each document, 0 for those that aren't ok."""
+    return np.where(ok, np.diff(np.concatenate([[0], np.cumsum(per[codes])])[at]), 0)
+
+
+def _cut(docs: pa.Table, dictionary: pa.Table) -> pa.Table:
+    """A block's documents with what their links alone tell, then its id pairs with the number of documents."""
     block, (codes, at) = _Block(dictionary), _documents(docs)
     ok = _whole(block, codes, at)
-    text = _groups(block)
-    total = lambda per: np.where(ok, np.diff(np.concatenate([[0], np.cumsum(per[codes])])[at]), 0)
-    a, b = (block.each((block.link & bit) > 0) for bit in (2, 1))
-    out = {"doc_id": docs["doc_id"], "n_a": total(a), "n_b": total(b), "n_groups": total(block.each((block.link & 3) == 3)), "n_links": total(block.each(np.ones(len(block.link), np.int64)))}
-    for name in ("n_best", "count_sum"):
-        out[name] = total(block.table[name].fill_null(0).to_numpy())
-    digests = []
+    text, digests = _groups(block), []
     for k in range(len(at) - 1):
         mine = codes[at[k] : at[k + 1]]
         digests.append(hashlib.sha256(";".join(text.take(pa.array(mine)).to_pylist()).encode()).hexdigest() if ok[k] and len(mine) else "")
-    return pa.table(out | {"groups_sha256": digests})
+    link = block.link
+    sums = {"n_a": (link & 2) > 0, "n_b": (link & 1) > 0, "n_groups": (link & 3) == 3, "n_links": np.ones(len(link), np.int64)}
+    pairs, n = _pair_counts(block, codes, at, ok)
+    first = {"block": docs["block"], "row": docs["row"], "doc_id": docs["doc_id"]} | {c: _total(block.each(x), codes, at, ok) for c, x in sums.items()} | {"groups_sha256": digests}
+    out = pa.table(first | {"pair": pa.nulls(len(docs), pa.int64()), "n": pa.nulls(len(docs), pa.int64())})
+    return pa.concat_tables([out, pa.table({"pair": pairs, "n": n})], promote_options="default")
+
+
+_CUT = "block long, row int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pair long, n long"
 
 
-_RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+def _scored(docs: pa.Table, dictionary: pa.Table) -> pa.Table:
+    """A block's documents with their links' best and summed counts."""
+    dictionary, (codes, at) = dictionary.sort_by("code"), _documents(docs)
+    ok = np.diff(np.concatenate([[0], np.cumsum(np.asarray(dictionary["n_best"].is_null().to_numpy(), np.int64)[codes])])[at]) == 0
+    return pa.table({"block": docs["block"], "row": docs["row"]} | {c: _total(dictionary[c].fill_null(0).to_numpy(), codes, at, ok) for c in ("n_best", "count_sum")})
 
 
 def align_documents(docs: DataFrame, folder: str) -> DataFrame:
@@ -293,23 +306,25 @@ def align_documents(docs: DataFrame, folder: str) -> DataFrame:
     segments. An empty table gives no rows.
     """
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    coded = settled(spread(rows).mapInArrow(_coded(folder), "block long, doc_id long, codes array<int>, code int, segment binary"), "coded")
-    texts = coded.where("codes is not null").select("block", "doc_id", "codes")
+    coded = settled(spread(rows).mapInArrow(_coded(folder), "block long, row int, doc_id long, codes array<int>, code int, segment binary"), "coded")
+    texts = coded.where("codes is not null").select("block", "row", "doc_id", "codes")
     held = coded.where("code is not null").select("block", "code", "segment")
     distinct = settled(held.select("segment").distinct().withColumn("segment_id", F.monotonically_increasing_id()), "segments")
-    encoded = distinct.select("segment_id", "segment").mapInArrow(_encoded(folder), "segment_id long, a array<struct<id: int, size: int>>, b array<struct<id: int, size: int>>")
-    links = settled(align_tokens(settled(encoded, "encoded")), "links")
-    aligned = settled(distinct.join(links, "segment_id").select("segment", "segment_id", "links"), "aligned")
-    by_block = settled(held.join(aligned, "segment", "left").select("block", "code", "segment_id", "links"), "dictionary")
-    discard(links)
-
-    side = by_block.select("block", "code", "links")
-    counts = texts.select("block", "codes").groupBy("block").cogroup(side.groupBy("block")).applyInArrow(_pair_counts, "pair long, n long")
-    counts = settled(counts.groupBy("pair").agg(F.sum("n").alias("n")), "counts")
+    encoded = settled(distinct.select("segment_id", "segment").mapInArrow(_encoded(folder), "segment_id long, a array<long>, b array<long>"), "encoded")
+    links = settled(align_tokens(encoded), "links", requireAllClusterKeysForCoPartition="false")
+    ids = settled(held.join(distinct, "segment").select(F.col("block").alias("of"), "code", "segment_id"), "ids")
+    discard(encoded, distinct)
+
+    side = ids.join(links, "segment_id", "left").select("of", "code", "links")
+    cut = settled(texts.groupBy("block").cogroup(side.groupBy("of")).applyInArrow(_cut, _CUT), "cut")
+    counts = settled(cut.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")), "counts")
     first = F.shiftright("pair", _B_BITS)
     top = counts.groupBy(first.alias("a")).agg(F.max("n").alias("most"))
     best = settled(counts.join(top, first == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best")), "best")
-    each = aligned.select("segment_id", F.explode("links").alias("link")).select("segment_id", F.shiftright("link", 2).alias("pair"))
-    each = each.join(sized(best), "pair").groupBy("segment_id").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    scored = by_block.join(each, "segment_id", "left").select("block", "code", "links", "n_best", "count_sum")
-    return texts.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(_results, _RESULT)
+    each = links.select("segment_id", F.explode("links").alias("link")).select("segment_id", F.shiftright("link", 2).alias("pair"))
+    each = settled(each.join(sized(best), "pair").groupBy("segment_id").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum")), "each")
+    discard(links, counts, best)
+    side = ids.join(each, "segment_id", "left").select("of", "code", "n_best", "count_sum")
+    scored = texts.select("block", "row", "codes").groupBy("block").cogroup(side.groupBy("of")).applyInArrow(_scored, "block long, row int, n_best long, count_sum long")
+    out = cut.where("row is not null").join(scored, ["block", "row"])
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -27,16 +27,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return _read_back(df, path)
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """written(), and Spark drops the shuffle files of the write as soon as it is over instead of when the driver's JVM happens to collect garbage."""
+def settled(df: DataFrame, name: str, **settings: str) -> DataFrame:
+    """written(), and Spark drops the shuffle files of the write as soon as it is over instead of when the driver's JVM happens to collect garbage.
+
+    Further settings of spark.sql hold in the session while the write is planned and run.
+    """
     path, conf = scratch_path(df.sparkSession, name), df.sparkSession.conf
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, "false")
-    conf.set(key, "true")
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | {f"spark.sql.{k}": v for k, v in settings.items()}
+    before = {k: conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        conf.set(key, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     return _read_back(df, path)
 
 
