@@ -13,6 +13,7 @@ from .embeddings import VECTORS_SQL, near_duplicate_vectors
 from .language import held_out, identify_languages
 from .mixing import MIX_SQL, mix_sources
 from .near_dup import NEAR_DUP_SQL, near_duplicates
+from .phrases import PHRASES_SQL, mine_phrases
 from .pii import personal_data_digest
 from .token_counts import TokenRollup, replayed, token_rows, vocabulary
 from .toxicity import fit_toxicity, labelled_sample, predict_severity
@@ -81,6 +82,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(table(spark, sf_dir, "documents"), spark.conf.get(*TOKENIZERS))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -93,6 +98,7 @@ QUERIES = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_warc": op10_warc,
     "op11_token_alignment": op11_token_alignment,
+    "op12_phrases": op12_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -102,4 +108,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_decontaminate": DECONTAMINATE_SQL.format(docs="documents"),
     "op9_embedding_near_dedup": VECTORS_SQL,
     "op10_warc": WARC_SQL,
+    "op12_phrases": PHRASES_SQL,
 }
