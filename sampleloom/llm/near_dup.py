@@ -36,13 +36,13 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = _CHUNK
         a = b
 
 
-def _sketch(width: int, bands: int, rows: int):
+def _sketch(width: int, bands: int, rows: int, sketcher):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = mix(np.arange(1, rows + 1, dtype=U)) | U(1)
         for batch in batches:
             for part in text_chunks(batch):
                 sets = shingle_sets(part.column(1), width)
-                found = sketches(sets, bands * rows).reshape(len(sets), bands, rows)
+                found = sketcher(sets, bands * rows).reshape(len(sets), bands, rows)
                 keys = mix((found * odd).sum(axis=2, dtype=U) + mix(np.arange(bands, dtype=U) + U(77)))
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * bands + 1, bands), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
@@ -205,13 +205,13 @@ def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
     return written(joined.join(up, "label", "left").groupBy("node").agg(F.min(F.coalesce("next", "label")).alias("label")), "labels")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, sketcher=sketches) -> DataFrame:
     """Classes of near-duplicate documents: a row (doc_id, n_shingles, component_id, kept) for each row of docs.
 
     docs has doc_id and text; other columns are ignored, whatever their names. Two documents are linked if
     100 * |A & B| >= percent * |A | B| over their sets of distinct `width`-word shingles; fewer words make one shingle, no
-    words (or a null) none and no link. Candidates are documents that agree in a whole band of their fast similarity
-    sketches; links are confirmed on the full sets (64-bit hashes of the shingles, of strong word hashes). Documents with
+    words (or a null) none and no link. Candidates are documents that agree in a whole band of their sketches (fast similarity
+    sketches unless sketcher(sets, size) gives others); links are confirmed on the full sets (64-bit hashes of the shingles, of keyed BLAKE2b hashes of their words). Documents with
     the same set are one class from the start, so copies are never paired. In each bucket every class is first compared with two random leaders of the bucket; what then still lies
     in different components of one bucket is compared in full, block by block: first by sizes and sketches, a few hundred
     bytes a document, whose best pair of each component is confirmed and joins most; then documents that still have a pair that
@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     component_id, kept. An empty table gives no rows.
     """
     rows_in = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sk = written(spread(rows_in).mapInArrow(_sketch(width, bands, rows), "doc_id long, n_shingles long, digest binary, keys array<long>, short binary"), "sketches")
+    sk = written(spread(rows_in).mapInArrow(_sketch(width, bands, rows, sketcher), "doc_id long, n_shingles long, digest binary, keys array<long>, short binary"), "sketches")
     usable = sk.where("doc_id is not null and n_shingles > 0")
     classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("short").alias("short"))
     classes = written(classes, "classes")

@@ -10,6 +10,7 @@ from .chat import CHAT_SQL, conversations, preference_examples, stale_reply_pair
 from .common import new_path, written
 from .decontaminate import DECONTAMINATE_SQL, decontaminate
 from .embeddings import VECTORS_SQL, near_duplicate_vectors
+from .fingerprints import fingerprint_documents
 from .language import held_out, identify_languages
 from .mixing import MIX_SQL, mix_sources
 from .near_dup import NEAR_DUP_SQL, near_duplicates
@@ -86,6 +87,10 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(table(spark, sf_dir, "documents"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -99,6 +104,7 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_token_alignment": op11_token_alignment,
     "op12_phrases": op12_phrases,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {

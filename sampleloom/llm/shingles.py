@@ -13,9 +13,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32  # A-Z count as a-z
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
-#: Words of up to this many bytes are mixed from their bytes themselves, longer ones hashed by BLAKE2b.
-_SHORT = 16
-_KEY = b"sampleloom word hash"
+#: Key of the word hashes: shared by all tasks, so that results repeat. Who feeds texts from strangers sets one of their own.
+KEY = b"sampleloom word hash"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,11 +34,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, at: np.ndarray, key: bytes = KEY) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, A-Z as a-z, and each text's offsets into them.
 
-    A word of up to 16 bytes is two whole numbers, which are mixed with its length; a longer one goes through BLAKE2b. So
-    no family of words collides by its structure, as it would under a polynomial modulo a power of two.
+    Every different word goes through keyed BLAKE2b: words that collide can't be built from the structure of the hash, and without the key not at all.
     """
     if not len(data):
         return np.zeros(0, U), np.zeros(len(at), np.int64)
@@ -48,43 +46,43 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first[1:] &= ~inside[:-1]
     cut = at[:-1][np.diff(at) > 0]
     first[cut] = inside[cut]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
-    last[cut[1:] - 1] = inside[cut[1:] - 1]
-    starts, size = np.flatnonzero(first), np.flatnonzero(last) + 1
-    size = size - starts
-    low = np.concatenate([_LOWER[data], np.zeros(_SHORT, np.uint8)])
-    eight = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))  # the eight bytes from each place on
-    keep = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
-    head = eight[starts] & keep[np.minimum(size, 8)]
-    tail = eight[np.minimum(starts + 8, len(eight) - 1)] & keep[np.clip(size - 8, 0, 8)]
-    out = mix(mix(head + U(_BASE)) * U(0xD6E8FEB86659FD93) + mix(tail ^ U(0xA0761D6478BD642F)) + size.astype(U) * U(0xE7037ED1A0B428DB))
-    for k in np.flatnonzero(size > _SHORT).tolist():
-        out[k] = int.from_bytes(hashlib.blake2b(low[starts[k] : starts[k] + size[k]], digest_size=8, key=_KEY).digest(), "little")
-    return out, np.searchsorted(starts, at)
+    starts = np.flatnonzero(first)
+    offsets = np.append(np.concatenate([[0], np.cumsum(inside)])[starts], inside.sum()).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[data[inside]])]).dictionary_encode()
+    hashes = b"".join([hashlib.blake2b(w, digest_size=8, key=key).digest() for w in words.dictionary.to_pylist()])
+    return np.frombuffer(hashes, "<u8").astype(U)[words.indices.to_numpy()], np.searchsorted(starts, at)
 
 
-def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
-    """Each text's distinct shingles as sorted 64-bit hashes; fewer words than width make one, none make none."""
+def shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of each text's shingles in text order, repeats too, and each text's offsets; fewer words than width make one, none make none."""
     words, at = word_hashes(*text_bytes(column))
-    n = len(words) - width + 1
-    if n > 0:
-        rolled = words[:n].copy()
-        for k in range(1, width):
-            rolled = rolled * U(_BASE) + words[k : k + n]
-        rolled = mix(rolled)
+    n, count = len(words), np.diff(at)
+    rolled = words.copy()
+    for k in range(1, width):
+        rolled *= U(_BASE)
+        rolled[: max(0, n - k)] += words[k:]
+    rolled = mix(rolled)
+    short = np.flatnonzero((count > 0) & (count < width))
+    for k in short.tolist():
+        h = U(count[k]) * np.ones(1, U)
+        for w in words[at[k] : at[k + 1]]:
+            h = h * U(_BASE) + w
+        rolled[at[k]] = mix(h)[0]
+    size = np.maximum(count - width + 1, np.minimum(count, 1))
+    keep = np.zeros(n + 1, np.int64)  # the shingles of a text begin at its first `size` words
+    full = np.flatnonzero(size)
+    np.add.at(keep, at[:-1][full], 1)
+    np.add.at(keep, at[:-1][full] + size[full], -1)
+    return rolled[np.cumsum(keep[:n]) > 0], np.concatenate([[0], np.cumsum(size)])
+
+
+def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
+    """Each text's distinct shingles as sorted 64-bit hashes."""
+    values, at = shingles(column, width)
     sets = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        if b - a >= width:
-            x = np.sort(rolled[a : b - width + 1])
-            sets.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
-        elif b > a:
-            h = U(b - a) * np.ones(1, U)
-            for w in words[a:b]:
-                h = h * U(_BASE) + w
-            sets.append(mix(h))
-        else:
-            sets.append(np.zeros(0, U))
+        x = np.sort(values[a:b])
+        sets.append(x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x)
     return sets
 
 
