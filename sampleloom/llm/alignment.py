@@ -1,7 +1,7 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers share bytes, and where both end.
 
-Both tokenizers work on a text word by word, so a corpus is first cut into segments (a word with the space before it) that
-neither of them ever crosses. Every different segment is tokenized and aligned once, relationally: tokens exploded by
+Both tokenizers work on a text word by word, so a corpus is first cut into segments (a word with the space before it, or the signs after it)
+that neither of them ever crosses. Every different segment is tokenized and aligned once, relationally: tokens exploded by
 position, running sums of their lengths, an equi-join of the ends, running counts of the cuts. Documents are sequences of
 segments: cut points, links and counts of a document are those of its segments, one after the other.
 """
@@ -59,7 +59,7 @@ def _tokenizer_a(folder: str):
 
 @cache
 def _tokenizer_b(folder: str):
-    """An encoder of pieces, each piece's bytes, and whether no piece reaches over a space that follows something else."""
+    """An encoder of pieces, each piece's bytes, and whether no piece reaches over a place where segments() cuts."""
     from sentencepiece import SentencePieceProcessor
 
     found = SentencePieceProcessor(model_file=os.path.join(folder, PIECES))
@@ -67,26 +67,39 @@ def _tokenizer_b(folder: str):
     for k in range(found.get_piece_size()):
         piece = found.id_to_piece(k)
         tokens.append(bytes([int(piece[3:-1], 16)]) if found.is_byte(k) else piece.replace("▁", " ").encode())
-        apart &= "▁" not in piece.lstrip("▁")
+        if not found.is_byte(k) and not found.is_control(k) and not found.is_unknown(k):
+            kinds = _KIND[np.frombuffer(tokens[-1], np.uint8)]
+            apart &= not _CUTS[kinds[:-1], kinds[1:]].any() and "▁" not in piece.lstrip("▁")
     return found, tokens, apart
 
 
+#: Kinds of bytes: letters and digits of ASCII, its signs, the apostrophe, space, line feed; others, those of longer characters among them, are 0.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = 2
+_KIND[[0x27, 0x20, 0x0A]] = 3, 4, 5
+#: Where a segment ends between two kinds: a sign or apostrophe after a letter, a letter after a sign, a space or line feed after any of them.
+_CUTS = np.zeros((6, 6), bool)
+for _pair in ((1, 2), (1, 3), (2, 1), (1, 4), (2, 4), (3, 4), (1, 5), (2, 5), (3, 5)):
+    _CUTS[_pair] = True
+
+
 def _white(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether the character before each place of UTF-8 bytes is white space of any kind (Unicode's White_Space, and the separators below it)."""
+    """Whether the byte before each place is, or ends, white space of any kind (Unicode's White_Space, and what lies below the space)."""
     p1, p2, p3 = (data[np.maximum(at - k, 0)] for k in (1, 2, 3))
-    ascii_ = (p1 <= 0x20) | (p1 == 0x7F)
     two = (p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0))
     general = (p3 == 0xE2) & (p2 == 0x80) & ((p1 <= 0x8D) | (p1 == 0xA8) | (p1 == 0xA9) | (p1 == 0xAF))
     three = ((p3 == 0xE1) & (p2 == 0x9A) & (p1 == 0x80)) | general | ((p3 == 0xE2) & (p2 == 0x81) & (p1 >= 0x9F)) | ((p3 == 0xE3) & (p2 == 0x80) & (p1 == 0x80))
-    return ascii_ | two | ((p1 >= 0x80) & three)
+    return (p1 <= 0x20) | (p1 == 0x7F) | ((p1 >= 0x80) & (two | three))
 
 
 def segments(column: pa.Array, apart: bool = True) -> tuple[pa.Array, np.ndarray]:
     """The segments of space + text for each text that isn't empty, all in one binary array, and each text's offsets into it.
 
-    A segment begins at a space that follows anything but white space; spaces at the end of a text belong to its last segment.
-    There the pattern of byte-level BPE always begins a new match and no piece goes on, so both tokenizers give a text the tokens of
-    its segments. Where a vocabulary has pieces that do go on (not apart), a text is one segment.
+    A segment begins at a space or line feed that follows anything but white space, and between letters or digits and signs; only after an apostrophe a letter
+    goes on. There the pattern of byte-level BPE always begins a new match, whatever lies on the other side, and no piece goes on, so both tokenizers
+    give a text the tokens of its segments. Spaces at the end of a text belong to its last segment. Where a vocabulary has pieces
+    that do go on (not apart), a text is one segment.
     """
     data, at = text_bytes(column)
     size = np.diff(at)
@@ -98,23 +111,28 @@ def segments(column: pa.Array, apart: bool = True) -> tuple[pa.Array, np.ndarray
     mask[starts] = False
     spaced[mask] = data
     spaced[starts] = 0x20
-    cuts = starts
+    cut = np.zeros(len(spaced), bool)
     if apart and len(spaced):
-        here = np.flatnonzero((spaced == 0x20) & mask)
-        here = here[~_white(spaced, here)]
-        solid = np.flatnonzero(spaced != 0x20)  # a cut needs something other than a space after it in its text
-        ends = np.append(starts[1:], len(spaced))
-        if len(solid):
-            nxt = np.append(solid, len(spaced))[np.searchsorted(solid, here)]
-            here = here[nxt < ends[np.searchsorted(starts, here, "right") - 1]]
-        else:
-            here = here[:0]
-        cuts = np.union1d(starts, here)
+        kind = _KIND[spaced]
+        cut[1:] = _CUTS.ravel()[kind[:-1] * np.uint8(6) + kind[1:]]
+        other = np.flatnonzero((kind[1:] == 4) & (kind[:-1] == 0)) + 1
+        cut[other[~_white(spaced, other)]] = True
+        for k in np.flatnonzero(spaced[np.append(starts[1:], len(spaced)) - 1] == 0x20).tolist():
+            a, b = starts[k], starts[k + 1] if k + 1 < len(starts) else len(spaced)
+            solid = np.flatnonzero(spaced[a:b] != 0x20)
+            cut[a + (solid[-1] + 1 if len(solid) else 0) : b] = False
+    cut[starts] = True
+    cuts = np.flatnonzero(cut)
     offsets = np.append(cuts, len(spaced)).astype(np.int64)
     found = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(spaced)])
-    place = np.zeros(len(at), np.int64)
-    place[1:] = np.cumsum(np.bincount(np.searchsorted(starts, cuts, "right") - 1, minlength=len(full))[np.cumsum(size > 0) - 1] * (size > 0)) if len(full) else 0
-    return found, place
+    # texts begin where the segments of those before them end; empty ones have none
+    return found, np.searchsorted(cuts, np.append(starts, len(spaced)))[np.concatenate([[0], np.cumsum(size > 0)])]
+
+
+def _alone(segment: str) -> str:
+    """A segment as a text that the pieces' own space before it, and a sign or letter that no piece joins with it, stand before."""
+    first = segment[0]
+    return segment[1:] if first == " " else "," + segment if first.isalnum() else "a" + segment
 
 
 def _coded(folder: str):
@@ -156,6 +174,7 @@ def _encoded(folder: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_a, bytes_a = _tokenizer_a(folder)
         encode_b, bytes_b, _ = _tokenizer_b(folder)
+        before = [len(encode_b.encode(x)) for x in ("a", ",")]
         size_a, size_b = (np.array([len(t) for t in tokens], np.int64) for tokens in (bytes_a, bytes_b))
         for whole in batches:
             for start in range(0, len(whole), _MANY):
@@ -163,7 +182,7 @@ def _encoded(folder: str):
                 raw = batch.column(1).to_pylist()
                 texts = [x.decode() for x in raw]
                 found_a = [e.ids for e in encode_a.encode_batch(texts, add_special_tokens=False)]
-                found_b = encode_b.encode([t[1:] for t in texts], num_threads=1)  # it adds the space itself
+                found_b = [ids if t[0] == " " else ids[before[t[0].isalnum()] :] for ids, t in zip(encode_b.encode(list(map(_alone, texts)), num_threads=1), texts, strict=True)]
                 out = []
                 for found, tokens, sizes in ((found_a, bytes_a, size_a), (found_b, bytes_b, size_b)):
                     ok = [b"".join(map(tokens.__getitem__, ids)) == x for ids, x in zip(found, raw, strict=True)]
