@@ -32,6 +32,12 @@ def center_box(w: Column, h: Column, tw: int, th: int) -> Column:
     return F.struct(x.alias("l"), y.alias("t"), (x + tw).alias("r"), (y + th).alias("b"))
 
 
+def origin_box(w: Column, h: Column, tw: int, th: int, x: Column, y: Column) -> tuple[Column, Column]:
+    """The box of a crop at an origin, and whether it lies inside the image."""
+    box = F.struct(*[v.cast("int").alias(c) for c, v in zip("ltrb", (x, y, x + tw, y + th), strict=True)])
+    return box, (x >= 0) & (y >= 0) & (x + tw <= w) & (y + th <= h)
+
+
 def cover_size(image: tuple[int, int], target: int | tuple[int, int]) -> tuple[int, int]:
     """The smallest scaling that covers the target; both sides are cut off to whole numbers."""
     tw, th = (target, target) if isinstance(target, int) else target

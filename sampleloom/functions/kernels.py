@@ -87,6 +87,11 @@ _LUMA = np.array([16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55
 _CHROMA = np.array([17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99, 24, 26, 56, 99, 99, 99, 99, 99, 47, 66, 99, 99, 99, 99, 99, 99] + [99] * 32).reshape(8, 8)
 
 
+def _nearest(x: np.ndarray) -> np.ndarray:
+    """The nearest whole numbers, ties to even; what is a tie but for the last digits of double precision counts as one."""
+    return np.rint(np.round(x, 9))
+
+
 def jpeg_round_trip(x: np.ndarray, quality: int) -> np.ndarray:
     """The loss of JPEG at a quality, without chroma subsampling, on (3, H, W) uint8."""
     if x.ndim != 3 or x.shape[0] != 3 or x.dtype != np.uint8:
@@ -102,8 +107,8 @@ def jpeg_round_trip(x: np.ndarray, quality: int) -> np.ndarray:
     for c in range(3):
         table = np.clip(((_CHROMA if c else _LUMA) * scale + 50) // 100, 1, 255)
         blocks = (ycc[c] - (0 if c else 128)).reshape(y.shape[1] // 8, 8, -1, 8).transpose(0, 2, 1, 3)
-        kept = np.rint(basis @ blocks @ basis.T / table) * table
-        out[c] = np.rint((basis.T @ kept @ basis).transpose(0, 2, 1, 3).reshape(ycc[c].shape)) + (0 if c else 128)
+        kept = _nearest(basis @ blocks @ basis.T / table) * table
+        out[c] = _nearest((basis.T @ kept @ basis).transpose(0, 2, 1, 3).reshape(ycc[c].shape)) + (0 if c else 128)
     back = np.array([[1, 0, 1.402], [1, -0.344136, -0.714136], [1, 1.772, 0]])
     return np.clip(np.rint(np.einsum("ij,jhw->ihw", back, out)), 0, 255).astype(np.uint8)[:, :h, :w]
 

@@ -6,12 +6,13 @@ import dataclasses
 import datetime as dt
 import json
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import errors as E
@@ -79,6 +80,38 @@ def _put(spark: SparkSession, path: str, name: str, raw: bytes) -> None:
     out.close()
 
 
+def _write_rows(out: DataFrame, path: str, mode: str = "errorifexists", compression: str = "zstd") -> dict:
+    """Writes a dataset's rows and its manifest, which it gives: counts of rows and parts, and the range of row_idx of each file.
+
+    The counts are observed while the rows are written; for the ranges only row_idx is read again. Ids get Bloom filters.
+    """
+    spark, seen = out.sparkSession, Observation()
+    counted = out.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in ("data", "label", "sample_id", "sample_meta")])
+    counted.write.mode(mode).option("compression", compression).option("parquet.bloom.filter.enabled#sample_id", "true").parquet(path)
+    files = spark.read.parquet(path).groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).agg(F.min("row_idx").alias("first"), F.max("row_idx").alias("last"))
+    manifest = dict(seen.get) | {"files": _files(spark, path), "ranges": [[r.file, r.first, r.last] for r in files.orderBy("first").toLocalIterator()]}
+    _put(spark, path, "_manifest.json", json.dumps(manifest).encode())
+    return manifest
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    at, fs = _fs(spark, path)
+    return sorted(name for f in fs.listStatus(at) if not (name := f.getPath().getName()).startswith(("_", ".")))
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict | None:
+    """A dataset's manifest, or None where there is none for just the files that are there."""
+    raw = _get(spark, path, "_manifest.json")
+    found = json.loads(raw) if raw else None
+    return found if found and found["files"] == _files(spark, path) else None
+
+
+def files_of(manifest: dict, indices: Sequence[int]) -> list[str]:
+    """The files whose range of row_idx holds any of the positions."""
+    at = sorted(indices)
+    return [name for name, first, last in manifest["ranges"] if bisect_left(at, first) < bisect_right(at, last)]
+
+
 def _write_types(spark: SparkSession, path: str, data, label=None) -> None:
     """The numpy types of samples and labels, which Spark's element types don't tell all of (unsigned, half)."""
     _put(spark, path, "_types.json", json.dumps({"data": np.dtype(data).name, "label": None if label is None else np.dtype(label).name}).encode())
@@ -144,7 +177,7 @@ def create_dataset_from_arrays(spark: SparkSession, path: str, *, data, labels=N
         "label_shape": nothing(pa.list_(pa.int32())) if labels is None else repeat(labels.shape[1:]),
         "sample_meta": nothing(pa.binary()) if sample_meta is None else pa.array([encoder(m) for m in sample_meta], pa.binary()),
     })
-    spark.createDataFrame(table, schema=schema_of(stored(data.dtype), label_kind)).write.mode(mode).option("compression", compression).parquet(path)
+    _write_rows(spark.createDataFrame(table, schema=schema_of(stored(data.dtype), label_kind)), path, mode, compression)
     _write_types(spark, path, data.dtype, None if labels is None else labels.dtype)
     if header is not None:
         _write_header(spark, path, header)
@@ -154,7 +187,7 @@ def create_dataset(samples: DataFrame, path: str, *, order: Sequence[str], shape
     """Writes a DataFrame (data, and where it has them label, sample_id, sample_meta) in its order; gives the row count.
 
     Samples and labels keep their element types; dtype names the samples' numpy type where that says less (uint8 in small integers).
-    Rows get dense positions in ranges of the first order column; nothing passes through the driver but the cuts.
+    Rows get dense positions in ranges of the order columns (see dense_index); nothing passes through the driver but counts.
     """
     have = set(samples.columns)
     if ("sample_id" in have) != ("sample_meta" in have):
@@ -172,9 +205,8 @@ def create_dataset(samples: DataFrame, path: str, *, order: Sequence[str], shape
         own |= {"label": F.when(F.col("label").isNotNull(), F.array("label")) if flat else F.col("label")}
         own |= {"label_shape": F.array().cast("array<int>") if flat else F.array(F.size("label"))}
     out = rows.select(*[own.get(c, F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
-    out.write.mode("errorifexists").option("compression", compression).parquet(path)
+    n = _write_rows(out, path, "errorifexists", compression)["rows"]
     _write_types(samples.sparkSession, path, dtype, label_dtype)
-    n = samples.sparkSession.read.parquet(path).count()  # from the footers
     if header is not None:
         _write_header(samples.sparkSession, path, dataclasses.replace(header, num_samples=n))
     return n
@@ -220,7 +252,7 @@ def create_dataset_from_paths(spark: SparkSession, path: str, *, sample_paths: S
     # positions of what loaded are ranked alone, tensors join them afterwards
     place = S.dense_index(good.select("path_idx"), ["path_idx"]) if failed else good.select("path_idx", F.col("path_idx").alias("row_idx"))
     out = good.join(place, "path_idx").select("row_idx", "sample_id", "data", F.array(*[F.lit(s) for s in shape]).cast("array<int>").alias("shape"), "label", "label_shape", "sample_meta")
-    out.write.mode("errorifexists").parquet(path)
+    _write_rows(out, path)
     _write_types(spark, path, sample_dtype, None if arrays is None else label_dtype)
     remove_path(spark, temporary)
     if header is not None:
@@ -318,30 +350,39 @@ class Dataset:
         for c in columns:
             if c not in df.columns:
                 raise E.MissingKeyError(c)
+        counts = read_manifest(spark, path)
+        listed = counts is not None  # where nothing is listed, only what a check needs is counted
+        known = lambda *names: [counts[n] for n in names] if listed else list(df.agg(*[F.count(F.lit(1) if n == "rows" else F.col(n)) for n in names]).first())
         self.metadata = None
         if not ignore_header and (raw := read_header(spark, path)):
             self.metadata = DatasetMetadata.from_json(raw.decode())
-            if self.metadata.num_samples != (n := df.count()):
+            if self.metadata.num_samples != (n := known("rows")[0]):
                 raise E.NumSamplesMismatchError(self.metadata.num_samples, n)
+        labels = None
         if static_label is None and "label" in df.columns:
-            counts = df.agg(F.count("data").alias("d"), F.count("label").alias("l")).first()
-            if counts.l not in (0, counts.d):
-                raise E.ShapeMismatchError(f"{counts.d} samples, {counts.l} labels")
+            samples, labels = known("data", "label")
+            if labels not in (0, samples):
+                raise E.ShapeMismatchError(f"{samples} samples, {labels} labels")
         if meta_decoder is not None:
-            counts = df.agg(F.count("sample_id").alias("i"), F.count("sample_meta").alias("m")).first()
-            if counts.i != counts.m:
-                raise E.SampleMetaLengthMismatchError(counts.i, counts.m)
-        if data_row_dim is not None or label_row_dim is not None:
-            df = self._along(df, data_row_dim, label_row_dim)
+            ids, metas = known("sample_id", "sample_meta")
+            if ids != metas:
+                raise E.SampleMetaLengthMismatchError(ids, metas)
+        along = data_row_dim is not None or label_row_dim is not None
+        if along:
+            df = self._along(df, known("rows")[0], bool(known("label")[0] if labels is None else labels), data_row_dim, label_row_dim)
+        self.shape = tuple((df.select("shape").first() or [()])[0])
         if select_indices is not None:
-            df = S.select_indices(df, select_indices, size=df.count())
+            size = df.count() if along else known("rows")[0]
+            if listed and not along:
+                files = files_of(counts, [i + size if i < 0 else i for i in select_indices])
+                df = spark.read.schema(df.schema).parquet(*[f"{path}/{f}" for f in files]) if 0 < len(files) < len(counts["ranges"]) else df
+            df = S.select_indices(df, select_indices, size=size)
         elif select_sample_ids is not None:
             df = S.select_sample_ids(df, select_sample_ids)
         else:
             df = df.withColumn("view_idx", F.col("row_idx"))
         if static_label is not None:
             df = df.withColumn("label", F.array(*[F.lit(float(v)) for v in np.ravel(static_label)]))
-        self.shape = tuple((df.select("shape").first() or [()])[0])
         types = read_types(spark, path)
         self.dtype, label_dtype = types["data"] or element_dtype(df, "data"), types["label"] or "float64"
         if transform is not None and self.shape:
@@ -367,21 +408,21 @@ class Dataset:
         return np.array(row.data, self.dtype).reshape(self.shape), None if row.label is None else np.array(row.label), None if self.meta is None else self.meta.decode(row)
 
     @staticmethod
-    def _along(df: DataFrame, data_dim: int | None, label_dim: int | None) -> DataFrame:
-        """Samples along another axis of the stacked tensor: 0 is the stored one, 1 the first axis of a stored row."""
-        n = df.count()
-        parts = []
+    def _along(df: DataFrame, n: int, labelled: bool, data_dim: int | None, label_dim: int | None) -> DataFrame:
+        """Samples along another axis of the stacked tensor of n samples: 0 is the stored one, 1 the first axis of a stored row."""
+        parts, sizes = [], []
         for column, shape, dim in (("data", "shape", data_dim), ("label", "label_shape", label_dim)):
-            size = list((df.select(shape).where(F.col(shape).isNotNull()).first() or [()])[0])
-            if not dim:
+            size = list((df.select(shape).where(F.col(shape).isNotNull()).first() or [()])[0]) if column == "data" or labelled else []
+            sizes.append(size[dim - 1] if dim and size else n)
+            if not dim or not size:
                 parts.append(df.select("row_idx", column, F.col(shape)))
                 continue
             left = [n, *size[: dim - 1], *size[dim:]]
-            taken = S.take_along(df, size, dim - 1, column=column)
+            taken = S.take_along(df, size, dim - 1, column=column, size=n)
             parts.append(taken.select(F.col("row").alias("row_idx"), F.col("data").alias(column), F.array(*map(F.lit, left)).cast("array<int>").alias(shape)))
+        if labelled and sizes[0] != sizes[1]:
+            raise E.ShapeMismatchError(f"{sizes[0]} samples, {sizes[1]} labels")
         data, label = parts
-        if label.where("label is not null").limit(1).count() and (d := data.count()) != (c := label.count()):
-            raise E.ShapeMismatchError(f"{d} samples, {c} labels")
         return data.join(label, "row_idx", "left").join(df.select("row_idx", "sample_id", "sample_meta"), "row_idx", "left")
 
     def _store(self) -> MetaStore:

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import errors as E
-from ..functions.names import free_name
+from ..functions.names import free_name, scratch_path
+
+
+#: Positions or ids that go into the plan as a filter beside the join; the result is the same without.
+LISTED = 1000
 
 
 def _wanted(df: DataFrame, values: Sequence, name: str, kind: str) -> DataFrame:
@@ -32,26 +38,26 @@ def select_indices(df: DataFrame, indices: Sequence[int], *, size: int | None =
         raise E.DuplicateSelectIndicesError(again)
     if bad := [i for i in at if i < 0 or (size is not None and i >= size)]:
         raise IndexError(f"positions out of range: {bad[:5]}")
-    rows = df.where(F.col("row_idx").isin(at)) if 0 < len(at) <= 1000 else df
+    rows = df.where(F.col("row_idx").isin(at)) if 0 < len(at) <= LISTED else df
     return rows.join(_wanted(df, at, "row_idx", "long"), "row_idx")
 
 
 def select_sample_ids(df: DataFrame, ids: Sequence[str], *, check: bool = True) -> DataFrame:
     """Rows of sample ids in the caller's order; of rows that repeat an id the last one counts.
 
-    Repeats and unknown ids are errors that list them all; check=False leaves the search for unknown ones out.
+    Repeats and unknown ids are errors that list them all; check=False leaves the search for unknown ones out. Up to LISTED ids
+    are a filter that reaches the Parquet row groups, their statistics and Bloom filters. The check reads the id column alone.
     """
     if again := _repeats(ids):
         raise E.DuplicateSampleIdsError(again)
     wanted = _wanted(df, ids, "sample_id", "string")
-    rows = df.join(wanted, "sample_id")
-    last = rows.groupBy("sample_id").agg(F.max("row_idx").alias("row_idx"))
-    rows = rows.join(last, ["sample_id", "row_idx"])
+    rows = df.where(F.col("sample_id").isin(list(ids))) if 0 < len(ids) <= LISTED else df
     if check:
-        missing = wanted.join(df.select("sample_id"), "sample_id", "left_anti").orderBy("view_idx")
-        if unknown := [r.sample_id for r in missing.collect()]:
+        known = {r.sample_id for r in rows.select("sample_id").join(wanted, "sample_id", "left_semi").distinct().collect()}  # as many as were asked for
+        if unknown := [i for i in ids if i not in known]:
             raise E.UnknownSampleIdsError(unknown)
-    return rows
+    found = last_rows(rows.join(wanted, "sample_id"), "sample_id", "row_idx")
+    return found.select(*df.columns, "view_idx")
 
 
 def repeated_ids(df: DataFrame, column: str = "sample_id") -> DataFrame:
@@ -60,79 +66,105 @@ def repeated_ids(df: DataFrame, column: str = "sample_id") -> DataFrame:
 
 def last_rows(df: DataFrame, column: str, order: str) -> DataFrame:
     """The last row of each id: a partial aggregate instead of a sort of every group."""
-    rest = [c for c in df.columns if c not in (column, order)]
-    return df.groupBy(column).agg(F.max(F.struct(order, *rest)).alias("r")).select(column, f"r.{order}", *[f"r.{c}" for c in rest])
+    rest = [c for c in df.columns if c != column]
+    row = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.col(f"`{order}`")).alias("r")
+    return df.groupBy(column).agg(row).select(*[F.col(column) if c == column else F.col(f"r.`{c}`").alias(c) for c in df.columns])
 
 
 def unknown_ids(wanted: DataFrame, df: DataFrame, column: str) -> DataFrame:
     return wanted.join(df.select(column), column, "left_anti")
 
 
-def take_along(df: DataFrame, shape: Sequence[int], dim: int, *, column: str = "data", order: str = "row_idx") -> DataFrame:
-    """The slices of one stacked tensor (rows by `order`, then shape) along sample dim `dim`: rows (row, data).
+#: Elements in a block of a slice, and in a slice that may be one row.
+BLOCK, WHOLE = 1 << 16, 1 << 24
 
-    Elements of a slice stand by their other coordinates. A slice is one output row, and so are its elements gathered.
-    """
-    stride, n = math.prod(shape[dim + 1 :]), shape[dim]
-    cells = df.select(order, F.posexplode(column).alias("p", "v"))
-    cells = cells.select(F.pmod(F.floor(F.col("p") / stride), F.lit(n)).cast("long").alias("row"), F.struct(order, "p", "v").alias("c"))
-    return cells.groupBy("row").agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["v"]).alias("data"))
 
+def _pieces(shape: tuple[int, ...], dim: int, block: int):
+    """Samples (order, data) cut along dim: a row (row, block, at, data) for each slice and block that a sample has elements in."""
+    inner = math.prod(shape) // shape[dim]
 
-def collate(df: DataFrame, size: int, columns: Sequence[str], *, order: str = "view_idx") -> DataFrame:
-    """Batches of `size` rows by order: (batch, n, and an ordered list of each column); the last may be short."""
-    row = F.struct(order, *columns)
-    groups = df.groupBy(F.floor(F.col(order) / size).alias("batch")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(row)).alias("r"))
-    return groups.select("batch", "n", *[F.col(f"r.{c}").alias(c) for c in columns])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            for k in range(len(batch)):
+                values = batch.column(1).slice(k, 1).flatten()
+                if len(values) != math.prod(shape):
+                    raise ValueError(f"samples of shape {shape} have {math.prod(shape)} elements")
+                place = np.moveaxis(np.arange(len(values)).reshape(shape), dim, 0).ravel()
+                start = batch.column(0)[k].as_py() * inner
+                cuts = np.unique(np.concatenate([[0, inner], np.arange(-(-start // block) * block - start, inner, block)]))
+                cuts = cuts[(cuts >= 0) & (cuts <= inner)]
+                n, parts = shape[dim], len(cuts) - 1
+                ends = (np.arange(n)[:, None] * inner + cuts[None, :-1]).ravel()
+                at = np.tile(start + cuts[:-1], n)
+                data = pa.ListArray.from_arrays(pa.array(np.append(ends, n * inner), pa.int32()), values.take(pa.array(place)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(n), parts)), pa.array(at // block), pa.array(at), data], names=["row", "block", "at", "data"])
 
+    return run
 
-#: Rows that a range of dense_index holds, about, and how many ranges there are at most.
-RANGE_ROWS, RANGES, FAN = 250_000, 4096, 64
-#: Values of the order column that the cuts of other than numeric columns are drawn from, about.
-CUT_SAMPLE = 100_000
 
+def slice_blocks(df: DataFrame, shape: Sequence[int], dim: int, *, column: str = "data", order: str = "row_idx", block: int = BLOCK) -> DataFrame:
+    """The slices of one stacked tensor (rows by `order`, then shape) along sample dim `dim`, in blocks: rows (row, block, data).
 
-def _cuts(df: DataFrame, first: str, ranges: int, total: int) -> list:
-    """Values that cut the first order column into about equal ranges; their number has a bound."""
-    if ranges < 2:
-        return []
-    if dict(df.dtypes)[first] in ("bigint", "int", "double", "float", "smallint", "tinyint"):
-        return sorted(set(df.approxQuantile(first, [k / ranges for k in range(1, ranges)], min(0.005, 0.25 / ranges))))
-    values = df.select(first).where(F.col(first).isNotNull()).sample(fraction=min(1.0, CUT_SAMPLE / max(1, total)), seed=1).toArrow()[first].to_pylist()
-    values.sort()
-    return sorted({values[len(values) * k // ranges] for k in range(1, ranges)}) if values else []
+    `order` holds the samples' dense positions. Elements of a slice stand by sample, then by their other coordinates; a block has
+    `block` of them, the last one the rest, so no row outgrows it. Samples are cut where they lie: what moves is a row for each sample,
+    slice and block that it has elements in.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))  # read when the plan runs, so it stays
+    kind = df.schema[column].dataType.simpleString()
+    rows = df.select(F.col(f"`{order}`").cast("long").alias("order"), F.col(f"`{column}`").alias("data"))
+    pieces = rows.mapInArrow(_pieces(tuple(shape), dim % len(shape), block), f"row long, block long, at long, data {kind}")
+    whole = pieces.groupBy("row", "block").agg(F.array_sort(F.collect_list(F.struct("at", "data"))).alias("p"))
+    return whole.select("row", "block", F.flatten(F.transform("p", lambda p: p["data"])).alias("data"))
 
 
-def _range_of(column: Column, cuts: list) -> Column:
-    """How many cuts lie below a value, by two short searches: of every FAN-th cut, then of those between."""
+def take_along(df: DataFrame, shape: Sequence[int], dim: int, *, column: str = "data", order: str = "row_idx", size: int | None = None) -> DataFrame:
+    """The slices of slice_blocks() as a row (row, data) each; size is the number of samples.
 
-    def below(values: Column) -> Column:
-        return F.size(F.filter(values, lambda c: c < column))
+    A slice of more than WHOLE elements is an error: it is read in blocks.
+    """
+    inner = math.prod(shape) // shape[dim]
+    if (n := df.count() if size is None else size) * inner > WHOLE:
+        raise ValueError(f"a slice of {n * inner} elements is too long for a row; read it by slice_blocks()")
+    blocks = slice_blocks(df, shape, dim, column=column, order=order)
+    parts = blocks.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("block", "data"))).alias("p"))
+    return parts.select("row", F.flatten(F.transform("p", lambda p: p["data"])).alias("data"))
 
-    if not cuts:
-        return F.lit(0)
-    top = cuts[FAN - 1 :: FAN]
-    parts = [F.array(*map(F.lit, cuts[k : k + FAN])) for k in range(0, len(cuts), FAN)]
-    block = below(F.array(*map(F.lit, top))) if top else F.lit(0)
-    inside = F.coalesce(below(F.get(F.array(*parts), block)), F.lit(0))
-    return F.when(column.isNull(), 0).otherwise(F.greatest(block, F.lit(0)) * FAN + F.greatest(inside, F.lit(0)))
 
+def collate(df: DataFrame, size: int, columns: Sequence[str], *, order: str = "view_idx") -> DataFrame:
+    """Batches of `size` rows by order: (batch, n, and an ordered list of each column); the last may be short."""
+    row = F.struct(order, *columns)
+    groups = df.groupBy(F.floor(F.col(order) / size).alias("batch")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(row)).alias("r"))
+    return groups.select("batch", "n", *[F.col(f"r.{c}").alias(c) for c in columns])
 
-def dense_index(df: DataFrame, order: Sequence[str], *, name: str = "row_idx", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Adds 0, 1, 2, ... by `order`. Rows are sorted in ranges; each range's offset is the sum of the counts before it.
 
-    No task sees all rows: ranges of about range_rows rows (larger only beyond RANGES of them) come from approximate
-    quantiles of the first order column; ties of that column stay in one range. Nulls come first.
+#: Partitions whose counts are summed up in one task.
+FAN = 1024
+
+
+def dense_index(df: DataFrame, order: Sequence[str], *, name: str = "row_idx", ranges: int | None = None) -> DataFrame:
+    """Adds 0, 1, 2, ... by `order`, nulls first.
+
+    Rows are dealt by ranges of all order columns, sorted and written to the shared folder once; a row's number is its place in its range
+    and the counts of the ranges before it, which are summed in two levels. Rows that tie in all order columns may lie in several
+    ranges, so no value and no number of rows makes a range too large; their order among themselves is any. `ranges` fixes the number of ranges.
     """
-    first = order[0]
-    total = df.count()
-    ranges = min(RANGES, -(-total // range_rows))
-    part, start = free_name(df, "part", name), free_name(df, "start", name)
-    rows = df.withColumn(part, _range_of(F.col(first), _cuts(df, first, ranges, total)).cast("int"))
-    sizes = rows.groupBy(part).agg(F.count("*").alias("n"))
-    offsets = sizes.select(part, F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(start))
-    rank = F.row_number().over(Window.partitionBy(part).orderBy(*order))
-    return rows.join(F.broadcast(offsets), part).withColumn(name, (rank - 1 + F.col(start)).cast("long")).drop(part, start)  # RANGES rows at most
+    spark = df.sparkSession
+    tie, id_, part, start, block = (free_name(df, c, name) for c in ("tie", "place", "part", "start", "block"))
+    keys = [*[F.col(f"`{c}`") for c in order], F.col(tie)]
+    tied = df.withColumn(tie, F.monotonically_increasing_id())
+    ranged = tied.repartitionByRange(ranges, *keys) if ranges else tied.repartitionByRange(*keys)
+    path = scratch_path(spark, "ranges")
+    ranged.sortWithinPartitions(*keys).withColumn(id_, F.monotonically_increasing_id()).drop(tie).write.parquet(path)
+    rows = spark.read.schema(df.withColumn(id_, F.lit(0).cast("long")).schema).parquet(path)
+    rows = rows.withColumn(part, F.shiftright(id_, 33))
+    sizes = rows.groupBy(part).agg(F.count("*").alias("n")).withColumn(block, F.floor(F.col(part) / FAN))
+    below = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = sizes.groupBy(block).agg(F.sum("n").alias("n"))
+    tops = tops.select(block, below(Window.orderBy(block)).alias("base"))  # a row for each FAN ranges
+    offsets = sizes.withColumn(start, below(Window.partitionBy(block).orderBy(part))).join(F.broadcast(tops), block).select(part, (F.col(start) + F.col("base")).alias(start))
+    place = F.col(id_).bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(offsets), part).withColumn(name, (place + F.col(start)).cast("long")).drop(part, start, id_)  # a row for each range
 
 
 def splits(df: DataFrame, order: Sequence[str], sizes: tuple[int, int, int], names: tuple[str, ...] = ("train", "valid", "test"), *, seed: int | None = None) -> DataFrame:

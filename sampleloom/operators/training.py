@@ -19,6 +19,7 @@ def step(least: float | None, counter: int, loss: float, delta: float) -> tuple[
     """The least loss and the losses since the last improvement, after one more loss."""
     if least is None:
         return loss, 0
+    # min() keeps the least one where the loss is NaN, and a least one that is NaN
     return min(least, loss), 0 if improves(least, loss, delta) else counter + 1
 
 
@@ -39,12 +40,18 @@ class EarlyStopping:
 
 
 def early_stopping(df: DataFrame, series: Sequence[str], order: Sequence[str], loss: str, *, patience: int = 5, delta: float = 0.01) -> DataFrame:
-    """df with counter and stop after each step of its series. Null and NaN losses are left out."""
-    df = df.where(F.col(loss).isNotNull() & ~F.isnan(loss))
+    """df with counter and stop after each step of its series.
+
+    A NaN loss is no improvement and leaves the least loss as it is; a first NaN stays the least one, so nothing improves it. Null losses are left out.
+    """
+    df = df.where(F.col(loss).isNotNull())
     run = free_name(df, "run", "counter", "stop")
     w = Window.partitionBy(*series).orderBy(*order)
-    before: Column = F.min(loss).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumn(run, F.when(before.isNull() | improves(before, F.col(loss), delta), 1).otherwise(0))
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    before: Column = F.min(F.when(~F.isnan(loss), F.col(loss))).over(past)
+    first = F.first(loss).over(past)
+    better = ~F.isnan(loss) & ~F.isnan(first) & improves(before, F.col(loss), delta)
+    df = df.withColumn(run, F.when(first.isNull() | better, 1).otherwise(0))
     df = df.withColumn(run, F.sum(run).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     counter = (F.row_number().over(Window.partitionBy(*series, run).orderBy(*order)) - 1).cast("int")
     return df.withColumn("counter", counter).withColumn("stop", F.col("counter") >= patience).drop(run)

@@ -479,7 +479,7 @@ class RandomResizeRoundTrip(_Random):
 
 @dataclass(frozen=True)
 class JPEGCompression(Op):
-    """(3, H, W) of whole numbers 0-255. Train draws the quality of a range, eval takes its middle."""
+    """(3, H, W) of whole numbers 0-255 in any type; other values are an error. Train draws the quality of a range, eval takes its middle."""
 
     quality: int | tuple[int, int] = 75
     train: bool | None = True
@@ -488,12 +488,17 @@ class JPEGCompression(Op):
         q = self.quality
         if isinstance(q, Sequence):
             q = sum(q) // 2 if self.train is False else int(random.integers(q[0], q[1] + 1))
+        if x.dtype != np.uint8 and not ((x >= 0) & (x <= 255) & (x == np.rint(x))).all():
+            raise ValueError("JPEG takes whole numbers from 0 to 255")
         return K.jpeg_round_trip(x.astype(np.uint8), q).astype(x.dtype)
 
 
 @dataclass(frozen=True)
 class ColorJitter(_Random):
-    """Brightness, contrast, saturation (factors, 1 changes nothing) and hue (0 changes nothing) in random order; pairs are drawn from."""
+    """Brightness, contrast, saturation (factors, 1 changes nothing) and hue (0 changes nothing) in random order; pairs are drawn from.
+
+    Images of bytes stay bytes from step to step, as a byte image does in each of the adjustments; others lie in [0, 1].
+    """
 
     brightness: Any = 1.0
     contrast: Any = 1.0
@@ -502,7 +507,7 @@ class ColorJitter(_Random):
     train: bool | None = True
 
     def draw(self, x, random):
-        y = x.astype(np.float32)
+        y = x if x.dtype == np.uint8 else x.astype(np.float32)
         steps = [(K.adjust_brightness, self.brightness), (K.adjust_contrast, self.contrast), (K.adjust_saturation, self.saturation), (K.adjust_hue, self.hue)]
         for k in random.permutation(4):
             f, value = steps[k]
@@ -786,10 +791,14 @@ class AudioCodecCompression(Op):
 
 @dataclass(frozen=True)
 class Apply(Op):
-    """Any function of one sample; dtype is what it gives, by default what it gets."""
+    """Any function of one sample; dtype is what it gives, by default what it gets; out_shape, where zeros in double precision can't tell it."""
 
     function: Callable[[np.ndarray], np.ndarray]
     dtype: str | None = None
+    out_shape: Shape | None = None
+
+    def shape(self, shape):
+        return self.out_shape or super().shape(shape)
 
     def result(self, dtype):
         return self.dtype or dtype

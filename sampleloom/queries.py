@@ -89,10 +89,25 @@ def welford_merge_shards(spark, sf):
     return W.finalize(W.merge(shards)).select("pos", "count", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"))
 
 
+@query(f"WITH {ELEMENTS} SELECT CAST(pos AS BIGINT) AS pos, CAST(count(*) AS DOUBLE) AS count, round(avg(1e9 + v), 4) + 0.0 AS mean, round(stddev_pop(1e9 + v), 4) + 0.0 AS std FROM e GROUP BY pos")
+def welford_offset(spark, sf):
+    """Statistics of shards whose mean is a billion times their deviation, merged."""
+    df = tensors(spark, sf).withColumn("data", F.transform("data", lambda v: v.cast("double") + 1e9)).withColumn("shard", F.col("row_idx") % 4)
+    return W.finalize(W.merge(W.welford(df, (64,), keys=["shard"]))).select("pos", "count", *[(F.round(c, 4) + 0.0).alias(c) for c in ("mean", "std")])
+
+
+@query(f"""WITH {ELEMENTS}, k AS (SELECT * FROM range(8) AS r(k)) SELECT label, CAST(k * 64 + pos AS BIGINT) AS pos, CAST(count(*) AS DOUBLE) AS count, round(avg(v * k + 1e6), 4) + 0.0 AS mean, round(stddev_pop(v * k + 1e6), 4) + 0.0 AS std FROM e, k GROUP BY ALL""")
+def welford_tensor(spark, sf):
+    """Statistics of (8, 64) samples by label, as vectors."""
+    data = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.transform("data", lambda v: v.cast("double") * k + 1e6)))
+    found = W.finalize(W.welford(tensors(spark, sf).withColumn("data", data), (8, 64), keys=["label"]))
+    return found.select("label", "pos", "count", *[(F.round(c, 4) + 0.0).alias(c) for c in ("mean", "std")])
+
+
 @query(f"WITH {ELEMENTS}, {STATS} SELECT vec_id, CAST(e.pos AS INTEGER) AS pos, round((v - m) / (d + 1e-12), 6) + 0.0 AS value FROM e JOIN s ON e.pos = s.pos")
 def normalize_vector(spark, sf):
     df = tensors(spark, sf)
-    return cells(W.normalize_by(df, W.finalize(W.welford(df, (64,)))))
+    return cells(W.normalize_by(df, W.finalize(W.welford(df, (64,))), size=64))
 
 
 @query(f"WITH {ELEMENTS}, s AS (SELECT avg(v) AS m, stddev_pop(v) AS d FROM e) SELECT vec_id, CAST(pos AS INTEGER) AS pos, round((v - m) / (d + 1e-12), 6) + 0.0 AS value FROM e, s")
@@ -105,7 +120,7 @@ def normalize_scalar(spark, sf):
 @query(f"WITH {ELEMENTS}, {STATS} SELECT label, CAST(e.pos AS INTEGER) AS pos, count(*) AS n, round(avg((v - m) / (d + 1e-12)), 6) + 0.0 AS value FROM e JOIN s ON e.pos = s.pos GROUP BY 1, 2")
 def normalized_label_profile(spark, sf):
     df = tensors(spark, sf)
-    z = W.normalize_by(df, W.finalize(W.welford(df, (64,)))).select("label", F.posexplode("data").alias("pos", "v"))
+    z = W.normalize_by(df, W.finalize(W.welford(df, (64,))), size=64).select("label", F.posexplode("data").alias("pos", "v"))
     return z.groupBy("label", "pos").agg(F.count("*").alias("n"), r6(F.avg("v")).alias("value"))
 
 
@@ -153,11 +168,20 @@ def align_labels(spark, sf):
 
 @query(f"WITH {ELEMENTS} SELECT CAST(pos % 8 AS BIGINT) AS \"row\", CAST(count(*) AS BIGINT) AS n, round(sum(v * r), 3) + 0.0 AS checksum FROM (SELECT pos, v, row_number() OVER (PARTITION BY pos % 8 ORDER BY vec_id, pos) % 997 AS r FROM e) GROUP BY 1")
 def row_axis_take(spark, sf):
-    rows = S.take_along(tensors(spark, sf), (8, 8), 1)
+    rows = S.take_along(S.dense_index(tensors(spark, sf), ["row_idx"], name="place"), (8, 8), 1, order="place")
     weighted = F.aggregate(F.transform("data", lambda v, i: v.cast("double") * F.pmod(i + 1, F.lit(997))), F.lit(0.0), lambda a, v: a + v)
     return rows.select("row", F.size("data").cast("long").alias("n"), (F.round(weighted, 3) + 0.0).alias("checksum"))
 
 
+@query(f"""WITH {ELEMENTS}, c AS (SELECT pos % 8 AS "row", v, row_number() OVER (PARTITION BY pos % 8 ORDER BY vec_id, pos) - 1 AS r FROM e)
+SELECT CAST("row" AS BIGINT) AS "row", CAST(r // 100 AS BIGINT) AS block, CAST(count(*) AS BIGINT) AS n, round(sum(v * (r % 100 + 1)), 4) + 0.0 AS checksum FROM c GROUP BY 1, 2""")
+def row_axis_blocks(spark, sf):
+    """The same slices in blocks of 100 elements, in order."""
+    rows = S.slice_blocks(S.dense_index(tensors(spark, sf), ["row_idx"], name="place"), (8, 8), 1, order="place", block=100)
+    weighted = F.aggregate(F.transform("data", lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return rows.select("row", "block", F.size("data").cast("long").alias("n"), (F.round(weighted, 4) + 0.0).alias("checksum"))
+
+
 @query("WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) SELECT CAST(i // 32 AS BIGINT) AS batch, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY i) AS ids, CAST(sum(n_chars) AS BIGINT) AS chars FROM r GROUP BY 1")
 def collate_batches(spark, sf):
     df = S.dense_index(table(spark, sf, "documents").select("doc_id", "n_chars"), ["doc_id"], name="view_idx")
@@ -327,10 +351,12 @@ def dct_log(spark, sf):
 _RADIAL = "g AS (SELECT o, sqrt(power((CASE WHEN o // 8 < 4 THEN o // 8 ELSE o // 8 - 8 END) / 8.0, 2) + power((CASE WHEN o % 8 < 4 THEN o % 8 ELSE o % 8 - 8 END) / 8.0, 2)) AS r FROM range(64) AS t(o))"
 
 
-@query(f"WITH {_RADIAL} SELECT CAST(o AS INTEGER) AS pos, round(r, 6) + 0.0 AS r, round((SELECT max(r) FROM g), 6) AS largest FROM g")
+@query(f"WITH {_RADIAL}, {ELEMENTS} SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(r, 6) + 0.0 AS r, round(v * r, 6) + 0.0 AS value FROM e JOIN g ON g.o = e.pos")
 def radial_matrix(spark, sf):
-    r = K.radial_frequencies((8, 8), (0, 1), False).ravel()
-    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(r)], "pos int, r double").select("pos", r6(F.col("r")).alias("r"), F.round(F.lit(float(r.max())), 6).alias("largest"))
+    """Each element with the length of its frequency vector, and their product."""
+    r = F.array(*map(F.lit, K.radial_frequencies((8, 8), (0, 1), False).ravel().tolist()))
+    rows = doubles(spark, sf).select(F.col("row_idx").alias("vec_id"), F.posexplode(F.arrays_zip(F.col("data").alias("v"), r.alias("r"))).alias("pos", "x"))
+    return rows.select("vec_id", "pos", r6(F.col("x.r")).alias("r"), r6(F.col("x.v") * F.col("x.r")).alias("value"))
 
 
 def _filtered(name: str, high: bool, slope: str) -> None:
@@ -375,41 +401,42 @@ def to_float32(spark, sf):
     return cells(T.Compose([T.ToFloat32()]).apply(df, (64,))[0])
 
 
-# Colour: the first 60 elements, scaled to [0, 1] per vector, as a (3, 4, 5) image.
-_COLOUR = f"WITH {ELEMENTS}, b AS (SELECT vec_id, pos, v FROM e WHERE pos < 60), n AS (SELECT vec_id, min(v) AS lo, max(v) AS hi FROM b GROUP BY 1), c AS (SELECT b.vec_id, pos, (v - lo) / (hi - lo) AS v FROM b JOIN n USING (vec_id)), y AS (SELECT vec_id, pos % 20 AS p, sum(v * CASE pos // 20 WHEN 0 THEN 0.299 WHEN 1 THEN 0.587 ELSE 0.114 END) AS g FROM c GROUP BY 1, 2)"
+# Colour: all 64 elements and the first two again, scaled to [0, 1] per vector, as a (3, 2, 11) image.
+_COLOUR = f"WITH {ELEMENTS}, b AS (SELECT vec_id, pos, v FROM e UNION ALL SELECT vec_id, pos + 64, v FROM e WHERE pos < 2), n AS (SELECT vec_id, min(v) AS lo, max(v) AS hi FROM b GROUP BY 1), c AS (SELECT b.vec_id, pos, (v - lo) / (hi - lo) AS v FROM b JOIN n USING (vec_id)), y AS (SELECT vec_id, pos % 22 AS p, sum(v * CASE pos // 22 WHEN 0 THEN 0.299 WHEN 1 THEN 0.587 ELSE 0.114 END) AS g FROM c GROUP BY 1, 2)"
+_IMAGE, _PIXELS = (3, 2, 11), 22
 
 
 def colours(spark, sf) -> DataFrame:
-    df = tensors(spark, sf).withColumn("data", F.transform(F.slice("data", 1, 60), lambda v: v.cast("double")))
+    df = tensors(spark, sf).withColumn("data", F.transform(F.concat("data", F.slice("data", 1, 2)), lambda v: v.cast("double")))
     # the bounds stand outside the lambda, which would work them out anew for each element
     low, width = F.array_min("data"), F.array_max("data") - F.array_min("data")
-    bounds = F.array_repeat(F.struct(low.alias("low"), width.alias("width")), 60)
+    bounds = F.array_repeat(F.struct(low.alias("low"), width.alias("width")), 3 * _PIXELS)
     return df.withColumn("data", F.zip_with("data", bounds, lambda v, b: (v - b["low"]) / b["width"]))
 
 
 @query(f"{_COLOUR} SELECT vec_id, CAST(p AS INTEGER) AS pos, round(g, 6) + 0.0 AS value FROM y")
 def rgb2gray(spark, sf):
-    return cells(colours(spark, sf).withColumn("data", C.gray(F.col("data"), 20)))
+    return cells(colours(spark, sf).withColumn("data", C.gray(F.col("data"), _PIXELS)))
 
 
-@query(f"{_COLOUR} SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(least(greatest(v * 0.7 + w * 0.3, 0), 1), 6) + 0.0 AS value FROM (SELECT c.vec_id, c.pos, c.v, d.v AS w FROM c JOIN c d ON c.vec_id = d.vec_id AND d.pos = 59 - c.pos)")
+@query(f"{_COLOUR} SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(least(greatest(v * 0.7 + w * 0.3, 0), 1), 6) + 0.0 AS value FROM (SELECT c.vec_id, c.pos, c.v, d.v AS w FROM c JOIN c d ON c.vec_id = d.vec_id AND d.pos = 65 - c.pos)")
 def blend(spark, sf):
     return cells(colours(spark, sf).withColumn("data", C.blend(F.col("data"), F.reverse("data"), 0.7)))
 
 
 @query(f"{_COLOUR} SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(least(greatest(v * 1.4, 0), 1), 6) + 0.0 AS value FROM c")
 def brightness(spark, sf):
-    return cells(colours(spark, sf).withColumn("data", C.brightness(F.col("data"), 20, 1.4)))
+    return cells(colours(spark, sf).withColumn("data", C.brightness(F.col("data"), _PIXELS, 1.4)))
 
 
 @query(f"{_COLOUR}, m AS (SELECT vec_id, avg(g) AS a FROM y GROUP BY 1) SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(least(greatest(v * 1.4 + a * (1 - 1.4), 0), 1), 6) + 0.0 AS value FROM c JOIN m USING (vec_id)")
 def contrast(spark, sf):
-    return cells(colours(spark, sf).withColumn("data", C.contrast(F.col("data"), 20, 1.4)))
+    return cells(colours(spark, sf).withColumn("data", C.contrast(F.col("data"), _PIXELS, 1.4)))
 
 
-@query(f"{_COLOUR} SELECT c.vec_id, CAST(pos AS INTEGER) AS pos, round(least(greatest(v * 1.4 + g * (1 - 1.4), 0), 1), 6) + 0.0 AS value FROM c JOIN y ON c.vec_id = y.vec_id AND c.pos % 20 = y.p")
+@query(f"{_COLOUR} SELECT c.vec_id, CAST(pos AS INTEGER) AS pos, round(least(greatest(v * 1.4 + g * (1 - 1.4), 0), 1), 6) + 0.0 AS value FROM c JOIN y ON c.vec_id = y.vec_id AND c.pos % 22 = y.p")
 def saturation(spark, sf):
-    return cells(colours(spark, sf).withColumn("data", C.saturation(F.col("data"), 20, 1.4)))
+    return cells(colours(spark, sf).withColumn("data", C.saturation(F.col("data"), _PIXELS, 1.4)))
 
 
 @query("SELECT p_partkey, CAST(floor((p_size + 40 - 32) / 2.0) AS INTEGER) AS l, CAST(floor((p_size + 50 - 32) / 2.0) AS INTEGER) AS t, CAST(floor((p_size + 40 - 32) / 2.0) + 32 AS INTEGER) AS r, CAST(floor((p_size + 50 - 32) / 2.0) + 32 AS INTEGER) AS b FROM part")
@@ -417,11 +444,11 @@ def crop_box_center(spark, sf):
     return table(spark, sf, "part").select("p_partkey", G.center_box(F.col("p_size") + 40, F.col("p_size") + 50, 32, 32).alias("x")).select("p_partkey", "x.*")
 
 
-@query("SELECT p_partkey, CAST(4 AS INTEGER) AS l, CAST(6 AS INTEGER) AS t, CAST(36 AS INTEGER) AS r, CAST(38 AS INTEGER) AS b, p_size + 40 >= 36 AND p_size + 20 >= 38 AS fits FROM part")
+@query("SELECT p_partkey, p_size % 13 AS l, p_size % 7 AS t, p_size % 13 + 32 AS r, p_size % 7 + 32 AS b, p_size + 20 >= p_size % 13 + 32 AND p_size + 10 >= p_size % 7 + 32 AS fits FROM part")
 def crop_box_origin(spark, sf):
-    left, top, right, bottom = G.crop_box((60, 60), 32, origin=(4, 6))
-    named = [F.lit(v).cast("int").alias(c) for c, v in zip("ltrb", (left, top, right, bottom), strict=True)]
-    return table(spark, sf, "part").select("p_partkey", *named, ((F.col("p_size") + 40 >= right) & (F.col("p_size") + 20 >= bottom)).alias("fits"))
+    """Boxes of 32 at origins that depend on the row, and whether they lie inside images of the row's size."""
+    box, fits = G.origin_box(F.col("p_size") + 20, F.col("p_size") + 10, 32, 32, F.col("p_size") % 13, F.col("p_size") % 7)
+    return table(spark, sf, "part").select("p_partkey", box.alias("x"), fits.alias("fits")).select("p_partkey", "x.*", "fits")
 
 
 @query("SELECT p_partkey, CAST(floor((p_size + 3) * f) AS INTEGER) AS w, CAST(floor((p_size + 17) * f) AS INTEGER) AS h FROM (SELECT p_partkey, p_size, greatest(CAST(32 AS DOUBLE) / (p_size + 3), CAST(32 AS DOUBLE) / (p_size + 17)) AS f FROM part)")
@@ -459,6 +486,17 @@ def early_stopping_windows(spark, sf):
     return early_stopping(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "user_id", "counter", "stop")
 
 
+@query("""WITH l AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'click' OR event_id % 5 = 0 THEN CAST('nan' AS DOUBLE) ELSE value END AS value FROM events),
+a AS (SELECT *, min(CASE WHEN NOT isnan(value) THEN value END) OVER w AS m, first_value(value) OVER w AS f FROM l WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT *, sum(CASE WHEN f IS NULL OR (NOT isnan(f) AND NOT isnan(value) AND m - value > 0.01 * m) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM a)
+SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id, g ORDER BY ts, event_id) - 1 AS INTEGER) AS counter, row_number() OVER (PARTITION BY user_id, g ORDER BY ts, event_id) - 1 >= 5 AS stop FROM b""")
+def early_stopping_nan(spark, sf):
+    """Losses of which some are NaN: they count as steps without improvement, and a first one stays the least loss."""
+    loss = F.when((F.col("event_type") == "click") | (F.col("event_id") % 5 == 0), F.lit(float("nan"))).otherwise(F.col("value"))
+    df = table(spark, sf, "events").withColumn("value", loss)
+    return early_stopping(df, ["user_id"], ["ts", "event_id"], "value").select("event_id", "user_id", "counter", "stop")
+
+
 @query("SELECT text AS value, count(*) AS n FROM documents GROUP BY 1")
 def record_file_round_trip(spark, sf):
     from .sources.records import RecordSource
@@ -563,18 +601,120 @@ _random("mix_sample", [T.MixSample(_SAMPLE, (0.1, 0.9))], (1, 64), lambda x, y:
 _random("random_choices", [T.RandomChoices(((T.Flip(0), 1.0), (T.InvertPhase(), 2.0)), samples=2)], (64,), _one_of((64,), [], [T.Flip(0), T.InvertPhase()]), 64)
 
 
+def image_bytes(spark, sf) -> DataFrame:
+    return colours(spark, sf).withColumn("data", F.transform("data", lambda v: F.floor(v * 255).cast("smallint")))
+
+
+_BYTES = f"{_COLOUR}, i AS (SELECT vec_id, pos, floor(v * 255) AS v FROM c), px AS (SELECT vec_id, pos % 22 AS p, max(CASE WHEN pos // 22 = 0 THEN v END) AS r, max(CASE WHEN pos // 22 = 1 THEN v END) AS g, max(CASE WHEN pos // 22 = 2 THEN v END) AS b FROM i GROUP BY 1, 2), gy AS (SELECT *, round_even(CAST(0.299 AS DOUBLE) * r + CAST(0.587 AS DOUBLE) * g + CAST(0.114 AS DOUBLE) * b, 0) AS gray FROM px)"
+
+
+def _byte_query(name: str, op: T.Op, base: str) -> None:
+    """An adjustment of byte images by a fixed factor of 1.4: 1.4 of the sample and -0.4 of a base, clipped to bytes and cut off."""
+    ORACLE_SQL[name] = f"{_BYTES}, m AS (SELECT vec_id, avg(gray) AS mean FROM gy GROUP BY 1) SELECT i.vec_id, CAST(pos AS INTEGER) AS pos, CAST(floor(least(greatest(CAST(1.4 AS DOUBLE) * i.v + (1 - CAST(1.4 AS DOUBLE)) * {base}, 0), 255)) AS INTEGER) AS value FROM i JOIN gy ON gy.vec_id = i.vec_id AND gy.p = i.pos % 22 JOIN m ON m.vec_id = i.vec_id"
+
+    def run(spark, sf):
+        out = T.Compose([op]).apply(image_bytes(spark, sf), _IMAGE, seed=42, dtype="uint8")[0]
+        return out.select(F.col("row_idx").alias("vec_id"), F.posexplode("data").alias("pos", "value")).withColumn("value", F.col("value").cast("int"))
+
+    QUERIES[name] = run
+
+
+_byte_query("color_jitter_brightness", T.ColorJitter(1.4, 1.0, 1.0), "0")
+_byte_query("color_jitter_contrast", T.ColorJitter(1.0, 1.4, 1.0), "m.mean")
+_byte_query("color_jitter_saturation", T.ColorJitter(1.0, 1.0, 1.4), "gray")
+
+#: Hue, saturation and value of bytes, hues in 256 steps.
+_HSV = f"""{_BYTES}, d AS (SELECT *, r / 255.0::DOUBLE AS rr, g / 255.0::DOUBLE AS gg, b / 255.0::DOUBLE AS bb, greatest(r, g, b) / 255.0::DOUBLE AS v, least(r, g, b) / 255.0::DOUBLE AS lo FROM px),
+hs AS (SELECT vec_id, p, v, CASE WHEN v > 0 THEN (v - lo) / v ELSE 0 END AS s, CASE WHEN v = lo THEN 0 WHEN v = rr THEN (gg - bb) / (v - lo) * 60 WHEN v = gg THEN (2 + (bb - rr) / (v - lo)) * 60 ELSE (4 + (rr - gg) / (v - lo)) * 60 END AS h FROM d),
+hsv AS (SELECT vec_id, p, CAST(round_even((CASE WHEN h < 0 THEN h + 360 ELSE h END) * 256 / 360, 0) AS INTEGER) % 256 AS h, CAST(round_even(s * 255, 0) AS INTEGER) AS s, CAST(round_even(v * 255, 0) AS INTEGER) AS v FROM hs)"""
+
+
+@query(f"{_HSV} SELECT vec_id, CAST(k * 22 + p AS INTEGER) AS pos, CASE k WHEN 0 THEN h WHEN 1 THEN s ELSE v END AS value FROM hsv, range(3) AS t(k)")
+def rgb_to_hsv(spark, sf):
+    out = T.Compose([T.Apply(K.rgb_to_hsv, out_shape=_IMAGE)]).apply(image_bytes(spark, sf), _IMAGE, dtype="uint8")[0]
+    return out.select(F.col("row_idx").alias("vec_id"), F.posexplode("data").alias("pos", "value")).withColumn("value", F.col("value").cast("int"))
+
+
+@query(f"""{_HSV}, t AS (SELECT vec_id, p, floor((h + 360 * 0.1::DOUBLE) - 180 * floor((h + 360 * 0.1::DOUBLE) / 180)) * 360 / 256 AS h, s / 255.0::DOUBLE AS s, v / 255.0::DOUBLE AS v FROM hsv),
+k AS (SELECT vec_id, p, c, s, v, (5 - 2 * c + h / 60) - 6 * floor((5 - 2 * c + h / 60) / 6) AS k FROM t, range(3) AS q(c))
+SELECT vec_id, CAST(c * 22 + p AS INTEGER) AS pos, CAST(round_even((v - v * s * least(greatest(least(k, 4 - k), 0), 1)) * 255, 0) AS INTEGER) AS value FROM k""")
+def color_jitter_hue(spark, sf):
+    """Hues of bytes turned by a tenth of 360 steps, wrapped at 180, and back to red, green and blue."""
+    out = T.Compose([T.ColorJitter(1.0, 1.0, 1.0, 0.1)]).apply(image_bytes(spark, sf), _IMAGE, seed=42, dtype="uint8")[0]
+    return out.select(F.col("row_idx").alias("vec_id"), F.posexplode("data").alias("pos", "value")).withColumn("value", F.col("value").cast("int"))
+
+
 def _colour_query(name: str, op: T.Op, scale: float, low: float, high: float, off: float) -> None:
     """Colours stay in their range, and on average near what they were."""
 
     def run(spark, sf):
         df = colours(spark, sf).withColumn("data", F.transform("data", lambda v: F.floor(v * scale) if scale > 1 else v)).withColumn("x", F.col("data"))
-        out = T.Compose([op]).apply(df, (3, 4, 5), seed=42, dtype="float32" if scale == 1 else "uint8")[0].select("row_idx", "x", F.transform("data", lambda v: v.cast("double")).alias("y"))
-        mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / 60
+        out = T.Compose([op]).apply(df, _IMAGE, seed=42, dtype="float32" if scale == 1 else "uint8")[0].select("row_idx", "x", F.transform("data", lambda v: v.cast("double")).alias("y"))
+        mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / (3 * _PIXELS)
         near = mean(F.zip_with("x", "y", lambda v, w: F.abs(v.cast("double") - w))) <= off
         return out.select(F.col("row_idx").alias("vec_id"), F.size("y").alias("n"), ((F.array_min("y") >= low) & (F.array_max("y") <= high) & near).alias("holds"))
 
-    QUERIES[name], ORACLE_SQL[name] = run, "SELECT vec_id, CAST(60 AS INTEGER) AS n, true AS holds FROM embeddings"
+    QUERIES[name], ORACLE_SQL[name] = run, "SELECT vec_id, CAST(66 AS INTEGER) AS n, true AS holds FROM embeddings"
 
 
 _colour_query("color_jitter", T.ColorJitter((0.8, 1.2), (0.8, 1.2), (0.8, 1.2), (-0.1, 0.1)), 1, 0.0, 1.0, 0.6)
 _colour_query("jpeg_compression", T.JPEGCompression((50, 90)), 255, 0, 255, 40)
+
+
+@query(f"""WITH {ELEMENTS}, k AS (SELECT o, CAST(o // 8 AS DOUBLE) - 3.5 AS a, CAST(o % 8 AS DOUBLE) - 3.5 AS b FROM range(64) AS t(o)),
+q AS (SELECT o, cos(radians(30)) * a + sin(radians(30)) * b + 3.5 AS r, -sin(radians(30)) * a + cos(radians(30)) * b + 3.5 AS c FROM k),
+n AS (SELECT o, r, c, CAST(floor(r) AS INTEGER) + dr AS nr, CAST(floor(c) AS INTEGER) + dc AS nc FROM q, range(2) AS x(dr), range(2) AS z(dc))
+SELECT vec_id, CAST(o AS INTEGER) AS pos, round(CASE WHEN any_value(r) BETWEEN 0 AND 7 AND any_value(c) BETWEEN 0 AND 7 THEN sum((1 - abs(r - nr)) * (1 - abs(c - nc)) * v) ELSE 1.5 END, 6) + 0.0 AS value
+FROM n JOIN e ON e.pos = least(greatest(nr, 0), 7) * 8 + least(greatest(nc, 0), 7) GROUP BY 1, 2""")
+def rotate_30(spark, sf):
+    """A rotation by 30 degrees, bilinear, 1.5 outside."""
+    return cells(T.Compose([T.RotateAnyDegree((0, 1), 30.0, 1.5)]).apply(doubles(spark, sf), (8, 8))[0])
+
+
+#: What JPEG does to an 8 x 8 block of equal planes: its cosine coefficients in steps of the quantisation table, at quality 75.
+_JPEG = f"""WITH {ELEMENTS}, n AS (SELECT vec_id, min(v) AS lo, max(v) AS hi FROM e GROUP BY 1), i AS (SELECT e.vec_id, pos // 8 AS y, pos % 8 AS x, round_even(floor((v - lo) / (hi - lo) * 255), 0) - 128 AS v FROM e JOIN n USING (vec_id)),
+b AS (SELECT k, j, cos(pi() * k * (2 * j + 1) / 16) * CASE WHEN k = 0 THEN sqrt(0.125) ELSE 0.5 END AS w FROM range(8) AS s(k), range(8) AS t(j)),
+f AS (SELECT vec_id, a.k AS u, c.k AS w, sum(i.v * a.w * c.w) AS f FROM i JOIN b a ON a.j = i.y JOIN b c ON c.j = i.x GROUP BY 1, 2, 3),
+q AS (SELECT vec_id, u, w, round_even(round(f / CAST(t AS DOUBLE), 9), 0) * t AS f FROM (SELECT *, least(greatest((([{", ".join(map(str, K._LUMA.ravel().tolist()))}])[CAST(u * 8 + w + 1 AS BIGINT)] * 50 + 50) // 100, 1), 255) AS t FROM f)),
+g AS (SELECT vec_id, a.j AS y, c.j AS x, sum(q.f * a.w * c.w) AS v FROM q JOIN b a ON a.k = q.u JOIN b c ON c.k = q.w GROUP BY 1, 2, 3)"""
+
+
+@query(f"{_JPEG} SELECT vec_id, CAST(k * 64 + y * 8 + x AS INTEGER) AS pos, CAST(least(greatest(round_even(round(v, 9), 0) + 128, 0), 255) AS INTEGER) AS value FROM g, range(3) AS t(k)")
+def jpeg_gray(spark, sf):
+    """JPEG at quality 75 of gray 8 x 8 images of bytes: every value of all three planes."""
+    low, width = F.array_min("data"), F.array_max("data") - F.array_min("data")
+    df = doubles(spark, sf).withColumn("bounds", F.array_repeat(F.struct(low.alias("low"), width.alias("width")), 64))
+    df = df.withColumn("data", F.zip_with("data", "bounds", lambda v, b: F.floor((v - b["low"]) / b["width"] * 255).cast("smallint"))).drop("bounds")
+    out = T.Compose([T.JPEGCompression(75)]).apply(df.withColumn("data", F.concat("data", "data", "data")), (3, 8, 8), dtype="uint8")[0]
+    return out.select(F.col("row_idx").alias("vec_id"), F.posexplode("data").alias("pos", "value")).withColumn("value", F.col("value").cast("int"))
+
+
+def _audio_query(name: str, encode: Callable, sql: str) -> None:
+    """Audio files made of the vectors in the tasks, decoded from their bytes: 70 samples, of which 6 are padding."""
+    ORACLE_SQL[name] = f"SELECT vec_id, CAST(o AS INTEGER) AS pos, CASE WHEN o < 3 OR o >= 67 THEN 0 ELSE {sql} END + 0.0 AS value FROM embeddings, range(70) AS r(o)"
+
+    def run(spark, sf):
+        from .sources.media import audio_samples
+
+        file = F.pandas_udf(lambda rows: rows.map(encode), "binary")
+        df = doubles(spark, sf).select("row_idx", file("data").alias("content"))
+        read = audio_samples(F.col("content"), F.col("row_idx").cast("string"), 70, dtype="float64" if "float" in name else "int16")
+        return cells(df.select("row_idx", read["data"].alias("data")))
+
+    QUERIES[name] = run
+
+
+def _float_wav(x) -> bytes:
+    from .sources.audio import write_wav
+
+    return write_wav(np.asarray(x, np.float32)[:, None], 22050)
+
+
+def _flac(x) -> bytes:
+    from .sources.audio import write_flac
+
+    return write_flac(np.floor(np.asarray(x) * 1000).astype(np.int64)[:, None], 22050, order=2)
+
+
+_audio_query("audio_float_wav", _float_wav, "round(CAST(CAST(embedding[o - 2] AS FLOAT) AS DOUBLE), 6)")
+_audio_query("audio_flac", _flac, "floor(CAST(embedding[o - 2] AS DOUBLE) * 1000)")

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import io
-import wave
+import struct
 import zlib
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ImageTooSmallError
 from ..functions.geometry import crop_box
 from ..functions.kernels import lanczos_resize, sinc_resample
+from .audio import read_flac, read_wav
 
 IMAGE = "path string, height int, width int, data array<smallint>, error string"
 
@@ -67,30 +67,22 @@ def read_images(spark: SparkSession, path: str, target: int | tuple[int, int], *
 
 
 def decode_audio(raw: bytes, target_length: int, target_sample_rate: int = 22050, load_offset: float = 0, random_slice: bool = False, dtype: str = "int16", resample: Callable | None = None, random: np.random.Generator | None = None) -> np.ndarray:
-    """(1, target_length) of the left channel of a PCM WAV file; zeros in front (less) and behind (more) where it is short.
+    """(1, target_length) of the left channel of a WAV or FLAC file; zeros in front (less) and behind (more) where it is short.
 
-    Samples of 8, 16, 24 and 32 bits are read; 24 bits become 32. Another sample rate goes through resample(x, from, to),
-    by default the windowed sinc of functions/kernels.py.
+    Whole numbers of 8 to 32 bits and floats are read; above 16 bits they become 32. Another sample rate goes through
+    resample(x, from, to), by default the windowed sinc of functions/kernels.py.
     """
     if dtype not in ("int16", "int32", "float32", "float64"):
         raise ValueError(f"no audio type {dtype!r}")
-    with wave.open(io.BytesIO(raw)) as f:
-        rate, width, channels = f.getframerate(), f.getsampwidth(), f.getnchannels()
-        f.setpos(min(f.getnframes(), int(load_offset)))
-        data = f.readframes(f.getnframes())
-    if width == 3:  # the three bytes are the upper ones of four
-        wide = np.zeros((len(data) // 3, 4), np.uint8)
-        wide[:, 1:] = np.frombuffer(data, np.uint8).reshape(-1, 3)
-        data, width = wide.tobytes(), 4
-    x = np.frombuffer(data, {1: np.uint8, 2: "<i2", 4: "<i4"}[width]).reshape(-1, channels)[:, 0]
-    x = (x.astype(np.int16) - 128) << 8 if width == 1 else x
-    full = float(np.iinfo(x.dtype).max)
+    x, rate = read_flac(raw) if raw[:4] == b"fLaC" else read_wav(raw)
+    x = x[min(len(x), int(load_offset)) :, 0]
+    full = float(np.iinfo(x.dtype).max) if x.dtype.kind == "i" else 1.0
     if rate != target_sample_rate:
         x = (resample or sinc_resample)(x, rate, target_sample_rate)
     if np.dtype(dtype).kind == "f":
         x = (x / full).astype(dtype)
     elif np.dtype(dtype) != x.dtype:
-        x = (x / full * np.iinfo(dtype).max).astype(dtype)
+        x = (np.clip(x / full, -1, 1) * np.iinfo(dtype).max).astype(dtype)
     if len(x) < target_length:
         n = target_length - len(x)
         return np.pad(x, (n // 2, n - n // 2))[None]
@@ -98,21 +90,26 @@ def decode_audio(raw: bytes, target_length: int, target_sample_rate: int = 22050
     return x[None, a : a + target_length]
 
 
-def read_audio(spark: SparkSession, path: str, target_length: int, *, reader: dict | None = None, seed: int = 0, **options) -> DataFrame:
-    """Rows (path, data, error) of the WAV files at path. Random slices depend on seed and file name only."""
-    files = spark.read.format("binaryFile").options(**reader or {}).load(path).select("path", "content")
+def audio_samples(content: Column, name: Column, target_length: int, *, seed: int = 0, **options) -> Column:
+    """A struct (data, error) of the audio file in a binary column (see decode_audio); random slices depend on seed and name only."""
 
     @F.pandas_udf("data array<double>, error string")
-    def load(content, paths):
+    def load(content, names):
         import pandas as pd
 
         out = []
-        for raw, name in zip(content, paths, strict=True):
+        for raw, name in zip(content, names, strict=True):
             try:
                 random = _of_file(seed, name)
                 out.append((decode_audio(raw, target_length, random=random, **options).astype(float).ravel(), None))
-            except (wave.Error, EOFError, ValueError, KeyError) as e:
+            except (ValueError, KeyError, struct.error) as e:
                 out.append((None, str(e)))
         return pd.DataFrame(out, columns=["data", "error"])
 
-    return files.withColumn("r", load("content", "path")).select("path", "r.data", "r.error")
+    return load(content, name)
+
+
+def read_audio(spark: SparkSession, path: str, target_length: int, *, reader: dict | None = None, seed: int = 0, **options) -> DataFrame:
+    """Rows (path, data, error) of the WAV and FLAC files at path. Random slices depend on seed and file name only."""
+    files = spark.read.format("binaryFile").options(**reader or {}).load(path).select("path", "content")
+    return files.withColumn("r", audio_samples(F.col("content"), F.col("path"), target_length, seed=seed, **options)).select("path", "r.data", "r.error")

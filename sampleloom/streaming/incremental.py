@@ -28,7 +28,8 @@ def statistics_sink(stream: DataFrame, shape: Sequence[int], path: str, checkpoi
 def stop_signals(stream: DataFrame, series: str, step: str, loss: str, *, patience: int = 5, delta: float = 0.01) -> DataFrame:
     """Rows (series, step, counter, stop) of a stream of losses; each series keeps its least loss and its counter as state.
 
-    Steps of one series must come in order across batches; within a batch they are sorted.
+    Steps of one series must come in order across batches; within a batch they are sorted. NaN losses count as in EarlyStopping,
+    nulls are left out.
     """
 
     def run(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
@@ -36,7 +37,7 @@ def stop_signals(stream: DataFrame, series: str, step: str, loss: str, *, patien
 
         least, counter = state.get if state.exists else (None, 0)
         out = []
-        rows = pd.concat(list(frames))[[step, loss]].dropna().sort_values([step, loss])
+        rows = pd.concat(list(frames))[[step, loss]].sort_values([step, loss])
         for at, value in rows.itertuples(index=False):
             least, counter = next_state(least, counter, value, delta)
             out.append((key[0], at, counter, counter >= patience))
@@ -44,5 +45,5 @@ def stop_signals(stream: DataFrame, series: str, step: str, loss: str, *, patien
             state.update((float(least), int(counter)))
         yield pd.DataFrame(out, columns=["series", "step", "counter", "stop"])
 
-    rows = stream.select(F.col(series).cast("string").alias(series), F.col(step).cast("long").alias(step), F.col(loss).cast("double").alias(loss))
+    rows = stream.select(F.col(series).cast("string").alias(series), F.col(step).cast("long").alias(step), F.col(loss).cast("double").alias(loss)).where(F.col(loss).isNotNull())
     return rows.groupBy(series).applyInPandasWithState(run, "series string, step long, counter int, stop boolean", "least double, counter int", "append", GroupStateTimeout.NoTimeout)

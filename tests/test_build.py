@@ -29,7 +29,7 @@ def test_dense_index_in_many_ranges(spark, kind):
     df = spark.createDataFrame([(v, k) for k, v in enumerate(values)], "v long, tie long").repartition(5).select(F.col("v").cast(kind), "tie")
     if kind == "double":
         df = df.unionByName(spark.createDataFrame([(float("nan"), 9999)], "v double, tie long"))
-    got = S.dense_index(df, ["v", "tie"], range_rows=10).collect()
+    got = S.dense_index(df, ["v", "tie"], ranges=10).collect()
     want = df.orderBy("v", "tie").collect()
     assert [(r.tie, r.row_idx) for r in sorted(got, key=lambda r: r.row_idx)] == [(r.tie, k) for k, r in enumerate(want)]
     assert S.dense_index(df.limit(0), ["v"]).count() == 0
