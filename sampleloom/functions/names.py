@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders of this process's own sessions that name none, by application.
-_OWN: dict[str, str] = {}
+#: Folders for the contexts whose sessions name none.
+_OWN: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def free_name(df: DataFrame, name: str, *others: str) -> str:
@@ -22,19 +23,18 @@ def free_name(df: DataFrame, name: str, *others: str) -> str:
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Where the session names none, everything must run in this one machine's JVM (master local): there the context's checkpoint folder
-    counts, or else a temporary one, kept for the application. On a cluster a folder of the driver's own is of no use to the
-    executors, so that is an error. The session's settings stay as they are.
+    Where the session names none, a temporary one is made and kept for its context, but only if everything runs in this one
+    machine's JVM (master local): on a cluster a folder of the driver's own is of no use to the executors, so that is an error. The
+    session's settings stay as they are.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        key = spark.sparkContext.applicationId
-        if key not in _OWN:
-            _OWN[key] = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="sampleloom-")
-        at = _OWN[key]
+        if spark.sparkContext not in _OWN:
+            _OWN[spark.sparkContext] = "file://" + tempfile.mkdtemp(prefix="sampleloom-")
+        at = _OWN[spark.sparkContext]
     return at.rstrip("/")
 
 
