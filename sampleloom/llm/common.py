@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import free_name, remove_path, scratch_path
 
-__all__ = ["BATCH_BYTES", "bounded_batches", "components", "discard", "free_name", "new_path", "settled", "sized", "spread", "written"]
+__all__ = ["BATCH_BYTES", "bounded_batches", "components", "discard", "drop_part", "free_name", "new_path", "settled", "sized", "spread", "written"]
 
 #: Bytes of an Arrow batch, about; a row is never cut.
 BATCH_BYTES = 4 << 20
@@ -27,10 +27,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return _read_back(df, path)
 
 
-def settled(df: DataFrame, name: str, **settings: str) -> DataFrame:
+def settled(df: DataFrame, name: str, *, compression: str = "snappy", by: str | None = None, **settings: str) -> DataFrame:
     """written(), and Spark drops the shuffle files of the write as soon as it is over instead of when the driver's JVM happens to collect garbage.
 
-    Further settings of spark.sql hold in the session while the write is planned and run.
+    A column `by` makes a folder for each of its values, which drop_part() removes alone. Further settings of spark.sql hold in the session while the write is planned and run.
     """
     path, conf = scratch_path(df.sparkSession, name), df.sparkSession.conf
     wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | {f"spark.sql.{k}": v for k, v in settings.items()}
@@ -38,7 +38,7 @@ def settled(df: DataFrame, name: str, **settings: str) -> DataFrame:
     for k, v in wanted.items():
         conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path, partitionBy=by)
     finally:
         for k, v in before.items():
             conf.unset(k) if v is None else conf.set(k, v)
@@ -63,6 +63,11 @@ def discard(*tables: DataFrame) -> None:
         remove_path(t.sparkSession, t.written_at)
 
 
+def drop_part(table: DataFrame, by: str, value) -> None:
+    """Removes the rows of one value of a written table's folder column."""
+    remove_path(table.sparkSession, f"{table.written_at}/{by}={value}")
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """df, with its session's Arrow batches at BATCH_BYTES at most: long texts then can't fill a Python worker's memory.
 
