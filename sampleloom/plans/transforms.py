@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..functions.draws import Draw, Numbers
 
-#: The longest index map that goes into a plan as literals; longer ones run as kernels.
+#: The longest index map that goes into a plan as literals; longer ones run as kernels, which draw the same numbers.
 LITERAL_INDEX = 4096
 #: Elements of the samples that are stacked at a time in a Python worker, about; one sample at least.
 STACK = 1 << 20
@@ -37,9 +38,9 @@ def element_dtype(df: DataFrame, column: str) -> str:
     return _NUMPY.get(kind.elementType.simpleString(), "float64") if kind.typeName() == "array" else "float64"
 
 
-def rng(seed: int, position: int, key: int, epoch: int = 0) -> np.random.Generator:
-    """A generator of its own for each (seed, operator, sample, epoch), whatever the partitioning or retries."""
-    return np.random.Generator(np.random.Philox(key=np.random.SeedSequence([seed & (2**63 - 1), position, key & (2**63 - 1), epoch]).generate_state(2, np.uint64)))
+def rng(seed: int, position: int, key: int, epoch: int = 0) -> Numbers:
+    """The random numbers of each (seed, operator, sample, epoch), whatever the partitioning or retries; the same as Catalyst's Draw."""
+    return Numbers(seed, position, key, epoch)
 
 
 @dataclass(frozen=True)
@@ -75,7 +76,7 @@ class Op:
         """A native expression that takes its random numbers from draw(k, n), a whole number from 0 to n - 1, or draw(k), from 0 to 1."""
         return None
 
-    def kernel(self, x: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    def kernel(self, x: np.ndarray, random: Numbers) -> np.ndarray:
         raise NotImplementedError
 
     def batch(self, x: np.ndarray) -> np.ndarray:
@@ -83,22 +84,6 @@ class Op:
         return np.stack([self.kernel(v, None) for v in x])
 
 
-class Draw:
-    """The k-th random number of an op for each row, as a column: a hash of seed, op, row and epoch, whatever the partitioning."""
-
-    def __init__(self, seed: int, position: int, key: Column, epoch: int) -> None:
-        self.parts = (F.lit(int(seed)), F.lit(position), key.cast("bigint"), F.lit(int(epoch)))
-
-    def __call__(self, k: int, n: int | None = None) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(*self.parts, F.lit(k)), 11)  # 53 bits, exact as a double
-        share = bits.cast("double") / float(1 << 53)
-        return share if n is None else F.floor(share * n).cast("int")
-
-    def between(self, k: int, value) -> Column:
-        low, high = value if isinstance(value, Sequence) else (value, value)
-        return self(k) * float(high - low) + float(low)
-
-
 def chosen(data: Column, maps: Sequence[np.ndarray], which: Column) -> Column | None:
     """data gathered by the which-th of several index maps without fill, if they fit into a plan as literals."""
     if sum(map(len, maps)) > LITERAL_INDEX:
@@ -126,7 +111,7 @@ class Move(Op):
     def move(self, x: np.ndarray, fill: float) -> np.ndarray:
         raise NotImplementedError
 
-    def kernel(self, x: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    def kernel(self, x: np.ndarray, random: Numbers) -> np.ndarray:
         return self.move(x, self.fill)
 
     def shape(self, shape: Shape) -> Shape:
@@ -784,7 +769,7 @@ class AudioCodecCompression(Op):
 
     def kernel(self, x, random):
         calm = self.train is False
-        name = self.formats[0] if calm else self.formats[int(random.integers(len(self.formats)))]
+        name = self.formats[0] if calm else self.formats[random.integers(0, len(self.formats))]
         pair = isinstance(self.level, Sequence)
         return self.codec(x, name, sum(self.level) / 2 if calm and pair else _between(self.level, random))
 

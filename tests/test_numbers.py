@@ -227,3 +227,34 @@ spark.stop()
     env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": str(REPO), "TMPDIR": str(tmp_path)}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+RANDOM = [
+    (T.RandomCrop((0, 1), (3, 2)), (4, 4)), (T.RandomSlice(3), (1, 16)), (T.RandomSlice(3, 0), (4, 4)), (T.RandomFlip((0, 1), (0.3, 0.8)), (4, 4)), (T.RandomRotate90((0, 1)), (4, 4)),
+    (T.MixSample(tuple(float(k) for k in range(30)), (0.1, 0.9)), (1, 16)), (T.RandomAttenuation((0.3, 0.9)), (4, 4)), (T.RandomAttenuation(0.5), (4, 4)),
+]
+
+
+@pytest.mark.parametrize("op,shape", RANDOM)
+@pytest.mark.parametrize("seed,epoch", [(0, 0), (-3, 2), (2**40, 2**35)])
+def test_native_and_kernel_draws_agree(spark, monkeypatch, op, shape, seed, epoch):
+    df = rows(spark, np.random.default_rng(1).normal(0, 1, (30, *shape))).withColumn("row_idx", F.col("row_idx") * 10**12 - 5)
+    run = lambda: {r.row_idx: tuple(r.data) for r in T.Compose([T.NoTransform(), op]).apply(df, shape, seed=seed, epoch=epoch)[0].collect()}
+    native = run()
+    monkeypatch.setattr(T, "LITERAL_INDEX", 0)
+    monkeypatch.setattr(type(op), "drawn", lambda *_: None)
+    assert run() == native and len(set(native.values())) > (2 if "0.5" not in str(op) else 0)
+
+
+def test_numbers_are_spread():
+    from sampleloom.functions.draws import Numbers
+
+    many = np.concatenate([Numbers(1, 2, k).many(200) for k in range(200)])
+    assert abs(many.mean() - 0.5) < 0.01 and len(np.unique(many)) == len(many) and many.min() >= 0 and many.max() < 1
+    normal = np.concatenate([Numbers(1, 3, k).normal(2, 3, (5, 7)).ravel() for k in range(500)])
+    assert abs(normal.mean() - 2) < 0.1 and abs(normal.std() - 3) < 0.1 and len(np.unique(normal)) == len(normal)
+    orders = {tuple(Numbers(1, 4, k).permutation(3)) for k in range(100)}
+    assert len(orders) == 6
+    picks = [Numbers(1, 5, k).choice(3, 2, False, np.array([1.0, 0.0, 3.0])) for k in range(100)]
+    assert {tuple(sorted(p)) for p in picks} == {(0, 2)} and 50 < sum(p[0] == 2 for p in picks) < 95
+    assert {Numbers(1, 6, k).integers(3, 6) for k in range(60)} == {3, 4, 5}
