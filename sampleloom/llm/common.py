@@ -95,23 +95,23 @@ def components(edges: DataFrame) -> DataFrame:
     along labels; labels are nodes of the same component, so chains halve. Every round is written to the shared folder,
     and the tables of the round before are removed.
     """
-    edges = written(edges.select("u", "v").where("u != v").distinct(), "edges")
-    both = written(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
+    edges = settled(edges.select("u", "v").where("u != v").distinct(), "edges")
+    both = settled(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
     discard(edges)
-    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    labels = settled(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         # the smallest label of the neighbours also hooks the old label's node (not only the row itself)
         seen = both.join(labels.select(F.col("node").alias("v"), F.col("label").alias("near")), "v").join(labels.select(F.col("node").alias("u"), F.col("label").alias("own")), "u").where("near != own")
         hooks = seen.select(F.explode(F.array("u", "own")).alias("node"), F.least("near", "own").alias("m")).groupBy("node").agg(F.min("m").alias("m"))
-        hooks = written(hooks, "hooks")
+        hooks = settled(hooks, "hooks")
         if hooks.isEmpty():
             discard(both, hooks)
             return labels
-        first = written(labels.join(hooks, "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label")), "low")
+        first = settled(labels.join(hooks, "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label")), "low")
         low = first
         for _ in range(2):
             up = low.select(F.col("node").alias("label"), F.col("label").alias("next"))
             low = low.join(up, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-        again = written(low, "labels")
+        again = settled(low, "labels")
         discard(labels, hooks, first)
         labels = again

@@ -130,6 +130,17 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return found.withColumns({c: F.regexp_replace(F.base64(c), r"\s", "") for c in ("fingerprint", "edited_fingerprint")})
 
 
+def grouped_fingerprints(docs: DataFrame) -> DataFrame:
+    """fingerprint_documents() with each document's component_id and kept of fingerprint_groups().
+
+    Rows that share a doc_id are one document; a row without has no component and is kept.
+    """
+    found = fingerprint_documents(docs)
+    groups = fingerprint_groups(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
+    return found.join(groups, "doc_id", "left").withColumn("kept", kept)
+
+
 def _band_sketches(sets: list[np.ndarray], size: int) -> np.ndarray:
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
     return minima(np.concatenate([*sets, np.zeros(0, U)]), at, size)

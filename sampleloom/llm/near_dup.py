@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, discard, spread, written
+from .common import bounded_batches, components, discard, settled, spread
 from .shingles import U, mix, shingle_sets, sketches
 
 #: 42 bands of 6 coordinates: a pair at similarity 0.8 misses every band with probability 3e-6.
@@ -202,7 +202,7 @@ def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
     top = components(ends.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))
     joined = labels.select("node", "label").unionByName(top.select("node", F.col("node").alias("label"))).distinct()
     up = top.select(F.col("node").alias("label"), F.col("label").alias("next"))
-    return written(joined.join(up, "label", "left").groupBy("node").agg(F.min(F.coalesce("next", "label")).alias("label")), "labels")
+    return settled(joined.join(up, "label", "left").groupBy("node").agg(F.min(F.coalesce("next", "label")).alias("label")), "labels")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, sketcher=sketches) -> DataFrame:
@@ -222,14 +222,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     component_id, kept. An empty table gives no rows.
     """
     rows_in = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sk = written(spread(rows_in).mapInArrow(_sketch(width, bands, rows, sketcher), "doc_id long, n_shingles long, digest binary, keys array<long>, short binary"), "sketches")
+    sk = settled(spread(rows_in).mapInArrow(_sketch(width, bands, rows, sketcher), "doc_id long, n_shingles long, digest binary, keys array<long>, short binary"), "sketches")
     usable = sk.where("doc_id is not null and n_shingles > 0")
     classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("short").alias("short"))
-    classes = written(classes, "classes")
+    classes = settled(classes, "classes")
     members = classes.select("rep", "n", F.explode("keys").alias("bucket"))
     led = [F.min(F.struct(F.xxhash64("rep", F.lit(seed)).alias("h"), F.col("rep").alias("leader"), F.col("n").alias("ln"))).alias(f"l{seed}") for seed in (1, 2)]
-    buckets = written(members.groupBy("bucket").agg(F.count("*").alias("size"), *led).where("size > 1"), "buckets")
-    members = written(members.join(buckets, "bucket").select("bucket", "size", "rep", "n", "l1", "l2"), "members")
+    buckets = settled(members.groupBy("bucket").agg(F.count("*").alias("size"), *led).where("size > 1"), "buckets")
+    members = settled(members.join(buckets, "bucket").select("bucket", "size", "rep", "n", "l1", "l2"), "members")
     discard(buckets)
     pairs = (
         members.select("rep", "n", F.explode(F.array("l1", "l2")).alias("l"))
@@ -237,19 +237,19 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
         .select(F.least("rep", "l.leader").alias("u"), F.greatest("rep", "l.leader").alias("v"))
         .distinct()
     )
-    pairs = written(pairs, "pairs")
-    wanted = written(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    pairs = settled(pairs, "pairs")
+    wanted = settled(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     # equal rows of one doc_id give one set; only repeated ids are shuffled for it
-    often = written(rows_in.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "often")
+    often = settled(rows_in.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "often")
     once = rows_in.join(often, "doc_id", "left_anti").unionByName(rows_in.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    sets = written(once.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "rep long, shingles binary"), "sets")
+    sets = settled(once.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "rep long, shingles binary"), "sets")
     a, b = (sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"s{x}")) for x in "uv")
     confirmed = lambda p: p.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(_verify(percent), "u long, v long")
     links = confirmed(pairs)
     # rows of one doc_id with different texts are one document: it connects their classes
     texts = usable.select("doc_id", "digest", F.xxhash64("digest").alias("h"))
     several = texts.groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("doc_id")
-    several = written(texts.join(written(several, "several"), "doc_id", "left_semi").select("doc_id", "digest").distinct(), "repeated")
+    several = settled(texts.join(settled(several, "several"), "doc_id", "left_semi").select("doc_id", "digest").distinct(), "repeated")
     links = links.unionByName(several.join(classes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     labels = components(links)
     discard(pairs, wanted, often)
@@ -258,25 +258,25 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     keyed = ["bucket", "i", "j"]
     for best in (True, False):
         known = labels.select(F.col("node").alias("rep"), F.col("label").alias("comp"))
-        labelled = written(members.select("bucket", "size", "rep", "n").join(known, "rep", "left").select("bucket", "size", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "labelled")
-        open_ = written(labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"), "open")
+        labelled = settled(members.select("bucket", "size", "rep", "n").join(known, "rep", "left").select("bucket", "size", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "labelled")
+        open_ = settled(labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"), "open")
         # an unlinked pair shares few buckets, but a bucket may be open many times over: block pairs bound every task
         rest = labelled.join(open_, "bucket").join(classes.select("rep", "n", "short"), ["rep", "n"]).select("bucket", "size", "rep", "comp", "n", "short")
         rest = _dealt(rest, "size", BLOCK).repartition(n, *keyed).sortWithinPartitions(*keyed)
         if best:
-            maybe = written(rest.mapInArrow(_likely_blocks(percent, True), "u long, v long").distinct(), "maybe")
-            more = written(confirmed(maybe), "more")
+            maybe = settled(rest.mapInArrow(_likely_blocks(percent, True), "u long, v long").distinct(), "maybe")
+            more = settled(confirmed(maybe), "more")
         else:
-            maybe = written(rest.mapInArrow(_likely_blocks(percent, False), "bucket long, rep long, comp long").distinct(), "maybe")
+            maybe = settled(rest.mapInArrow(_likely_blocks(percent, False), "bucket long, rep long, comp long").distinct(), "maybe")
             sized = maybe.join(maybe.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
             rest = _dealt(sized.select("bucket", "size", "rep", "comp"), "size", SET_BLOCK).join(sets, "rep").select(*keyed, "rep", "comp", "shingles")
-            more = written(rest.repartition(n, *keyed).sortWithinPartitions(*keyed).mapInArrow(_exact_blocks(percent), "u long, v long").distinct(), "more")
+            more = settled(rest.repartition(n, *keyed).sortWithinPartitions(*keyed).mapInArrow(_exact_blocks(percent), "u long, v long").distinct(), "more")
         discard(labelled, open_, maybe)
         if not more.isEmpty():
             labels = _joined(labels, more)
         discard(more)
     discard(members)
-    final = written(classes.select("digest", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("top")), "final")
+    final = settled(classes.select("digest", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("top")), "final")
     discard(classes, sets)
     out = sk.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id"))

@@ -10,7 +10,7 @@ from .chat import CHAT_SQL, conversations, preference_examples, stale_reply_pair
 from .common import new_path, written
 from .decontaminate import DECONTAMINATE_SQL, decontaminate
 from .embeddings import VECTORS_SQL, near_duplicate_vectors
-from .fingerprints import fingerprint_documents
+from .fingerprints import grouped_fingerprints
 from .language import held_out, identify_languages
 from .mixing import MIX_SQL, mix_sources
 from .near_dup import NEAR_DUP_SQL, near_duplicates
@@ -88,7 +88,7 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_documents(table(spark, sf_dir, "documents"))
+    return grouped_fingerprints(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {

@@ -204,6 +204,13 @@ def test_fingerprint_groups(spark):
     assert got == want and got[1] == got[4] == 0 != got[2]
 
 
+def test_grouped_fingerprints(spark):
+    rows = [(1, "a b c d e f g"), (2, "A b c d e f g"), (2, "A b c d e f g"), (3, "x"), (None, "x"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", fingerprints.F.lit(0))
+    got = sorted(((r.doc_id, r.component_id, r.kept, r.n_chars) for r in fingerprints.grouped_fingerprints(df).collect()), key=str)
+    assert got == sorted([(1, 1, True, 13), (2, 1, False, 13), (2, 1, False, 13), (3, 3, True, 1), (None, None, True, 1), (4, 4, True, 0)], key=str)
+
+
 def _unmix(x):
     """The inverse of shingles.mix, on whole numbers."""
     m = 2**64 - 1
