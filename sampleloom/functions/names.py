@@ -49,3 +49,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def remove_path(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Gives a folder its final name, in one step where the file system can."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(source)
+    if not at.getFileSystem(conf).rename(at, jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"{source} can't be moved to {target}")

@@ -70,10 +70,10 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _write_header(spark: SparkSession, path: str, header: DatasetMetadata | bytes) -> None:
-    _put(spark, path, "_header.json", header if isinstance(header, bytes) else header.to_json().encode())
+    put_bytes(spark, path, "_header.json", header if isinstance(header, bytes) else header.to_json().encode())
 
 
-def _put(spark: SparkSession, path: str, name: str, raw: bytes) -> None:
+def put_bytes(spark: SparkSession, path: str, name: str, raw: bytes) -> None:
     at, fs = _fs(spark, f"{path}/{name}")
     out = fs.create(at, True)
     out.write(bytearray(raw))
@@ -90,7 +90,7 @@ def _write_rows(out: DataFrame, path: str, mode: str = "errorifexists", compress
     counted.write.mode(mode).option("compression", compression).option("parquet.bloom.filter.enabled#sample_id", "true").parquet(path)
     files = spark.read.parquet(path).groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).agg(F.min("row_idx").alias("first"), F.max("row_idx").alias("last"))
     manifest = dict(seen.get) | {"files": _files(spark, path), "ranges": [[r.file, r.first, r.last] for r in files.orderBy("first").toLocalIterator()]}
-    _put(spark, path, "_manifest.json", json.dumps(manifest).encode())
+    put_bytes(spark, path, "_manifest.json", json.dumps(manifest).encode())
     return manifest
 
 
@@ -101,7 +101,7 @@ def _files(spark: SparkSession, path: str) -> list[str]:
 
 def read_manifest(spark: SparkSession, path: str) -> dict | None:
     """A dataset's manifest, or None where there is none for just the files that are there."""
-    raw = _get(spark, path, "_manifest.json")
+    raw = get_bytes(spark, path, "_manifest.json")
     found = json.loads(raw) if raw else None
     return found if found and found["files"] == _files(spark, path) else None
 
@@ -114,15 +114,15 @@ def files_of(manifest: dict, indices: Sequence[int]) -> list[str]:
 
 def _write_types(spark: SparkSession, path: str, data, label=None) -> None:
     """The numpy types of samples and labels, which Spark's element types don't tell all of (unsigned, half)."""
-    _put(spark, path, "_types.json", json.dumps({"data": np.dtype(data).name, "label": None if label is None else np.dtype(label).name}).encode())
+    put_bytes(spark, path, "_types.json", json.dumps({"data": np.dtype(data).name, "label": None if label is None else np.dtype(label).name}).encode())
 
 
 def read_types(spark: SparkSession, path: str) -> dict[str, str | None]:
-    raw = _get(spark, path, "_types.json")
+    raw = get_bytes(spark, path, "_types.json")
     return json.loads(raw) if raw else {"data": None, "label": None}
 
 
-def _get(spark: SparkSession, path: str, name: str) -> bytes | None:
+def get_bytes(spark: SparkSession, path: str, name: str) -> bytes | None:
     at, fs = _fs(spark, f"{path}/{name}")
     if not fs.exists(at):
         return None
@@ -134,7 +134,7 @@ def _get(spark: SparkSession, path: str, name: str) -> bytes | None:
 
 
 def read_header(spark: SparkSession, path: str) -> bytes | None:
-    return _get(spark, path, "_header.json")
+    return get_bytes(spark, path, "_header.json")
 
 
 def _lists(x: np.ndarray) -> pa.Array:

@@ -39,7 +39,7 @@ def fit_image(x: np.ndarray, target: int | tuple[int, int], *, randomized_crop:
     return x[top:bottom, left:right]
 
 
-def read_images(spark: SparkSession, path: str, target: int | tuple[int, int], *, reader: dict | None = None, seed: int = 0, **options) -> DataFrame:
+def read_images(spark: SparkSession, path: str | list[str], target: int | tuple[int, int], *, reader: dict | None = None, seed: int = 0, **options) -> DataFrame:
     """Rows IMAGE of the images at path (RGB, rows from the top); those that fail have an error and no data.
 
     Random crops depend on seed and file name only.
@@ -109,7 +109,7 @@ def audio_samples(content: Column, name: Column, target_length: int, *, seed: in
     return load(content, name)
 
 
-def read_audio(spark: SparkSession, path: str, target_length: int, *, reader: dict | None = None, seed: int = 0, **options) -> DataFrame:
+def read_audio(spark: SparkSession, path: str | list[str], target_length: int, *, reader: dict | None = None, seed: int = 0, **options) -> DataFrame:
     """Rows (path, data, error) of the WAV and FLAC files at path. Random slices depend on seed and file name only."""
     files = spark.read.format("binaryFile").options(**reader or {}).load(path).select("path", "content")
     return files.withColumn("r", audio_samples(F.col("content"), F.col("path"), target_length, seed=seed, **options)).select("path", "r.data", "r.error")

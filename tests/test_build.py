@@ -2,6 +2,7 @@
 
 import json
 import wave
+from pathlib import Path
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,7 @@ from sampleloom.functions import support as U
 from sampleloom.operators import selection as S
 from sampleloom.operators.dataset import Dataset, DatasetMetadata, create_dataset, create_dataset_from_arrays
 from sampleloom.plans import transforms as T
+from sampleloom.sources.audio import write_wav
 from sampleloom.sources.media import fit_image
 
 
@@ -158,3 +160,44 @@ def test_build_splits(spark, tmp_path):
     assert again == {"train": 6}
     with pytest.raises(ValueError):
         build_splits(spark, "audio", f"file://{folder}", f"file://{tmp_path}/more", **options | {"sizes": [7]})
+
+
+class Counted:
+    """A resampler that counts what it decodes, and fails on one length as long as a file isn't there."""
+
+    def __init__(self, seen, key):
+        self.seen, self.key = seen, key
+
+    def __call__(self, x, rate, to):
+        if len(x) == 52 and not Path(self.key).exists():
+            raise RuntimeError("the driver is lost here")
+        self.seen.add(1)
+        return x
+
+    def __str__(self):
+        return "counted"
+
+
+def test_build_decodes_once_and_goes_on(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k in range(8):
+        (folder / f"{k}.wav").write_bytes(write_wav(np.arange(50 * k, 50 * k + 50 + k, dtype=np.int16)[:, None], 8000))
+    seen, key = spark.sparkContext.accumulator(0), tmp_path / "key"
+    options = {"extensions": ["wav"], "target": [20], "sizes": [2, 2, 2], "batch": 2, "resample": Counted(seen, str(key)), "random_slice": False}
+    with pytest.raises(Exception, match="lost here"):
+        build_splits(spark, "audio", f"file://{folder}", f"file://{tmp_path}/out", **options)
+    assert not list(tmp_path.glob("out/dataset_*"))
+    once = seen.value
+    key.write_text("")
+    assert build_splits(spark, "audio", f"file://{folder}", f"file://{tmp_path}/out", **options) == {"train": 2, "valid": 2, "test": 2}
+    assert once in (4, 5) and seen.value - once == 2  # finished batches are not decoded again
+    for n, name in enumerate(("train", "valid", "test")):
+        d = Dataset(spark, f"file://{tmp_path}/out/dataset_{name}", ignore_header=False)
+        assert [int(d[k][0][0, 0]) for k in (0, 1)] == [100 * n, 100 * n + 50] and len(d) == 2
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["dataset_test", "dataset_train", "dataset_valid"]
+    with pytest.raises(FileExistsError):
+        build_splits(spark, "audio", f"file://{folder}", f"file://{tmp_path}/out", **options)
+    before = seen.value
+    build_splits(spark, "audio", f"file://{folder}", f"file://{tmp_path}/again", **options)
+    assert seen.value - before == 6  # each chosen file once, the two others never
