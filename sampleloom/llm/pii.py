@@ -46,6 +46,16 @@ _CONTEXT = re.compile(r"(?i)token|secret|passw|api|key|auth|bearer|phone|tel\b|c
 _NOT = re.compile(r"(?i)order|isbn|version|invoice|sku|part|serial|build|commit|sha|page|http|www|/")
 
 
+# What issuers begin their keys with.
+_ISSUED = re.compile(r"(?:AKIA|ASIA|AIza|gh[opsu]_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-)[A-Za-z0-9]")
+
+
+def iban(text: str) -> bool:
+    """Whether the check digits of an account number hold: the country and they go to the end, letters count from 10, the rest modulo 97 is 1."""
+    s = text.replace(" ", "")
+    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
 def luhn(digits: str) -> bool:
     odd, even = digits[-1::-2], digits[-2::-2]
     return (sum(map(int, odd)) + sum((0, 2, 4, 6, 8, 1, 3, 5, 7, 9)[int(d)] for d in even)) % 10 == 0
@@ -92,7 +102,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-FEATURES = 16
+FEATURES = 18
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -106,7 +116,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(KINDS.index(kind)), float(min(len(s), 100)), float(len(digits)), len(digits) / len(s), entropy, len(seen) / len(s),
         sum(c in "0123456789abcdef" for c in s) / len(s), sum(c.isupper() for c in s) / len(s), float(sum(c in " .-()/_" for c in s)),
         float(len(digits) >= 12 and luhn("".join(digits))), float(bool(_CONTEXT.search(before))), float(bool(_NOT.search(before))),
-        float(near in "=:\"'" and near != ""), float(after[:1].isalnum()), float(sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:], strict=False))), float(near in ".,;$€#"[:6] and near != ""),
+        float(near in "=:\"'" and near != ""), float(after[:1].isalnum()), float(sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:], strict=False))), float(near in ".,;$€#"[:6] and near != ""), float(kind == "iban" and iban(s)), float(bool(_ISSUED.match(s))),
     ]
 
 
@@ -126,27 +136,39 @@ def training_spans(rows: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     def word() -> str:
         return some(low, int(rng.integers(2, 9)))
 
+    def account(country: str) -> str:
+        body = digit(18)
+        check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+        s = f"{country}{check:02d}{body}"
+        return " ".join(s[k : k + 4] for k in range(0, len(s), 4)) if rng.random() < 0.6 else s
+
+    def key() -> str:
+        return pick(["AKIA", "ASIA"]) + some(low.upper() + "0123456789", 16) if rng.random() < 0.5 else pick(["ghp_", "gho_", "xoxb-", "AIza", "glpat-", "sk-"]) + some(full, int(rng.integers(20, 40)))
+
     good = {
         "email": (lambda: f"{word()} [at] {word()} [dot] {pick(['com', 'org', 'net'])}", ["contact ", "mail me: ", "write to "]),
         "phone": (lambda: f"({digit(3)}) {digit(3)}-{digit(4)}" if rng.random() < 0.5 else f"{digit(3)}-{digit(3)}-{digit(4)}", ["phone ", "call ", "tel ", "mobile: ", "reach me at "]),
         "ssn": (lambda: f"{digit(3)}-{digit(2)}-{digit(4)}", ["ssn ", "social security: ", "my ssn is "]),
-        "iban": (lambda: f"{pick(['DE', 'FR', 'ES', 'GB'])}{digit(2)} {digit(4)} {digit(4)} {digit(4)} {digit(4)}", ["iban ", "account: ", "pay to "]),
+        "iban": (lambda: account(pick(["DE", "FR", "ES", "GB"])), ["iban ", "account: ", "pay to ", "", "see ", "number "]),
         "card": (lambda: (c := card())[:4] + "." + c[4:8] + "." + c[8:12] + "." + c[12:], ["card ", "visa: ", "charged to card "]),
         "secret": (lambda: some(hexes, int(pick([32, 40, 64]))) if rng.random() < 0.6 else some(full, int(rng.integers(20, 64))), ['token = "', "api_key=", "secret: ", "Bearer ", 'password: "', "key = "]),
+        "key": (key, ["", "see ", "page ", "key = ", "commit ", "token: "]),
     }
     bad = {
         "email": (lambda: f"{word()} (at) {word()} . {word()}", ["f", "vector ", "look "]),
         "phone": (lambda: f"{digit(3)}.{digit(3)}.{digit(4)}", ["version ", "order ", "part ", "serial "]),
-        "ssn": (lambda: f"{digit(3)}-{digit(2)}-{digit(4)}", ["isbn ", "part ", "order ", "sku "]),
-        "iban": (lambda: f"{some(low.upper(), 2)}{digit(2)} {some(low.upper(), 4)} {some(low.upper(), 4)}", ["serial ", "build ", "plate "]),
+        "ssn": (lambda: f"{digit(3)}-{digit(2)}-{digit(4)}", ["isbn ", "part ", "order ", "sku ", "", "see ", "code ", "on "]),
+        "iban": (lambda: f"{some(low.upper(), 2)}{digit(2)} {some(low.upper(), 4)} {some(low.upper(), 4)}" if rng.random() < 0.4 else next(x for x in iter(lambda: f"{pick(['DE', 'FR', 'XK'])}{digit(20)}", "") if not iban(x)), ["serial ", "build ", "plate ", "iban ", "account: ", ""]),
         "card": (lambda: digit(16), ["order ", "invoice ", "", "value ", "number "]),
         "secret": (lambda: pick([word() + word() + word() + digit(1), f"{word()}-{word()}-{word()}-{digit(2)}", f"{word()}/{word()}/{word()}{digit(1)}", "=" * 16 + digit(1), digit(20), f"{word()}_{word()}_{digit(4)}_{word()}"]).ljust(16, "a"), ["", "http ", "page ", "see ", "commit ", "www ", "sha "]),
+        "key": (lambda: pick(["AKIB", "ghx-", "sk_", "xox"]) + "-".join(word() for _ in range(4)) + digit(1), ["", "see ", "page ", "commit "]),
     }
     x, y = [], []
     for _ in range(rows):
         true = bool(rng.random() < 0.5)
         kind = pick(list(good))
         make, contexts = (good if true else bad)[kind]
+        kind = "secret" if kind == "key" else kind  # a key tells itself by how it begins
         lead = " ".join(word() for _ in range(int(rng.integers(0, 5)))) + " " + pick(contexts)
         s = make()
         x.append(features(lead + s + pick([" ", ".", '"', " " + word()]), kind, len(lead), len(lead) + len(s)))
@@ -227,23 +249,31 @@ def fitted(rows: int = 1600, precision: float = 0.99) -> tuple[BoostedTrees, dic
     return model, limit
 
 
+def _holds(spans: list[tuple[str, int, int]], starts: list[int], c: tuple[str, int, int]) -> bool:
+    """Whether a candidate holds every base span that it touches."""
+    return all(c[1] <= s and e <= c[2] for _, s, e in spans[: bisect_left(starts, c[2])] if e > c[1])
+
+
 def find_spans(texts: list[str | None], detector: tuple[BoostedTrees, dict[str, float]] | None = None) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
-    """(base spans, all spans) of each text: added spans are judged likely and overlap no base span or better one.
+    """(base spans, all spans) of each text: added spans are judged likely and overlap no base span or better one. Only an account number
+    whose check digits hold may go over base spans, if it holds them whole, as it does a card number that its digits happen to give.
 
-    Of overlapping likely spans the likeliest stays; ties go to the kind that sorts first, then the earlier and shorter span.
+    Of overlapping likely spans an account number with check digits that hold stays, else the likeliest; ties go to the kind that sorts first, then the earlier and shorter span.
     """
     model, limit = detector or fitted()
     base = [base_spans(t) if t else [] for t in texts]
     asked = [(k, c) for k, t in enumerate(texts) if t for c in candidates(t)]
     starts = [[s for _, s, _ in spans] for spans in base]
     ends = [list(accumulate((e for _, _, e in spans), max)) for spans in base]
-    asked = [(k, c) for k, c in asked if not (n := bisect_left(starts[k], c[2])) or ends[k][n - 1] <= c[1]]
+    apart = lambda k, c: not (n := bisect_left(starts[k], c[2])) or ends[k][n - 1] <= c[1]
+    asked = [(k, c) for k, c in asked if apart(k, c) or (c[0] == "iban" and iban(texts[k][c[1] : c[2]]) and _holds(base[k], starts[k], c))]
     added: dict[int, list[tuple[float, str, int, int]]] = {}
     if asked:
         p = model.probability(np.array([features(texts[k], *c) for k, c in asked]))
         for (k, c), q in zip(asked, p.tolist(), strict=True):
             if q >= limit[c[0]]:
-                added.setdefault(k, []).append((-q, *c))
+                checked = c[0] == "iban" and iban(texts[k][c[1] : c[2]])
+                added.setdefault(k, []).append((-q - checked, *c))
     out = []
     for k, spans in enumerate(base):
         every = list(spans)

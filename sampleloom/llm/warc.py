@@ -23,7 +23,7 @@ from .common import bounded_batches, new_path, written
 FILE_BYTES = 256 << 20
 #: Rows of one payload beyond which they are joined with their group's response apart from all others, and such payloads
 #: that are broadcast at most.
-HOT_ROWS, MOST_HOT = 100_000, 10_000
+HOT_ROWS, MOST_HOT, SALTS = 100_000, 10_000, 64
 _READ = 1 << 20
 _VERSION = b"WARC/1."
 _GZIP = b"\x1f\x8b\x08"
@@ -370,9 +370,15 @@ def write_archives(pages: DataFrame, *, least_bytes: int = 0, path: str | None =
     if not (few := hot.count()):
         rows = base.join(firsts.select("sha", "first"), "sha", "left")
     else:
-        hot = F.broadcast(hot) if few <= MOST_HOT else hot
+        on = ["sha"]
+        if few <= MOST_HOT:
+            hot = F.broadcast(hot)
+        else:  # too many to broadcast: each hot payload's rows go to SALTS places
+            on = ["sha", "salt"]
+            hot = hot.select("sha", "hot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+            base = base.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
         key = F.when(F.col("hot").isNull(), F.col("sha")).otherwise(F.concat(F.lit("#"), F.xxhash64("page_id", "url").cast("string")))
-        rows = base.join(hot, "sha", "left").withColumn("sha", key).join(firsts.where(F.col("n") <= HOT_ROWS).select("sha", "first"), "sha", "left").withColumn("first", F.coalesce("hot", "first"))
+        rows = base.join(hot, on, "left").withColumn("sha", key).join(firsts.where(F.col("n") <= HOT_ROWS).select("sha", "first"), "sha", "left").withColumn("first", F.coalesce("hot", "first"))
     rows = rows.select("page_id", "url", "payload", refers.alias("refers_to"))
     folder = path or new_path(spark, "warc")
     file_system, at = opened(folder)
