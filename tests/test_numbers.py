@@ -17,7 +17,7 @@ from sampleloom.operators import stats as W
 from sampleloom.operators.dataset import Dataset, DatasetMetadata, create_dataset, create_dataset_from_arrays, files_of, read_manifest
 from sampleloom.operators.training import EarlyStopping, early_stopping
 from sampleloom.plans import transforms as T
-from sampleloom.streaming.incremental import stop_signals
+from sampleloom.streaming.incremental import ordered_stop_signals, stop_signals
 
 REPO = Path(__file__).resolve().parents[1]
 NAN = float("nan")
@@ -258,3 +258,17 @@ def test_numbers_are_spread():
     picks = [Numbers(1, 5, k).choice(3, 2, False, np.array([1.0, 0.0, 3.0])) for k in range(100)]
     assert {tuple(sorted(p)) for p in picks} == {(0, 2)} and 50 < sum(p[0] == 2 for p in picks) < 95
     assert {Numbers(1, 6, k).integers(3, 6) for k in range(60)} == {3, 4, 5}
+
+
+def test_shuffled_steps_give_the_batch_result(spark, tmp_path):
+    data = [(str(s), k, v) for s, losses in enumerate(LOSSES) for k, v in enumerate(losses)] + [("0", 1, NAN), ("0", 99, None), ("0", -1, 0.0)]
+    np.random.default_rng(8).shuffle(order := list(range(len(data))))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = []
+    for n in range(3):
+        spark.createDataFrame([data[k] for k in order[n::3]], "series string, step long, loss double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("series string, step long, loss double").parquet(f"{tmp_path}/in")
+        query = ordered_stop_signals(stream, "series", "step", "loss", patience=2).writeStream.outputMode("append").foreachBatch(lambda b, _: out.extend((r.series, r.step, r.counter, r.stop) for r in b.collect()))
+        query.option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert sorted(out) == sorted((str(s), k, *x) for s, losses in enumerate(LOSSES) for k, x in enumerate(stepwise(losses, 2)))
