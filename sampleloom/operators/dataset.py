@@ -294,6 +294,14 @@ class MetaStore:
         """
         return decoded(self.view, schema, self.header)
 
+    def values(self, **paths: tuple[str, str]) -> DataFrame:
+        """Rows (view_idx, sample_id, and a column for each name) of JSON metadata of any form: name=(path, type), as ("$.size[0]", "int").
+
+        Each row's JSON becomes a VARIANT once, without a schema, and stays in Catalyst; what a row lacks or doesn't convert is null.
+        """
+        meta = self.view.select("view_idx", "sample_id", F.try_parse_json(F.col("sample_meta").cast("string")).alias("meta"))
+        return meta.select("view_idx", "sample_id", *[F.try_variant_get("meta", path, kind).alias(name) for name, (path, kind) in paths.items()])
+
     def decoded_by(self, kind: str) -> DataFrame:
         """Rows (view_idx, sample_id, meta) that the store's own decoder gives in the executors, as values of a Spark type."""
         decode, header = self.decoder, self.header

@@ -206,6 +206,12 @@ def meta_decode(spark, sf):
     return store.decoded_by("int").select("sample_id", F.col("meta").alias("k"))
 
 
+@query("SELECT CAST(event_id AS VARCHAR) AS sample_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, CAST(json_extract(props, '$.none.k') AS VARCHAR) AS missing FROM events")
+def meta_values(spark, sf):
+    """Metadata read by paths, without a schema."""
+    return events_dataset(spark, sf).meta.values(k=("$.k", "int"), missing=("$.none.k", "string")).drop("view_idx")
+
+
 @query("SELECT CAST(event_id AS VARCHAR) AS sample_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, 'events' AS name, 'train' AS split FROM events")
 def meta_resolve(spark, sf):
     """JSON decoded natively and resolved against id and header."""

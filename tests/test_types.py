@@ -127,3 +127,12 @@ def test_no_folder_of_the_drivers_own_on_a_cluster():
         shared_folder(Session())
     Session.sparkContext.master = "local[2]"
     assert shared_folder(Session()).startswith("file:///")
+
+
+def test_metadata_by_paths(spark, tmp_path):
+    path = f"file://{tmp_path}/d"
+    metas = [{"a": {"b": [1, 2]}}, {"a": "text"}, {"a": {"b": ["x"]}}, None]
+    create_dataset_from_arrays(spark, path, data=np.zeros((4, 1)), sample_ids=list("wxyz"), sample_meta=metas, encoder=lambda m: b"{broken" if m is None else json.dumps(m).encode())
+    found = Dataset(spark, path, meta_decoder=lambda raw, _: raw).meta.values(b=("$.a.b[0]", "int"), a=("$.a", "string")).orderBy("view_idx")
+    assert [tuple(r) for r in found.collect()] == [(0, "w", 1, '{"b":[1,2]}'), (1, "x", None, "text"), (2, "y", None, '{"b":["x"]}'), (3, "z", None, None)]
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
