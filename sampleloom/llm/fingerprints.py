@@ -135,8 +135,9 @@ def grouped_fingerprints(docs: DataFrame) -> DataFrame:
 
     Rows that share a doc_id are one document; a row without has no component and is kept.
     """
-    found = fingerprint_documents(docs)
     groups = fingerprint_groups(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    groups = settled(groups, "groups")  # small: what led to it is gone before texts are dealt
+    found = fingerprint_documents(docs)
     kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
     return found.join(groups, "doc_id", "left").withColumn("kept", kept)
 

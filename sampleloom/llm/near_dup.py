@@ -226,6 +226,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     usable = sk.where("doc_id is not null and n_shingles > 0")
     classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("short").alias("short"))
     classes = settled(classes, "classes")
+    wide, sk = sk, settled(sk.select("doc_id", "n_shingles", "digest"), "digests")  # classes have the sketches now
+    usable = sk.where("doc_id is not null and n_shingles > 0")
+    discard(wide)
     members = classes.select("rep", "n", F.explode("keys").alias("bucket"))
     led = [F.min(F.struct(F.xxhash64("rep", F.lit(seed)).alias("h"), F.col("rep").alias("leader"), F.col("n").alias("ln"))).alias(f"l{seed}") for seed in (1, 2)]
     buckets = settled(members.groupBy("bucket").agg(F.count("*").alias("size"), *led).where("size > 1"), "buckets")
