@@ -13,7 +13,7 @@ import sampleloom.queries as Q
 REPO, DATA = Path(__file__).resolve().parents[1], "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["welford_merge_shards", "normalized_label_profile", "pad_reflect", "compose_chain", "early_stopping_windows", "collate_batches", "fft_shift", "low_pass_steep"])
+@pytest.mark.parametrize("name", ["welford_merge_shards", "normalized_label_profile", "pad_reflect", "compose_chain", "early_stopping_windows", "collate_batches", "fft_shift", "low_pass_steep", "welford_offset", "welford_tensor", "early_stopping_nan", "row_axis_blocks", "color_jitter_contrast", "color_jitter_hue", "rgb_to_hsv", "rotate_30", "jpeg_gray", "audio_flac", "audio_float_wav", "meta_values"])
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in ("embeddings", "events", "documents"):
