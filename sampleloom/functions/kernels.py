@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from . import linear as L
+
 
 def fft(x: np.ndarray, dims: tuple[int, ...], shift: bool = False, log: bool = False, eps: float = 1e-12) -> np.ndarray:
     """Discrete Fourier transform over dims; centred if shift; log magnitudes if log."""
@@ -12,74 +14,54 @@ def fft(x: np.ndarray, dims: tuple[int, ...], shift: bool = False, log: bool = F
     return np.log(np.abs(y) + eps) if log else y
 
 
+def mapped(x: np.ndarray, maps: list[L.AxisMap]) -> np.ndarray:
+    """Linear maps one after the other on one sample, in double precision."""
+    y = np.asarray(x, float)[None]
+    for m in maps:
+        y = m.apply(y)
+    return y[0]
+
+
 def dct(x: np.ndarray, dims: tuple[int, ...], log: bool = True, eps: float = 1e-12) -> np.ndarray:
     """Unnormalised DCT-II over dims; log magnitudes by default."""
-    y = np.asarray(x, float)
-    for d in dims:
-        n = y.shape[d]
-        k = np.arange(n)
-        basis = 2 * np.cos(np.pi * k[:, None] * (2 * k[None, :] + 1) / (2 * n))
-        y = np.moveaxis(np.tensordot(basis, y, (1, d)), 0, d)
+    y = mapped(x, [L.cosine(d % np.ndim(x), np.shape(x)[d]) for d in dims])
     return np.log(np.abs(y) + eps) if log else y
 
 
 def gaussian_blur(x: np.ndarray, dims: tuple[int, ...], sigma: float, radius: int = 4) -> np.ndarray:
     """Separable blur of a fixed radius; the border is mirrored including its own sample."""
-    k = np.arange(-radius, radius + 1)
-    w = np.exp(-(k**2) / (2 * sigma**2))
-    w /= w.sum()
-    y = np.asarray(x, float)
-    for d in dims:
-        n = y.shape[d]
-        at = np.arange(n)[:, None] + k[None, :]
-        at = np.mod(at, 2 * n)
-        at = np.where(at >= n, 2 * n - 1 - at, at)
-        y = np.moveaxis(np.einsum("...nk,k->...n", np.moveaxis(y, d, -1)[..., at], w), -1, d)
-    return y.astype(x.dtype)
+    return mapped(x, blur_maps(x.shape, dims, sigma, radius)).astype(x.dtype)
 
 
-def _linear(x: np.ndarray, dim: int, size: int) -> np.ndarray:
-    n = x.shape[dim]
-    at = np.arange(size) * ((n - 1) / (size - 1)) if size > 1 else np.zeros(1)
-    low = np.minimum(np.floor(at).astype(int), n - 1)
-    high, part = np.minimum(low + 1, n - 1), at - low
-    y = np.moveaxis(x, dim, -1)
-    return np.moveaxis(y[..., low] * (1 - part) + y[..., high] * part, -1, dim)
+def blur_maps(shape: tuple[int, ...], dims: tuple[int, ...], sigma: float, radius: int) -> list[L.AxisMap]:
+    return [L.blur(d % len(shape), shape[d], sigma, radius) for d in dims]
 
 
-def resize_round_trip(x: np.ndarray, dims: tuple[int, ...], scale: float) -> np.ndarray:
-    """Linear resize of dims to round(scale * n), 1 at least, and back; the ends of the axis stay."""
+def resize_maps(shape: tuple[int, ...], dims: tuple[int, ...], scale: float) -> list[L.AxisMap]:
     if scale <= 0:
         raise ValueError("the scale must be above 0")
-    y = np.asarray(x, float)
-    for d in dims:
-        y = _linear(y, d, max(1, round(x.shape[d] * scale)))
-    for d in dims:
-        y = _linear(y, d, x.shape[d])
-    return _as(y, x.dtype)
+    size = {d: max(1, round(shape[d] * scale)) for d in dims}
+    there = [L.resize(d % len(shape), shape[d], size[d]) for d in dims]
+    return there + [L.resize(d % len(shape), size[d], shape[d]) for d in dims]
+
+
+def resize_round_trip(x: np.ndarray, dims: tuple[int, ...], scale: float) -> np.ndarray:
+    """Linear resize of dims to round(scale * n), 1 at least, and back; the ends of the axis stay."""
+    return _as(mapped(x, resize_maps(x.shape, dims, scale)), x.dtype)
 
 
 def _as(y: np.ndarray, dtype: np.dtype) -> np.ndarray:
     return np.rint(y).astype(dtype) if np.issubdtype(dtype, np.integer) else y.astype(dtype)
 
 
+def turn_map(shape: tuple[int, ...], dims: tuple[int, int], degrees: float, fill: float) -> L.AxisMap:
+    a, b = sorted(d % len(shape) for d in dims)
+    return L.turn((a, b), shape[a], shape[b], degrees, fill)
+
+
 def rotate(x: np.ndarray, dims: tuple[int, int], degrees: float, fill: float = 0.0) -> np.ndarray:
     """Rotation in the plane of dims about its centre, same shape; bilinear, `fill` outside."""
-    a, b = sorted(d % x.ndim for d in dims)
-    y = np.moveaxis(np.asarray(x, float), (a, b), (-2, -1))
-    h, w = y.shape[-2:]
-    t = np.deg2rad(degrees)
-    r, c = np.meshgrid(np.arange(h) - (h - 1) / 2, np.arange(w) - (w - 1) / 2, indexing="ij")
-    r, c = np.cos(t) * r + np.sin(t) * c + (h - 1) / 2, -np.sin(t) * r + np.cos(t) * c + (w - 1) / 2
-    r, c = np.where(np.abs(r - np.rint(r)) < 1e-9, np.rint(r), r), np.where(np.abs(c - np.rint(c)) < 1e-9, np.rint(c), c)
-    r0, c0 = np.floor(r).astype(int), np.floor(c).astype(int)
-    out = np.zeros_like(y)
-    for dr in (0, 1):
-        for dc in (0, 1):
-            weight = (1 - np.abs(r - r0 - dr)) * (1 - np.abs(c - c0 - dc))
-            out += weight * y[..., np.clip(r0 + dr, 0, h - 1), np.clip(c0 + dc, 0, w - 1)]
-    inside = (r >= 0) & (r <= h - 1) & (c >= 0) & (c <= w - 1)
-    return _as(np.moveaxis(np.where(inside, out, fill), (-2, -1), (a, b)), x.dtype)
+    return _as(mapped(x, [turn_map(x.shape, dims, degrees, fill)]), x.dtype)
 
 
 # The luminance and chrominance quantisation tables of JPEG, Annex K.

@@ -1,4 +1,4 @@
-"""Transforms as immutable plans on a tensor column: index maps fuse into one gather, numeric kernels into one Arrow UDF."""
+"""Transforms as immutable plans on a tensor column: index maps fuse into one gather, linear ops into one map a dim, numeric kernels into one Arrow UDF."""
 
 from __future__ import annotations
 
@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..functions import linear as L
 from ..functions.draws import Draw, Numbers
 
 #: The longest index map that goes into a plan as literals; longer ones run as kernels, which draw the same numbers.
 LITERAL_INDEX = 4096
+#: The most terms of a linear map that go into a plan; others run as kernels, which sum the same terms in the same order.
+TERMS = 1024
 #: Elements of the samples that are stacked at a time in a Python worker, about; one sample at least.
 STACK = 1 << 20
 Shape = tuple[int, ...]
@@ -64,6 +67,10 @@ class Op:
         """For moves only: where each output element comes from, -1 for fill."""
         return None
 
+    def linear(self, shape: Shape) -> list[L.AxisMap] | None:
+        """The op on floats as linear maps along dims, one after the other, if it is that."""
+        return None
+
     def result(self, dtype: str) -> str:
         """The numpy type of the output for that of the input: the same, unless the op says otherwise."""
         return dtype
@@ -125,14 +132,33 @@ def _all(x) -> tuple:
     return tuple(x) if isinstance(x, Sequence) else (x,)
 
 
+@dataclass(frozen=True)
+class _AlongDims(Move):
+    """A move that goes along each of its dims whatever the others are."""
+
+    def linear(self, shape):
+        maps = []
+        for d in sorted({d % len(shape) for d in _all(self.dim)}):
+            n = shape[d]
+            at = np.broadcast_to(np.arange(n).reshape([n if k == d else 1 for k in range(len(shape))]), shape)
+            line = np.moveaxis(self.move(at, -1), d, 0).reshape(-1, math.prod(self.shape(shape)) // self.shape(shape)[d]) if math.prod(self.shape(shape)) else None
+            if line is None:
+                return None
+            maps.append(L.taken(d, line.max(axis=1), self.fill))  # where other dims are filled, all is -1
+        return maps
+
+
 @dataclass(frozen=True)
 class NoTransform(Move):
     def move(self, x, fill):
         return x
 
+    def linear(self, shape):
+        return []
+
 
 @dataclass(frozen=True)
-class Flip(Move):
+class Flip(_AlongDims):
     dim: int | tuple[int, ...]
 
     def move(self, x, fill):
@@ -165,7 +191,7 @@ class Rotate90(Move):
 
 
 @dataclass(frozen=True)
-class Pad(Move):
+class Pad(_AlongDims):
     """Grows dims to target sizes, the smaller half in front; never crops."""
 
     size: int | tuple[int, ...]
@@ -211,7 +237,7 @@ def _crop(x: np.ndarray, dims: tuple, sizes: tuple, start: Callable[[int], int])
 
 
 @dataclass(frozen=True)
-class CenterCrop(Move):
+class CenterCrop(_AlongDims):
     dim: int | tuple[int, ...]
     size: int | tuple[int, ...]
 
@@ -229,6 +255,9 @@ class _Random(Op):
     def index(self, shape):
         return self.calm().index(shape) if self.train is False and self.calm() else None
 
+    def linear(self, shape):
+        return self.calm().linear(shape) if self.train is False and self.calm() else None
+
     def shape(self, shape):
         return self.calm().shape(shape) if self.calm() else super().shape(shape)
 
@@ -260,7 +289,7 @@ class RandomCrop(_Random):
 
 
 @dataclass(frozen=True)
-class _SliceStart(Move):
+class _SliceStart(_AlongDims):
     size: int
     dim: int = -1
 
@@ -378,6 +407,9 @@ class RotateAnyDegree(Op):
         if not 0 <= self.angle < 360:
             raise ValueError("the angle lies in [0, 360)")
 
+    def linear(self, shape):
+        return [K.turn_map(shape, self.dim, self.angle, self.fill_value)]
+
     def kernel(self, x, random):
         return K.rotate(x, self.dim, self.angle, self.fill_value)
 
@@ -437,6 +469,9 @@ class GaussianBlur(Op):
     sigma: float | tuple[float, float] = 1.0
     radius: int = 4
 
+    def linear(self, shape):
+        return None if isinstance(self.sigma, Sequence) else K.blur_maps(shape, _all(self.dim), float(self.sigma), self.radius)
+
     def kernel(self, x, random):
         return K.gaussian_blur(x, _all(self.dim), _between(self.sigma, random), self.radius)
 
@@ -448,6 +483,9 @@ class ResizeRoundTrip(Op):
     dim: int | tuple[int, ...]
     scale: float
 
+    def linear(self, shape):
+        return K.resize_maps(shape, _all(self.dim), self.scale)
+
     def kernel(self, x, random):
         return K.resize_round_trip(x, _all(self.dim), self.scale)
 
@@ -626,6 +664,9 @@ class DCT(Op):
     def result(self, dtype):
         return "float64"
 
+    def linear(self, shape):
+        return None if self.log else [L.cosine(d % len(shape), shape[d]) for d in self.dim]
+
     def kernel(self, x, random):
         return K.dct(x, self.dim, self.log, self.eps)
 
@@ -820,6 +861,57 @@ class RandomChoices(_Random):
         return x
 
 
+@dataclass(frozen=True, eq=False)
+class _Linear(Op):
+    """A run of linear ops on floats as few maps; computed in double precision and rounded to the samples' type once."""
+
+    draws = False
+
+    maps: tuple[L.AxisMap, ...]
+    ops: tuple[Op, ...]
+
+    def shape(self, shape):
+        return Compose(self.ops).shape(shape)
+
+    def result(self, dtype):
+        return Compose(self.ops).result(dtype)
+
+    def kernel(self, x, random):
+        return self.batch(x[None])[0]
+
+    def batch(self, x):
+        y = np.asarray(x, np.float64)
+        for m in self.maps:
+            y = m.apply(y)
+        return y
+
+    def column(self, data, shape):
+        [one] = self.maps if len(self.maps) == 1 else [None]
+        if one is None or one.dense or one.terms(shape) > TERMS:
+            return None
+        return one.column(data, shape)
+
+
+def fused(ops: Sequence[Op], shape: Shape, dtype: str) -> list[tuple[int, Op]]:
+    """The ops with their places in the pipeline; on floats, runs of linear ops that do more than move elements are one op."""
+    done: list[tuple[int, Op]] = []
+    k = 0
+    while k < len(ops):
+        j, now, maps, weighs = k, shape, [], False
+        while dtype in ("float32", "float64") and j < len(ops) and (step := ops[j].linear(now)) is not None:
+            weighs |= ops[j].index(now) is None
+            maps, now, j = maps + step, ops[j].shape(now), j + 1
+        if weighs:
+            done.append((k, _Linear(tuple(L.product(maps)), tuple(ops[k:j]))))
+        else:
+            j = max(j, k + 1)
+            done += list(enumerate(ops[k:j], k))
+        for op in ops[k:j]:
+            shape, dtype = op.shape(shape), np.dtype(op.result(dtype)).name
+        k = j
+    return done
+
+
 class Compose:
     """Ops from left to right. Immutable: append, insert, extend and set give a new one."""
 
@@ -867,17 +959,18 @@ class Compose:
 
         dtype is the samples' numpy type. The ops alone decide the type of the result (see result), not the way they run.
         """
+        steps = fused(self.ops, shape, dtype)
         k = 0
-        while k < len(self.ops):
+        while k < len(steps):
             index, fill, now = None, None, shape
             j = k
-            while j < len(self.ops) and (step := self.ops[j].index(now)) is not None:
-                own = getattr(self.ops[j], "fill", 0.0)
+            while j < len(steps) and (step := steps[j][1].index(now)) is not None:
+                own = getattr(steps[j][1], "fill", 0.0)
                 if index is not None and (index < 0).any() and (step < 0).any() and own != fill:
                     break
                 fill = own if (step < 0).any() else fill
                 index = step if index is None else np.where(step >= 0, index[np.maximum(step, 0)], -1)
-                now = self.ops[j].shape(now)
+                now = steps[j][1].shape(now)
                 j += 1
             if index is not None and len(index) <= LITERAL_INDEX:
                 if not np.array_equal(index, np.arange(math.prod(shape))):
@@ -885,22 +978,21 @@ class Compose:
                 k, shape = j, now
                 data = data.cast(f"array<{stored(dtype)}>")
                 continue
-            op = self.ops[k]
-            native = op.column(data, shape)
+            place, op = steps[k]
+            # a native map takes each element of a plain column, and ops that gather from its sums would work them out anew for each element
+            plain = k == 0 and all(type(o).column is not Op.column for _, o in steps[1:])
+            native = None if isinstance(op, _Linear) and not plain else op.column(data, shape)
             if native is None and getattr(op, "train", False) is not False:
-                native = op.drawn(data, shape, Draw(seed, k, key, epoch))
+                native = op.drawn(data, shape, Draw(seed, place, key, epoch))
             if native is not None:
                 dtype = op.result(dtype)
                 data, shape, k = native.cast(f"array<{stored(dtype)}>"), op.shape(shape), k + 1
                 continue
             # Spark allows no lambda over a UDF's result, and the sample is in Python by now: the rest runs there too
-            data = _fused(self.ops[k:], k, shape, seed, epoch, dtype)(data, key)
-            shape, k = self._shape_at(shape, k, len(self.ops)), len(self.ops)
+            data = _fused(steps[k:], shape, seed, epoch, dtype)(data, key)
+            shape, k = Compose([op for _, op in steps[k:]]).shape(shape), len(steps)
         return data, shape
 
-    def _shape_at(self, shape: Shape, k: int, j: int) -> Shape:
-        return Compose(self.ops[k:j]).shape(shape)
-
     def apply(self, df: DataFrame, shape: Shape, *, column: str = "data", key: str = "row_idx", seed: int = 0, epoch: int = 0, dtype: str | None = None) -> tuple[DataFrame, Shape]:
         """df with the column transformed, and its new shape; dtype is by default the column's own."""
         out, shape = self.column(F.col(column), shape, F.col(key), seed=seed, epoch=epoch, dtype=dtype or element_dtype(df, column))
@@ -914,9 +1006,9 @@ def gather(data: Column, index: np.ndarray, fill: float | None = None) -> Column
     return F.transform(at, (lambda i: F.coalesce(got(i), F.lit(float(fill or 0)))) if (index < 0).any() else got)
 
 
-def _fused(ops: Sequence[Op], first: int, shape: Shape, seed: int, epoch: int, dtype: str):
+def _fused(steps: Sequence[tuple[int, Op]], shape: Shape, seed: int, epoch: int, dtype: str):
     types = [dtype]
-    for op in ops:
+    for _, op in steps:
         types.append(op.result(types[-1]))
     element = stored(types[-1])
 
@@ -928,9 +1020,9 @@ def _fused(ops: Sequence[Op], first: int, shape: Shape, seed: int, epoch: int, d
         rows, step = np.flatnonzero(data.notna()), max(1, STACK // max(1, math.prod(shape)))
         for at in (rows[k : k + step] for k in range(0, len(rows), step)):
             y = np.stack([np.asarray(x, dtype).reshape(shape) for x in data.iloc[at]])
-            for k, op in enumerate(ops):
+            for k, (place, op) in enumerate(steps):
                 if op.draws:
-                    y = np.stack([op.kernel(x, rng(seed, first + k, int(key), epoch)) for x, key in zip(y, keys.iloc[at], strict=True)])
+                    y = np.stack([op.kernel(x, rng(seed, place, int(key), epoch)) for x, key in zip(y, keys.iloc[at], strict=True)])
                 else:
                     y = op.batch(y)
                 y = y.astype(types[k + 1], copy=False)

@@ -478,6 +478,21 @@ def resize_round_trip(spark, sf):
     return cells(T.Compose([T.ResizeRoundTrip(0, 0.5)]).apply(doubles(spark, sf), (64,))[0], digits=5)
 
 
+_BLURRED = f"{ELEMENTS}, w AS (SELECT k, exp(-k * k / 2.0) / (SELECT sum(exp(-j * j / 2.0)) FROM range(-2, 3) AS q(j)) AS w FROM range(-2, 3) AS r(k)), b AS (SELECT vec_id, o AS pos, sum(w * v) AS v FROM range(64) AS r(o), w, e WHERE e.pos = 63 - CASE WHEN (o + k + 128) % 128 >= 64 THEN 127 - (o + k + 128) % 128 ELSE (o + k + 128) % 128 END GROUP BY 1, 2)"
+
+
+@query(f"WITH {_BLURRED}, d AS (SELECT vec_id, j, sum(v * greatest(0, 1 - abs(pos - j * 63 / 31.0))) AS v FROM b, range(32) AS r(j) GROUP BY 1, 2) SELECT vec_id, CAST(o AS INTEGER) AS pos, round(sum(v * greatest(0, 1 - abs(j - o * 31 / 63.0))), 5) + 0.0 AS value FROM d, range(64) AS r(o) GROUP BY 1, 2")
+def linear_run(spark, sf):
+    """Flipped, blurred, resized and back: one map, native."""
+    return cells(T.Compose([T.Flip(0), T.GaussianBlur(0, 1.0, 2), T.ResizeRoundTrip(0, 0.5)]).apply(doubles(spark, sf), (64,))[0], digits=5)
+
+
+@query(f"WITH {_BLURRED}, c AS (SELECT vec_id, pos - 8 AS pos, v FROM b WHERE pos BETWEEN 8 AND 55) SELECT vec_id, CAST(k AS INTEGER) AS pos, round(2 * sum(v * cos(pi() * k * (2 * pos + 1) / 96)), 5) + 0.0 AS value FROM c, range(48) AS r(k) GROUP BY 1, 2")
+def cosine_of_crop(spark, sf):
+    """Cosine coefficients of the flipped, blurred, cropped vectors: one dense map in one pass."""
+    return cells(T.Compose([T.Flip(0), T.GaussianBlur(0, 1.0, 2), T.CenterCrop(0, 48), T.DCT((0,), log=False)]).apply(doubles(spark, sf), (64,))[0], digits=5)
+
+
 @query(f"WITH {ELEMENTS}, p AS (SELECT vec_id, pos, row_number() OVER (PARTITION BY vec_id ORDER BY v, pos) - 1 AS k FROM e) SELECT vec_id, CAST(pos AS INTEGER) AS pos, CAST(k AS INTEGER) AS value FROM p")
 def inverse_permutation(spark, sf):
     order = F.array_sort(F.transform("data", lambda v, i: F.struct(v.alias("v"), i.alias("i"))))

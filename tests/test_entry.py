@@ -24,7 +24,7 @@ def test_oracle(spark, name):
     assert key(got) == key(want)
 
 
-@pytest.mark.parametrize("name", ["gaussian_blur", "resize_round_trip"])
+@pytest.mark.parametrize("name", ["gaussian_blur", "resize_round_trip", "linear_run", "cosine_of_crop"])
 def test_kernel_queries_compute_in_doubles(spark, name):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from read_parquet('{DATA}/embeddings.parquet')")
