@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 #: Inputs from which a map that takes every one of them for every output is a matrix product; shorter ones are summed term by term.
 DENSE = 32
@@ -66,24 +63,6 @@ class AxisMap:
             out[d] = n
         return tuple(out)
 
-    def terms(self, shape: Sequence[int]) -> int:
-        """Terms of the map over all elements of a sample of this shape."""
-        return int(self.count.sum()) * (math.prod(self.shape(shape)) // max(1, len(self.count)))
-
-    def column(self, data: Column, shape: Sequence[int]) -> Column:
-        """The map on an array column: the same sums in the same order as apply() without a matrix product."""
-        rest = [d for d in range(len(shape)) if d not in self.dims]
-        seen = np.transpose(np.arange(math.prod(shape)).reshape(shape), [*rest, *self.dims]).reshape(-1, math.prod(shape[d] for d in self.dims))
-        after = self.shape(shape)
-        place = np.transpose(np.arange(math.prod(after)).reshape(after), [*rest, *self.dims]).reshape(-1, len(self.count))
-        got = [F.get(data, i).cast("double") for i in range(math.prod(shape))]
-        outputs: list = [None] * math.prod(after)
-        for line, to in zip(seen, place, strict=True):
-            for o, at in enumerate(to.tolist()):
-                terms = zip(line[self.index[o, : self.count[o]]], self.weight[o], strict=False)
-                outputs[at] = sum((F.lit(float(w)) * got[i] for i, w in terms), F.lit(float(self.add[o])))
-        return F.when(data.isNotNull(), F.array(*outputs))
-
 
 def terms_of(dims: Sequence[int], out: Sequence[int], index: np.ndarray, weight: np.ndarray, add: np.ndarray | None = None) -> AxisMap:
     """A map of terms in any order: those of one input are added up, those that come to 0 go."""

@@ -483,7 +483,7 @@ _BLURRED = f"{ELEMENTS}, w AS (SELECT k, exp(-k * k / 2.0) / (SELECT sum(exp(-j
 
 @query(f"WITH {_BLURRED}, d AS (SELECT vec_id, j, sum(v * greatest(0, 1 - abs(pos - j * 63 / 31.0))) AS v FROM b, range(32) AS r(j) GROUP BY 1, 2) SELECT vec_id, CAST(o AS INTEGER) AS pos, round(sum(v * greatest(0, 1 - abs(j - o * 31 / 63.0))), 5) + 0.0 AS value FROM d, range(64) AS r(o) GROUP BY 1, 2")
 def linear_run(spark, sf):
-    """Flipped, blurred, resized and back: one map, native."""
+    """Flipped, blurred, resized and back: one map in one pass."""
     return cells(T.Compose([T.Flip(0), T.GaussianBlur(0, 1.0, 2), T.ResizeRoundTrip(0, 0.5)]).apply(doubles(spark, sf), (64,))[0], digits=5)
 
 

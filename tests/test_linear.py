@@ -1,4 +1,4 @@
-"""Linear ops as maps: products, one pass, and the same numbers in Catalyst, in a kernel and op by op."""
+"""Linear ops as maps: products, one pass, and the same numbers as op by op."""
 
 import numpy as np
 import pytest
@@ -75,20 +75,7 @@ def test_a_run_is_one_op_and_equals_the_ops_in_turn(spark, ops, shape, maps):
     assert c.shape(shape) == want.shape[1:] == run.shape(shape) and np.allclose(run.batch(x), want)
     df, out = c.apply(rows(spark, x), shape)
     assert out == want.shape[1:] and np.allclose(values(df, out), want)
-    assert ("Python" in plan(df)) == (len(run.maps) > 1 or run.maps[0].dense)
-
-
-def test_catalyst_and_kernel_give_the_same_bits(spark, monkeypatch):
-    x = np.random.default_rng(4).normal(0, 1e3, (6, 4, 9))
-    for ops in ([T.GaussianBlur(1, 1.3, 4), T.ResizeRoundTrip(1, 0.6)], [T.RotateAnyDegree((0, 1), 33.0, 0.5)]):
-        for kind in ("double", "float"):
-            native, shape = T.Compose(ops).apply(rows(spark, x, kind), (4, 9))
-            native = values(native, shape)
-            with monkeypatch.context() as m:
-                assert "Python" not in plan(T.Compose(ops).apply(rows(spark, x, kind), (4, 9))[0])
-                m.setattr(T, "TERMS", 0)
-                df, _ = T.Compose(ops).apply(rows(spark, x, kind), (4, 9))
-                assert "Python" in plan(df) and np.array_equal(values(df, shape), native)
+    assert plan(df).count("ArrowEvalPython") == 1
 
 
 def test_maps_before_moves_draws_and_kernels(spark):
@@ -120,5 +107,6 @@ def test_nulls_and_values_that_are_not_finite(spark):
     x[2], x[6] = np.nan, np.inf
     df, _ = T.Compose([T.ResizeRoundTrip(0, 1.0), T.Flip(0)]).apply(rows(spark, [x, None]), (8,))
     got = [r.data for r in df.orderBy("row_idx").collect()]
-    assert got[1] is None and np.array_equal(got[0], x[::-1], equal_nan=True)  # weights of 0 spread nothing
+    assert got[1] is None
+    assert np.array_equal(np.array(got[0], float), x[::-1], equal_nan=True)  # NaN leaves a kernel as null; weights of 0 spread nothing
     assert np.array_equal(K.resize_round_trip(x, (0,), 1.0), x, equal_nan=True)
