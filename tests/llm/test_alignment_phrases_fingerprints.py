@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -137,6 +138,31 @@ def test_phrase_options(spark):
     assert [r.phrase for r in phrases.mine_phrases(df, depth=5, least=3).collect()] == ["a b c d e"]
 
 
+def test_word_codes_take_few_bytes_a_byte_of_text():
+    texts = pa.array(["Some words, and others. " * 5000] * 10)
+    tracemalloc.start()
+    whole = phrases.word_codes(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * texts.nbytes
+    parts = phrases.word_codes(pa.chunked_array([texts[:3], texts[:0], texts[3:]]))
+    assert whole[0].tolist() == parts[0].tolist() and whole[1].to_pylist() == parts[1].to_pylist() and whole[2].tolist() == parts[2].tolist()
+    codes, words, n = phrases.word_codes(pa.chunked_array([pa.array(["a b", None]), pa.array([""]), pa.array(["b A"])]))
+    assert codes.tolist() == [0, 1, -1, 1, 0] and words.to_pylist() == [b"a", b"b"] and n.tolist() == [2, 2]
+    assert all(len(x) == 0 for x in phrases.word_codes(pa.chunked_array([], pa.string())))
+
+
+def test_levels_leave_in_small_batches(monkeypatch):
+    monkeypatch.setattr(phrases, "_SENT_ROWS", 2, raising=False)
+    left = pa.table({"shard": [7], "codes": pa.array([[0, 1, 2, 3, -1, 3, 2]], pa.list_(pa.int32()))})
+    right = pa.table({"of": [7] * 4, "code": pa.array([0, 1, 2, 3], pa.int32()), "node": [40, 10, 30, 20]})
+    out = phrases._grow(False)((pa.scalar(7),), left, right)
+    assert max(b.num_rows for b in out.to_batches()) == 2
+    rows = [(r["p"], r["s"], r["n"]) for r in out.to_pylist() if r["kind"] == 1]
+    assert rows == [(10, 30, 1), (20, 30, 1), (30, 20, 1), (40, 10, 1)]
+    assert out.to_pylist()[0]["codes"] == [3, 0, 2, -1, 1]
+
+
 def test_word_codes_keep_texts_and_pieces_apart():
     codes, words, n = phrases.word_codes(pa.array(["A b", None, "b. a;", "", "c"]))
     names = words.cast(pa.binary()).to_pylist()
